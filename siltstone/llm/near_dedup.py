@@ -6,10 +6,12 @@ element to one coordinate and a value, and a coordinate keeps the least value of
 as many rounds as coordinates, round t + k puts all elements into coordinate k, so every coordinate is filled. Agreement
 of two sketches is concentrated about the similarity of the sets as strongly as that of independent coordinates.
 
-Classes that agree in all rows of a band are candidates. In a band's bucket every class is held against the least one
-only; once these links have made components, what is left are pairs of classes in one bucket but in different components,
-and those are all looked at, by blocks of a bounded number of classes. Pairs whose sketches agree too little to be linked
-are set aside; all others are confirmed on their full sets.
+Classes that agree in all rows of a band are candidates, unless their sketches agree too little to be linked. In a band's
+bucket every class is first held against the least one only, which makes clusters; then classes of one bucket but of
+different clusters are held against each other, by blocks of a bounded number of classes, which joins clusters. So all
+candidates of a class are in its cluster. The pairs that made the clusters are confirmed on the full sets, and in each
+cluster that these links leave in parts, all candidates across parts are confirmed too, again by blocks. No step makes a
+row for every pair of a group.
 
 Edge cases: null or empty text has an empty set and is linked with nothing; a row without an id is a document of its own
 that is linked with nothing and kept; rows that repeat an id are one document for the components, each row is returned
@@ -18,7 +20,7 @@ and kept alike; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ COORDINATES = 128
 #: 32 bands of 4 rows: a pair at 0.75 shares no band with a probability of 5e-6.
 ROWS = 4
 #: Agreeing coordinates under which a pair isn't verified; at 0.75 their number is 96, with a deviation under 5.
-LEAST_AGREEING = 66
-#: Classes of a bucket that are held against each other in one step.
+LEAST_AGREEING = 76
+#: Classes of a block, which is held against another in one step.
 BLOCK = 512
 
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -90,8 +92,7 @@ def sketch(elements: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return out
 
 
-CLASSES = "doc_id long, n_shingles long, digest binary"
-SKETCHES = "doc_id long, n_shingles long, agree binary, bands array<long>"
+SKETCHES = "doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
 SETS = "doc_id long, shingles array<long>"
 
 
@@ -100,143 +101,177 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
         yield doc_id.as_py(), shingle_hashes(byte_words(text.as_py(), lower=True))
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for batch in batches:
-        out = [(d, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None) for d, s in _sets_of(batch)]
-        columns = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_shingles", "digest"])
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    values = pa.array(np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    none = np.empty(0, dtype=np.uint64)
     for batch in batches:
-        ids, sizes, low, bands = [], [], [], []
+        ids, sizes, digests, low, bands = [], [], [], [], []
         for d, s in _sets_of(batch):
+            ids.append(d)
+            sizes.append(len(s))
+            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            low.append(None)
+            bands.append(none)
             if len(s):
                 k = sketch(s)
                 rows = k.reshape(-1, ROWS)
                 band = np.arange(len(rows), dtype=np.uint64)
                 for c in range(ROWS):
                     band = mix64(band * _MULTIPLIERS[c] + rows[:, c])
-                ids.append(d)
-                sizes.append(len(s))
-                low.append((k & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                bands.append(band.view(np.int64))
-        values = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-        offsets = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_shingles", "agree", "bands"])
+                low[-1] = (k & np.uint64(0xFF)).astype(np.uint8).tobytes()
+                bands[-1] = band
+        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(low, pa.binary()), _lists(bands)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "agree", "bands"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sets = [], []
-        for d, s in _sets_of(batch):
-            ids.append(d)
-            sets.append(s.view(np.int64))
-        values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)], names=["doc_id", "shingles"])
+        found = list(_sets_of(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), _lists([s for _, s in found])], names=["doc_id", "shingles"])
+
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def agreement(pairs: DataFrame, sketches: DataFrame, least: int, percent: int) -> DataFrame:
+
+def agreeing(pairs: DataFrame, sketches: DataFrame, least: int, percent: int) -> DataFrame:
     """The (a, b) of pairs whose sizes and sketches allow a link."""
-    s = sketches.select("doc_id", "n_shingles", "agree")
-    left = s.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("agree").alias("ka"))
-    right = s.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("agree").alias("kb"))
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("agree").alias("ka"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("agree").alias("kb"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ka", "kb"))
-            keep = (x == y).sum(axis=1) >= least
+            keep = (x == y).sum(axis=1) >= least if batch.num_rows else np.empty(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    sized = pairs.join(left, "a").join(right, "b").where("100 * least(na, nb) >= {0} * greatest(na, nb)".format(percent))
+    # the larger id first: it is in few pairs, and the least of a bucket, which may be in many, is met last
+    sized = pairs.join(right, "b").join(left, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return sized.select("a", "b", "ka", "kb").mapInArrow(close, "a long, b long")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose full sets are linked. Only documents of some pair are read again into sets."""
-    pairs = materialise(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(documents.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, SETS), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose full sets are linked."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.asarray(v.values) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [linked(np.asarray(x.values), np.asarray(y.values), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    # the larger id first: it is in few pairs, and the least of a bucket, which may be in many, is met last
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
+
+
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of (unit, doc_id, part) of units with several parts, dealt into pairs of blocks (p, q) and marked mine: p or q.
+
+    A unit's largest part needs no comparison within itself: its blocks meet only the others' blocks. Every two rows of
+    different parts meet in one pair of blocks at least, and none holds over twice block rows on average.
+    """
+    counts = rows.groupBy("unit", "part").agg(F.count("*").alias("n"))
+    units = counts.groupBy("unit").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("main")).where("parts > 1")
+    units = units.select("unit", F.col("main.part").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("o"), F.ceil(F.col("main.n") / block).cast("int").alias("m"))
+    placed = rows.join(units, "unit").withColumn("is_main", F.col("part") == F.col("main"))
+    at = F.xxhash64("doc_id")
+    mine = F.when(F.col("is_main"), F.col("o") + F.pmod(at, F.col("m"))).otherwise(F.pmod(at, F.col("o"))).cast("int")
+    others = F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") + F.col("m") - 1)))
+    dealt = placed.withColumn("mine", mine).withColumn("other", others)
+    return dealt.select("unit", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "part")
 
 
-def cross_pairs(bucket_rows: DataFrame, sketches: DataFrame, block: int, least: int, percent: int) -> DataFrame:
-    """Pairs of classes in one bucket but different components whose sketches and sizes allow a link.
+def _across(member: str, least: int, percent: int, confirm: Callable[[dict, dict], bool]):
+    """Links that join the parts of each pair of blocks: pairs of different parts that agree and are confirmed.
 
-    A bucket's classes are dealt into blocks by hash; a task holds one block against another, never a whole bucket.
+    Pairs that others have joined already are left out, so there are fewer links than rows.
     """
-    rows = bucket_rows.join(sketches.select("doc_id", "n_shingles", "agree"), "doc_id")
-    sizes = bucket_rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = rows.withColumn("other", other).select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "component", "n_shingles", "agree")
-
-    def close(group):
-        import pandas as pd
-
-        group = group.sort_values(["mine", "doc_id"], kind="stable")
-        p, q = int(group["p"].iloc[0]), int(group["q"].iloc[0])
-        k = np.frombuffer(b"".join(group["agree"]), np.uint8).reshape(len(group), -1)
-        ids, parts, n, mine = (group[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "mine"))
-        out_a, out_b = [], []
-        for i in range(len(group)):
-            if mine[i] != p:
-                continue
-            js = np.flatnonzero((mine == q) & (parts != parts[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if p == q:
-                js = js[js > i]
-            if len(js):
-                js = js[(k[js] == k[i]).sum(axis=1) >= least]
-                out_a += [ids[i]] * len(js)
-                out_b += ids[js].tolist()
-        a, b = np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return placed.groupBy("bucket", "p", "q").applyInPandas(close, "a long, b long").distinct()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for p, q, rows in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), batch.column(member)):
+                rows = rows.as_py()
+                k = np.frombuffer(b"".join(r["agree"] for r in rows), np.uint8).reshape(len(rows), -1)
+                ids, n, mine = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("doc_id", "n_shingles", "mine"))
+                parts = np.unique([r["part"] for r in rows], return_inverse=True)[1]
+                second = np.flatnonzero(mine == q)
+                for i in np.flatnonzero(mine == p).tolist():
+                    js = second[second > i] if p == q else second
+                    js = js[(parts[js] != parts[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+                    if not len(js):
+                        continue
+                    same = (k[js] == k[i]).sum(axis=1)
+                    order = np.argsort(-same, kind="stable")
+                    for j in js[order[same[order] >= least]].tolist():
+                        if parts[j] != parts[i] and confirm(rows[i], rows[j]):
+                            parts[parts == parts[j]] = parts[i]
+                            out_a.append(min(ids[i], ids[j]))
+                            out_b.append(max(ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return step
+
+
+def across(dealt: DataFrame, facts: DataFrame, least: int, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) that join parts of the units of ``in_blocks``; exact: confirmed on the shingles in facts."""
+    columns = ["doc_id", "n_shingles", "agree", *(["shingles"] if exact else [])]
+    full = dealt.join(facts.select(*columns), "doc_id")
+    grouped = full.groupBy("unit", "p", "q").agg(F.collect_list(F.struct("part", "mine", *columns)).alias("rows"))
+    confirm = (lambda x, y: linked(np.array(x["shingles"]), np.array(y["shingles"]), percent)) if exact else (lambda x, y: True)
+    return grouped.select("p", "q", "rows").mapInArrow(_across("rows", least, percent, confirm), "a long, b long").distinct()
 
 
 def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing: int = LEAST_AGREEING, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text)."""
     texts = documents.select("doc_id", "text")
-    classes = materialise(texts.mapInArrow(_classes, CLASSES), "classes")
-    counted = classes.where("doc_id is not null and digest is not null")
-    first = materialise(counted.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")), "first-of-class")
-    copies = counted.join(first.where("class_id < last"), "digest").where("doc_id > class_id").select("doc_id", "class_id")
-    heads = texts.join(first.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    sketches = materialise(heads.mapInArrow(_sketches, SKETCHES), "sketches")
-    rows = sketches.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("bucket", "leader")
-    members = materialise(rows.join(shared, "bucket").select("bucket", "doc_id", "leader").distinct(), "members")
+    everyone = materialise(texts.mapInArrow(_sketches, SKETCHES), "sketches")
+    counted = everyone.where("doc_id is not null and digest is not null")
+    first = materialise(counted.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")), "classes")
+    copies = counted.select("doc_id", "digest").join(first.where("class_id < last"), "digest").where("doc_id > class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    heads = first.select(F.col("class_id").alias("doc_id"), "digest")
+    # rows that repeat an id have sketches of their own, one for each class that the id is the head of
+    sketches = counted.join(heads, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "agree", "bands")
+    bands = sketches.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("bucket", "leader")
+    members = materialise(bands.join(shared, "bucket").select("bucket", "doc_id", "leader").distinct(), "members")
+    inside = members.select("doc_id").distinct()
+    light = materialise(sketches.join(inside, "doc_id", "left_semi").select("doc_id", "n_shingles", "agree"), "light-sketches")
+
+    # clusters: by the least class of each bucket, then across clusters in a bucket
     stars = members.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(verified(agreement(stars, sketches, least_agreeing, percent), texts, percent), "star-links")
+    stars = materialise(agreeing(stars, light, least_agreeing, percent), "stars")
+    cluster = materialise(components(stars), "star-clusters")
+    rows = with_part(members.select(F.col("bucket").alias("unit"), "doc_id"), cluster)
+    bridges = materialise(across(in_blocks(rows, block), light, least_agreeing, percent, exact=False), "bridges")
+    joined = bridges.unionByName(cluster.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    cluster = materialise(components(joined), "clusters")
+
+    # links: of the pairs that made the clusters, then across what these leave apart in a cluster
+    wanted = cluster.select(F.col("node").alias("doc_id"))
+    sets = materialise(texts.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, SETS), "sets")
+    links = materialise(verified(stars.unionByName(bridges), sets, percent), "links")
     part = materialise(components(links), "parts")
-    # what is left: buckets with more than one component
-    placed = members.select("bucket", "doc_id").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    crossing = cross_pairs(placed.join(mixed, "bucket"), sketches, block, least_agreeing, percent).join(stars, ["a", "b"], "left_anti")
-    more = verified(crossing, texts, percent)
-    copies_links = copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    whole = components(part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(copies_links))
+    rows = with_part(cluster.select(F.col("component").alias("unit"), F.col("node").alias("doc_id")), part)
+    more = across(in_blocks(rows, block), light.join(sets, "doc_id"), least_agreeing, percent, exact=True)
+
+    whole = components(part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(copies))
     found = whole.withColumnRenamed("node", "__near_node")
-    out = classes.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("__near_node"), "left")
+    out = everyone.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("__near_node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with part: the component of their doc_id, itself where it has none."""
+    return rows.join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
