@@ -1,0 +1,224 @@
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from cases import empty, frame, tricky, tricky_rows
+
+from siltstone.llm import compression_bands, decontamination, line_dedup, packing, secrets, token_rollup
+from siltstone.llm.support import scratch_path
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_line_dedup_against_brute_force(spark):
+    rows = tricky_rows()
+    holders = defaultdict(set)
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    for r in rows:
+        if r[0] is not None:
+            for line in (r[1] or "").split("\n"):
+                if len(key(line)) >= 10:
+                    holders[key(line)].add(r[0])
+    want = []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if r[0] is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == r[0]]
+        want.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
+    got = line_dedup.dedup(tricky(spark)).select("doc_id", "line_dedup.*").collect()
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    assert line_dedup.dedup(empty(spark)).count() == 0
+    assert set(tricky(spark).columns) < set(line_dedup.dedup(tricky(spark)).columns)
+    three = frame(spark, ["a line of text"] * 2 + ["other long line"] * 3)
+    assert sorted(r[0] for r in line_dedup.dedup(three, min_docs=3).select("line_dedup.n_dropped").collect()) == [0, 0, 0, 1, 1]
+
+
+def test_packing_is_gapless_and_whole(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack_documents(tricky(spark)).toPandas()
+    want = Counter()
+    for r in tricky_rows():
+        ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4")
+            want[(r[0], piece, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter((None if x.doc_id != x.doc_id else int(x.doc_id), x.piece, x.start, x.length, x.ids_crc32) for x in got.itertuples()) == want
+    for _, group in got.groupby("sequence_id"):
+        group = group.sort_values("offset")
+        assert (group.offset == group.length.cumsum() - group.length).all() and group.length.sum() <= 4096
+    assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_packing_reaches_the_least_number_of_sequences(spark):
+    rng = np.random.default_rng(1)
+    halves = rng.integers(100, 4000, 400)
+    lengths = [*halves.tolist(), *(4096 - halves).tolist()]
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    got = packing.pack(pieces, block_pieces=10_000, epochs=3, crossovers=40).toPandas()
+    assert got.sequence_id.nunique() <= 404  # 400 at best
+    assert packing.pack(pieces, block_pieces=50).count() == 800
+
+
+def test_crossover_keeps_every_piece():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 4096, 500)
+    a, b = (packing.seeded(lengths, 4096, rng, 0.3) for _ in range(2))
+    child = a.crossed(b, rng)
+    assert sorted(itertools.chain(*child.bins)) == list(range(500))
+    assert all(lengths[m].sum() == f <= 4096 for m, f in zip(child.bins, child.fill))
+
+
+def test_compression_bands(spark):
+    noise = "".join(chr(33 + int(x)) for x in np.random.default_rng(0).integers(0, 90, 9000))
+    noise = " ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    varied = " ".join(f"word{i * 7919 % 1009} and {i}" for i in range(200))
+    block = " ".join(f"k{i * 31 % 97}" for i in range(60)) + " "
+    got = {r["doc_id"]: r for r in compression_bands.score(frame(spark, [varied, block * 60, noise, "w " * 100, "few words"])).collect()}
+    assert got[0]["kept"] and not got[0]["base_failed"]
+    assert not any(got[k]["kept"] for k in (1, 2, 3, 4))
+    assert got[3]["n_repeat_words"] == 100 and got[3]["base_failed"] and got[4]["base_failed"]
+    assert compression_bands.score(tricky(spark)).count() == len(tricky_rows())
+    assert compression_bands.score(empty(spark)).count() == 0
+
+
+def test_base_statistics_against_plain_code():
+    for text in ["", "a b c a b c d", "x  y\n\nx  y\n \nx y", "ß # <a>|b % ", "a a a a", "a b a b a"]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert compression_bands.base_stats(text) == want
+
+
+def brute_hits(text, items, width=13):
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hit, who = set(), set()
+    for item, other in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), other or ""))
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            win = w[i : i + width]
+            for at in range(len(found) - len(win) + 1):
+                if found[at : at + len(win)] == win:
+                    hit.update(range(at, at + len(win)))
+                    who.add("null" if item is None else str(item))
+    return len(found), hit, sorted(who)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_decontamination_against_brute_force(spark, blocks):
+    rng = np.random.default_rng(3)
+    pool = [f"v{i}" for i in range(12)]
+    items = [(k, " ".join(rng.choice(pool, int(rng.integers(0, 30))))) for k in range(12)] + [(None, "V1, v2 v3"), (3, "a b"), (20, None)]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 120)))) for _ in range(40)] + [items[4][1] + " out " + items[4][1], None, "", "A-b a b"]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t or "") + 16 for _, t in items)
+    got = decontamination.decontaminated(frame(spark, texts), benchmark, shard_words=200, block_bytes=size if blocks == 1 else size // 3).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, hit, who = brute_hits(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["items"]) == (n, len(hit), who)
+        assert {k for s in r["hit"] for k in range(s["start"], s["end"])} == hit
+        assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= n)
+
+
+def test_decontamination_edges(spark):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.decontaminated(tricky(spark), nothing).where("n_hit > 0").count() == 0
+    assert decontamination.decontaminated(empty(spark), nothing).count() == 0
+
+
+def test_fm_index_counts_and_locates():
+    rng = np.random.default_rng(4)
+    text = rng.integers(1, 5, 3000)
+    index = decontamination.FMIndex(text, 5)
+    for length in (1, 2, 5):
+        patterns = rng.integers(1, 5, (20, length))
+        low, high = index.ranges(patterns)
+        for p, a, b in zip(patterns, low, high):
+            want = [i for i in range(len(text) - length + 1) if (text[i : i + length] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def plain_base(text):
+    out = []
+    for m in re.finditer(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
+        out += [(m.start(), 0, m.end())] if len(m[2]) >= 8 else []
+    for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 16), (2, r"[0-9a-f]+", 32)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out)
+
+
+def test_secret_scan_finds_what_is_wrapped(spark):
+    import base64
+    import gzip
+    from urllib.parse import quote
+
+    secret = "password = hunter2hunter2"
+    b64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+    texts = {
+        "plain": f"see {secret} there",
+        "percent": f"see {quote(secret)} there",
+        "unicode": "see " + "".join(f"\\u{ord(c):04x}" for c in secret) + " there",
+        "base64": f"see {b64('the ' + secret + ' end')} there",
+        "twice": f"see {b64('x ' + b64(secret) + ' y')} there",
+        "packed": f"see {b64(gzip.compress(secret.encode()))} there",
+        "mixed": f"see {quote(b64(gzip.compress(('é ' + secret).encode())), safe='')} there",
+        "failed then hidden": "secret=api_key:abcdefghij and AKIA1234 and " + "0" * 31,
+        "clean": "an ordinary sentence about tokens and thunderstormsoverthehills",
+    }
+    for name, text in texts.items():
+        base, spans = secrets.scan(text)
+        assert base == plain_base(text), name
+        assert set(base) <= set(spans)
+        if name not in ("clean", "failed then hidden"):
+            assert any(kind == 0 for _, kind, _ in spans), name
+            assert all(text[a:b].strip() and 4 <= a < b <= len(text) - 6 for a, _, b in spans), name
+    assert not secrets.scan(texts["clean"])[1]
+    got = secrets.scan_documents(tricky(spark)).collect()
+    assert len(got) == len(tricky_rows()) and secrets.scan_documents(empty(spark)).count() == 0
+    assert next(r for r in got if r["doc_id"] == 0)["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_secret_scan_ends_on_what_unwraps_to_itself():
+    assert secrets.scan("%2525252525" + "%" * 50)[1] == []
+    bomb = __import__("base64").b64encode(zlib.compress(b"z" * 5_000_000)).decode()
+    assert secrets.scan(bomb, max_unfolded=1000)[1] == []
+
+
+def test_token_rollup_is_idempotent_and_signed(spark):
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup-test"))
+    rows = spark.createDataFrame([("a", "en", "v1", 10, 12), ("a", "en", "v1", 5, 5), (None, None, "v1", 7, 1)], "source string, lang string, tokenizer_version string, n_tokens long, then long")
+    assert rollup.totals().count() == 0
+    assert rollup.commit("one", token_rollup.inserts(rows)) and not rollup.commit("one", token_rollup.inserts(rows))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "v1", 2, 15), (None, None, "v1", 1, 7)}
+    rollup.commit("two", token_rollup.revisions(rows, "then"))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "v1", 2, 17), (None, None, "v1", 1, 1)}
+    rollup.commit("three", token_rollup.deletes(rows.withColumn("n_tokens", rows["then"]).where("source is null")))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "v1", 2, 17)}
+    assert rollup.batches() == ["one", "three", "two"]
+    with pytest.raises(ValueError):
+        rollup.commit("../x", token_rollup.inserts(rows))
+
+
+def test_token_rollup_query_against_recount(spark):
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in token_rollup.op10_token_rollup(spark, SF).collect()}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, want, seen = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(lambda: [0, 0]), set()
+    for _, text, lang, source in duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall():
+        if text in seen:
+            continue
+        seen.add(text)
+        for version, n in (("word_bpe_49k", len(tokenizer.encode(text, add_special_tokens=False).ids)), ("words", len(decontamination.contract_words(text)))):
+            want[(source, lang, version)][0] += 1
+            want[(source, lang, version)][1] += n
+    assert got == {k: tuple(v) for k, v in want.items()}
