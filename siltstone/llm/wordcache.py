@@ -14,20 +14,32 @@ from .support import LOWER_TABLE
 
 #: Chunks that a worker keeps, which bounds its memory; a full cache is emptied.
 CACHED = 800_000
-#: One full stop or comma between an ASCII letter and white space is a pre-token of its own, so it may be cut off.
-LAST_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: Lower-case letters of ASCII and Latin-1: a word of them is one pre-token, which normalisation leaves alone.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 up."""
+    out, more = [], 256
+    for b in range(256):
+        plain = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if plain else more))
+        more += not plain
+    return out
 
 
 class CachedTokenizer(dict):
     """Chunk of lower-cased UTF-8 to its ids, as little-endian unsigned 32-bit numbers. For lower-casing tokenizers."""
 
     _open: dict[str, CachedTokenizer] = {}
+    _characters = byte_characters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     @classmethod
     def of(cls, path: str) -> CachedTokenizer:
@@ -37,11 +49,15 @@ class CachedTokenizer(dict):
         return cls._open[path]
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():  # of bytes: a-z only, so it is one pre-token that normalisation leaves alone
-            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode())]
+        if chunk.isalpha():  # of bytes: ASCII letters only
+            raw = array("I", [t.id for t in self.model.tokenize(chunk.decode())]).tobytes()
+        elif LETTERS.fullmatch(chunk):
+            raw = array("I", [t.id for t in self.model.tokenize("".join(map(self._characters.__getitem__, chunk)))]).tobytes()
+        elif chunk[-1] in b".," and LETTERS.fullmatch(chunk, 0, len(chunk) - 1):  # letters and a stop are two pre-tokens
+            raw = self[chunk[:-1]] + self[chunk[-1:]]
         else:
-            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        raw = self[chunk] = array("I", ids).tobytes()
+            raw = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        self[chunk] = raw
         return raw
 
     def encode_bytes(self, text: str | None) -> bytes:
@@ -51,4 +67,4 @@ class CachedTokenizer(dict):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > CACHED:
             self.clear()
-        return b"".join(map(self.__getitem__, LAST_STOP.sub(rb" \1", raw.translate(LOWER_TABLE)).split()))
+        return b"".join(map(self.__getitem__, raw.translate(LOWER_TABLE).split()))
