@@ -120,6 +120,8 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit("load", inserts(rows))
     rollup.commit("terms", revisions(rows.where("tokenizer_version = 'words'"), "then"))
     first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    copies = rows.join(first, "digest").where("doc_id > first").withColumn("n_tokens", F.col("then"))
+    first = materialise(first, "first-copies")  # a plain table, so Spark can split the rows of a text with many copies
+    gone = counts.join(first, "digest").where("doc_id > first")
+    copies = gone.select("source", "lang", two.alias("v")).select("source", "lang", "v.*").withColumn("n_tokens", F.col("then"))
     rollup.commit("copies", deletes(copies))
     return rollup.totals()
