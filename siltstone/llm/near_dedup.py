@@ -179,6 +179,7 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     counts = rows.groupBy("unit", "part").agg(F.count("*").alias("n"))
     units = counts.groupBy("unit").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("main")).where("parts > 1")
     units = units.select("unit", F.col("main.part").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("o"), F.ceil(F.col("main.n") / block).cast("int").alias("m"))
+    units = materialise(units, "units")
     placed = rows.join(units, "unit").withColumn("is_main", F.col("part") == F.col("main"))
     at = F.xxhash64("doc_id")
     mine = F.when(F.col("is_main"), F.col("o") + F.pmod(at, F.col("m"))).otherwise(F.pmod(at, F.col("o"))).cast("int")
@@ -240,6 +241,7 @@ def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing
     sketches = counted.join(heads, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "agree", "bands")
     bands = sketches.select("doc_id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("bucket", "leader")
+    shared = materialise(shared, "shared-buckets")  # a plain table, so Spark can split a bucket's rows when it joins them
     members = materialise(bands.join(shared, "bucket").select("bucket", "doc_id", "leader").distinct(), "members")
     inside = members.select("doc_id").distinct()
     light = materialise(sketches.join(inside, "doc_id", "left_semi").select("doc_id", "n_shingles", "agree"), "light-sketches")

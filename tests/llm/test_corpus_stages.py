@@ -248,3 +248,9 @@ def test_pipeline_stands_tricky_rows(spark):
         out = stage(spark, docs, SF)
         assert k == 4 or set(out.columns) == set(docs.columns)
         docs = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_components_of_many_links(spark, monkeypatch):
+    monkeypatch.setattr("siltstone.llm.components.LARGE", 10)
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)]
+    assert dict(components(spark.createDataFrame(links, "a long, b long")).collect()) == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
