@@ -1,7 +1,7 @@
 """Eligibility of media files: profiles, overrides, three decision trees and three overlays, all as columns.
 
 A tree is an ordered list of (condition, eligible, reason); the first condition that holds decides. Conditions that are
-null do not hold.
+null do not hold. The order of the cases and the texts of the reasons are fixed values.
 """
 
 from __future__ import annotations
