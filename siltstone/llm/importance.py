@@ -51,7 +51,7 @@ def shape(token: bytes) -> bytes:
 class ShapeHash(dict):
     def __missing__(self, token: bytes) -> int:
         h = crc32(shape(token))
-        if len(self) < 500_000:
+        if len(self) < 150_000:  # bounds a worker's memory
             self[token] = h
         return h
 
