@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# ISO 639-1 codes and their ISO 639-2 terminology codes.
-ALPHA2 = {"ar": "ara", "cs": "ces", "da": "dan", "de": "deu", "el": "ell", "en": "eng", "es": "spa", "fa": "fas", "fi": "fin", "fr": "fra", "he": "heb", "hi": "hin", "hu": "hun", "it": "ita", "ja": "jpn", "ko": "kor", "nl": "nld", "no": "nor", "pl": "pol", "pt": "por", "ro": "ron", "ru": "rus", "sk": "slk", "sv": "swe", "th": "tha", "tr": "tur", "uk": "ukr", "vi": "vie", "zh": "zho"}
 # ISO 639-2 bibliographic codes and their terminology codes.
 BIBLIOGRAPHIC = {"alb": "sqi", "arm": "hye", "baq": "eus", "bur": "mya", "chi": "zho", "cze": "ces", "dut": "nld", "fre": "fra", "geo": "kat", "ger": "deu", "gre": "ell", "ice": "isl", "mac": "mkd", "mao": "mri", "may": "msa", "per": "fas", "rum": "ron", "slo": "slk", "tib": "bod", "wel": "cym"}
-CODES = ALPHA2 | BIBLIOGRAPHIC | {c: c for c in (*ALPHA2.values(), *BIBLIOGRAPHIC.values())}
+# ISO 639-1 codes that were withdrawn, which Java still lists.
+WITHDRAWN = ("bh", "in", "iw", "ji", "mo")
+
+
+@cache
+def iso_codes() -> dict[str, str]:
+    """Every ISO 639-1, bibliographic and terminology code to its terminology code, from the tables that Java has itself."""
+    locale = SparkSession.active()._jvm.java.util.Locale
+    two = {code: locale(code).getISO3Language() for code in locale.getISOLanguages() if code not in WITHDRAWN}
+    return two | BIBLIOGRAPHIC | {c: c for c in (*two.values(), *BIBLIOGRAPHIC.values())}
 
 
 def canonical(code: Column) -> Column:
     """The terminology code; null for what isn't a known language, such as und or mul."""
-    table = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
-    return F.try_element_at(table, F.lower(F.trim(code)))
+    return canonical_with()(code)
+
+
+def canonical_with(more: Sequence[str] = ()) -> Callable[[Column], Column]:
+    """``canonical`` that also knows the given terminology codes, of languages without a code of two letters, such as fil."""
+    known = iso_codes() | {c.lower(): c.lower() for c in more}
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in known.items())), F.lit(","), F.lit(":"))  # folded to a literal
+    return lambda code: F.try_element_at(table, F.lower(F.trim(code)))
 
 
-def parse_list(codes: Sequence[str]) -> list[str] | None:
+def parse_list(codes: Sequence[str], more: Sequence[str] = ()) -> list[str] | None:
     """Canonical codes, each once; null if any is unknown."""
-    found = [CODES.get(c.strip().lower()) for c in codes if c.strip()]
+    known = iso_codes() | {c.lower(): c.lower() for c in more}
+    found = [known.get(c.strip().lower()) for c in codes if c.strip()]
     return None if None in found else list(dict.fromkeys(found))
 
 

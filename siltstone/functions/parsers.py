@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.scalars import rational
+from siltstone.functions.scalars import alnum_key, rational
 
 STREAM = (
     "struct<codec_type:string,codec_name:string,codec_tag_string:string,profile:string,width:string,height:string,bit_rate:string,nb_frames:string,pix_fmt:string,bits_per_raw_sample:string,"
@@ -151,3 +151,144 @@ def metadata_groups(listing) -> Column:
     lines = F.split(F.coalesce(listing, F.lit("")), "\n")
     has = lambda *names: F.exists(lines, lambda x: F.lower(F.trim(x)).rlike("^\\[?(" + "|".join(names) + ")"))
     return F.struct(has("icc_profile").alias("has_icc"), has("exif", "ifd0", "exififd").alias("has_exif"))
+
+
+# The encoders that are looked for, each with its codec and mode, and what a listing of accelerators starts with.
+ENCODERS = [
+    ("libx264", "h264", "CPU"), ("libx265", "hevc", "CPU"), ("libsvtav1", "av1", "CPU"), ("h264_nvenc", "h264", "NVIDIA NVENC"), ("hevc_nvenc", "hevc", "NVIDIA NVENC"), ("av1_nvenc", "av1", "NVIDIA NVENC"),
+    ("h264_qsv", "h264", "Intel QSV"), ("hevc_qsv", "hevc", "Intel QSV"), ("av1_qsv", "av1", "Intel QSV"), ("h264_vaapi", "h264", "VAAPI"), ("hevc_vaapi", "hevc", "VAAPI"), ("av1_vaapi", "av1", "VAAPI"),
+]
+ACCELERATOR_HEADING = "hardware acceleration methods:"
+
+
+def text_lines(text) -> Column:
+    """Trimmed lines that aren't empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def second_words(text, least_first: int = 1) -> Column:
+    """The second word of each line whose first word is long enough: the names in a listing of flags and names."""
+    words = F.transform(text_lines(text), lambda x: F.split(x, r"\s+"))
+    return F.transform(F.filter(words, lambda w: (F.size(w) >= 2) & (F.char_length(w[0]) >= least_first)), lambda w: w[1])
+
+
+def accelerators(text) -> Column:
+    """The lines after the heading."""
+    lines = text_lines(text)
+    at = F.array_position(F.transform(lines, F.lower), F.lit(ACCELERATOR_HEADING)).cast("int")
+    later = F.slice(lines, at + 1, F.size(lines))
+    return F.when(at > 0, F.filter(later, lambda x: F.lower(x) != ACCELERATOR_HEADING)).otherwise(F.array().cast("array<string>"))
+
+
+def has_filter(text, name: str) -> Column:
+    return F.array_contains(second_words(text), name)
+
+
+def capabilities(machines: DataFrame, listing: str, nvidia: str, render_device: str) -> DataFrame:
+    """machines with a row for each known encoder: name, codec, mode, place, and whether it is listed and its hardware is there."""
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("codec"), F.lit(m).alias("mode"), F.lit(k).alias("place")) for k, (n, c, m) in enumerate(ENCODERS)])
+    present = F.when(F.col("mode") == "NVIDIA NVENC", F.col(nvidia)).when(F.col("mode") == "CPU", F.lit(True)).otherwise(F.col(render_device))
+    listed = machines.withColumn("__listed", second_words(F.col(listing), 6)).withColumn("__e", F.explode(known)).select("*", "__e.*").drop("__e")
+    return listed.withColumn("available", F.coalesce(F.array_contains("__listed", F.col("name")) & present, F.lit(False))).drop("__listed")
+
+
+def drm_client(text) -> Column:
+    """struct<client_id, driver, engines: map<engine, nanoseconds>>; null without an id or a busy engine."""
+    lines = text_lines(text)
+    after = lambda key: F.filter(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(key))), lambda x: F.regexp_replace(F.substr(x, F.lit(len(key) + 1)), r"^\s+|\s+$", "")), lambda v: v.isNotNull())
+    client = F.try_element_at(F.filter(F.transform(after("drm-client-id:"), lambda v: v.try_cast("long")), lambda v: v.isNotNull()), F.lit(-1))
+    entry = lambda x: F.struct(F.regexp_extract(x, "^drm-engine-([^:]+):", 1).alias("key"), F.regexp_extract(x, r":\s*([0-9]+)(?:\s|$)", 1).try_cast("long").alias("value"))
+    entries = F.filter(F.transform(F.filter(lines, lambda x: x.rlike("^drm-engine-[^:]+:")), entry), lambda e: e["value"] > 0)
+    unique = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    found = F.struct(client.alias("client_id"), F.coalesce(F.try_element_at(after("drm-driver:"), F.lit(-1)), F.lit("")).alias("driver"), F.map_from_entries(unique).alias("engines"))
+    return F.when(client.isNotNull() & (F.size(entries) > 0), found)
+
+
+def _percent(number: Column) -> Column:
+    return F.when(number.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), number)))
+
+
+def utilisation_report(text) -> Column:
+    """The first whole number that starts a line of a graphics card's report, within 0 to 100."""
+    numbers = F.transform(text_lines(text), lambda x: F.split(F.rtrim(F.regexp_replace(x, r"%+$", "")), " ")[0].try_cast("int"))
+    return _percent(F.try_element_at(F.filter(numbers, lambda n: n.isNotNull()), F.lit(1)))
+
+
+def busy_percent(text) -> Column:
+    """A file that holds one whole number, within 0 to 100."""
+    return _percent(F.regexp_replace(text, r"^\s+|\s+$", "").try_cast("int"))
+
+
+# Search answers of media servers. Numbers and flags are read as text, so one odd value doesn't void an answer.
+ITEM = "struct<type:string,year:string,art:string,thumb:string>"
+SEARCH = f"struct<MediaContainer:struct<Metadata:array<{ITEM}>,Hub:array<struct<Metadata:array<{ITEM}>>>>>"
+ITEMS = "struct<Items:array<struct<Id:string,Type:string,ProductionYear:string,BackdropImageTags:array<string>,ImageTags:struct<Primary:string>>>>"
+POSTERS = "array<struct<title:string,year:string,images:array<struct<coverType:string,remoteUrl:string>>>>"
+SERVERS = "array<struct<name:string,provides:string,accessToken:string,clientIdentifier:string,connections:array<struct<uri:string,local:string,relay:string,protocol:string>>>>"
+NAMED = "struct<MediaContainer:struct<friendlyName:string,version:string>,ServerName:string,Version:string>"
+
+
+def _best(found: Column, year: Column) -> Column:
+    """value of array<struct<value, fits, year>>: of the right kind and year, else of the right kind, else any; the first of each."""
+    usable = F.filter(found, lambda x: x["value"] != "")
+    first = lambda want: F.get(F.filter(usable, lambda x: F.coalesce(want(x), F.lit(False))), 0)["value"]
+    return F.coalesce(first(lambda x: x["fits"] & (x["year"] == year)), first(lambda x: x["fits"]), first(lambda x: F.lit(True)))
+
+
+def search_art(text, field: str, is_series: Column, year: Column) -> Column:
+    """art or thumb of the best item, from a flat answer and from its groups."""
+    box = F.from_json(text, SEARCH)["MediaContainer"]
+    none = F.array().cast(f"array<{ITEM}>")
+    grouped = F.flatten(F.transform(F.coalesce(box["Hub"], F.array().cast(f"array<struct<Metadata:array<{ITEM}>>>")), lambda h: F.coalesce(h["Metadata"], none)))
+    items = F.concat(F.coalesce(box["Metadata"], none), grouped)
+    fits = lambda x: F.when(is_series, x["type"].isin("show", "season", "episode")).otherwise(x["type"] == "movie")
+    return _best(F.transform(items, lambda x: F.struct(x[field].alias("value"), F.coalesce(fits(x), F.lit(False)).alias("fits"), x["year"].try_cast("int").alias("year"))), year)
+
+
+def item_image(text, backdrop: bool, is_series: Column, year: Column) -> Column:
+    """The path of the best item's backdrop or primary image."""
+    items = F.from_json(text, ITEMS)["Items"]
+    tag = lambda x: F.get(x["BackdropImageTags"], 0) if backdrop else x["ImageTags"]["Primary"]
+    path = lambda x: F.concat(F.lit("/Items/"), F.nullif(x["Id"], F.lit("")), F.lit("/Images/Backdrop/0?tag=" if backdrop else "/Images/Primary?tag="), F.nullif(tag(x), F.lit("")))
+    fits = lambda x: x["Type"] == F.when(is_series, "Series").otherwise("Movie")
+    return _best(F.transform(items, lambda x: F.struct(path(x).alias("value"), F.coalesce(fits(x), F.lit(False)).alias("fits"), x["ProductionYear"].try_cast("int").alias("year"))), year)
+
+
+def remote_poster(text, title: Column, year: Column) -> Column:
+    """The poster of the entry with this title, compared by letters and digits; one of the same year before others."""
+    url = lambda x: F.get(F.filter(x["images"], lambda i: (i["coverType"] == "poster") & (i["remoteUrl"] != "")), 0)["remoteUrl"]
+    named = F.filter(F.from_json(text, POSTERS), lambda x: alnum_key(x["title"]) == alnum_key(title))
+    found = F.transform(named, lambda x: F.struct(url(x).alias("value"), F.lit(True).alias("fits"), x["year"].try_cast("int").alias("year")))
+    return F.when(F.trim(title) != "", _best(found, year))
+
+
+def servers(text) -> Column:
+    """array<struct<name, access_token, client_id, uri>> of the resources that are servers, each with its best connection.
+
+    Local and direct comes first, then direct, then an encrypted one; equals keep their order.
+    """
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    yes = lambda c: F.coalesce(c == "true", F.lit(False)).cast("int")
+
+    def best(resource: Column) -> Column:
+        direct = lambda c: 1 - yes(c["relay"])
+        ranked = F.transform(F.filter(resource["connections"], lambda c: blank(c["uri"]).isNotNull()), lambda c, i: F.struct((-yes(c["local"]) * direct(c)).alias("a"), (-direct(c)).alias("b"), (-yes(F.when(F.lower(F.coalesce(c["protocol"], F.lit("https"))) == "https", "true"))).alias("c"), i.alias("i"), c["uri"].alias("uri")))
+        return F.array_min(ranked)["uri"]
+
+    is_server = lambda r: F.exists(F.split(F.coalesce(r["provides"], F.lit("")), ","), lambda p: F.lower(F.trim(p)) == "server")
+    made = F.transform(F.filter(F.from_json(text, SERVERS), is_server), lambda r: F.struct(F.coalesce(r["name"], F.lit("Plex Server")).alias("name"), r["accessToken"].alias("access_token"), r["clientIdentifier"].alias("client_id"), best(r).alias("uri")))
+    return F.coalesce(F.filter(made, lambda r: r["uri"].isNotNull()), F.array().cast("array<struct<name:string,access_token:string,client_id:string,uri:string>>"))
+
+
+def server_info(text) -> Column:
+    """struct<name, version> of either kind of server; null without a name."""
+    x = F.from_json(text, NAMED)
+    box = x["MediaContainer"]
+    return F.when(box["friendlyName"].isNotNull(), F.struct(box["friendlyName"].alias("name"), box["version"].alias("version"))).when(x["ServerName"].isNotNull(), F.struct(x["ServerName"].alias("name"), x["Version"].alias("version")))
+
+
+def sign_in(text) -> Column:
+    """What an answer to a sign-in holds: pin id, code, secret, token, and whether it is granted; blanks are null."""
+    field = lambda name: F.get_json_object(text, f"$.{name}")  # noqa: E731  names differ in case alone
+    filled = lambda *names: F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names])
+    return F.struct(field("id").try_cast("long").alias("pin_id"), filled("code", "Code").alias("code"), filled("Secret").alias("secret"), filled("authToken", "AccessToken").alias("token"), F.coalesce(field("Authenticated") == "true", F.lit(False)).alias("granted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,11 @@ def all_passed(checks: Column) -> Column:
 
 def failed_names(checks: Column) -> Column:
     return F.transform(F.filter(checks, lambda c: c["outcome"] == "Failed"), lambda c: c["name"])
+
+
+def first_failure(rules: Sequence[tuple[Column, str]]) -> Column:
+    """The message of the first rule that doesn't hold, or is unknown; null if all hold."""
+    out = F.lit(None).cast("string")
+    for holds, message in reversed(rules):
+        out = F.when(~F.coalesce(holds, F.lit(False)), message).otherwise(out)
+    return out

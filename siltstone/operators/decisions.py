@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.media import binary_size
-from siltstone.functions.scalars import first_match
+from siltstone.functions.scalars import contains_any, first_match
+
+from .verification import QUALITY, SIZE_SAVING
 
 # The order in which encoders are tried, and families by the end of a name.
 ENCODER_ORDER = ("NVIDIA NVENC", "Intel QSV", "VAAPI", "CPU")
@@ -91,11 +93,20 @@ def recovered(jobs: DataFrame, most_attempts: int) -> DataFrame:
     })
 
 
+def only_quality(failed: Column) -> Column:
+    """Whether the visual score is all that failed."""
+    return (F.size(failed) == 1) & (F.get(failed, 0) == QUALITY)
+
+
+def quality_retry(failed: Column, measured: Column, retries: Column, quality: Column) -> Column:
+    """Whether one more encode at a higher quality may help: the first time, and if quality can still be raised."""
+    return F.coalesce((retries <= 0) & (quality > 0) & measured & only_quality(failed), F.lit(False))
+
+
 def immediate_exclusion(failed: Column, measured: Column, retries: Column, quality: Column) -> Column:
     """Why another encode can't help, from the names of failed checks; null if it may."""
-    only_score = (F.size(failed) == 1) & (F.get(failed, 0) == "Visual quality")
-    open_ = F.coalesce(measured & only_score, F.lit(False))
-    return F.when(F.array_contains(failed, "Size saving"), "SizeSaving").when(open_ & (retries > 0), "VmafAfterHigherQualityRetry").when(open_ & ~F.coalesce(quality > 0, F.lit(False)), "VmafAtMaximumQuality")
+    open_ = F.coalesce(measured & only_quality(failed), F.lit(False))
+    return F.when(F.array_contains(failed, SIZE_SAVING), "SizeSaving").when(open_ & (retries > 0), "VmafAfterHigherQualityRetry").when(open_ & ~F.coalesce(quality > 0, F.lit(False)), "VmafAtMaximumQuality")
 
 
 def recommended(settings: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -133,3 +144,126 @@ def violations(rules: Sequence[tuple[Column, str]]) -> Column:
 def exported(settings: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Portable settings as one JSON object."""
     return settings.where(F.col("key").isin(*allowed)).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("json"))
+
+
+# States a job doesn't leave by itself, states that hold on to a path, and what a decoder of the graphics
+# card says when it can't be used.
+ENDED = ("Completed", "Failed", "Cancelled")
+HOLDING = ("Queued", "Probing", "Transcoding", "Verifying", "ReadyToReplace")
+DECODER_SIGNS = ("hwaccel", "failed setup for format", "impossible to convert between the formats", "error while opening decoder", "no decoder surfaces left", "device creation failed", "decoder not found", "no usable decoder", "init_hw_device")
+PICTURE_SUBTITLE_SIGN = "only possible from text to text or bitmap to bitmap"
+# Settings tried per kind of media, the least efficient last; containers of audio and image targets.
+AUDIO_LADDERS = {"opus": (64, 80, 96, 128, 160), "aac": (96, 128, 160, 192, 256), "mp3": (128, 160, 192, 256, 320)}
+IMAGE_LADDER = (40, 55, 70, 82, 92)
+EXTENSION_OF = {"opus": "opus", "aac": "m4a", "mp3": "mp3", "jpeg": "jpg", "webp": "webp"}
+# Reasons by the mode of the encoder that a new installation is advised to use.
+SETUP_REASONS = {"NVIDIA NVENC": "nvidia", "Intel QSV": "intel", "VAAPI": "vaapi", "CPU": "cpu"}
+
+
+def auto_replaces(status: Column, passed: Column, library_wants: Column, dry_run: Column, paused: Column) -> Column:
+    """Unknown verification is no pass."""
+    return (status == "ReadyToReplace") & F.coalesce(passed, F.lit(False)) & library_wants & ~dry_run & ~paused
+
+
+def kept_for_diagnosis(job_type: Column, status: Column) -> Column:
+    return (job_type != "Normal") & (status == "Failed")
+
+
+def clearable(jobs: DataFrame, rollbacks: DataFrame) -> DataFrame:
+    """Jobs (id, status) that have ended and whose replacement can't be undone any more (rollbacks: job_id)."""
+    return jobs.where(F.col("status").isin(*ENDED)).join(rollbacks.select(F.col("job_id").alias("id")), "id", "left_anti")
+
+
+def streak_excludes(failures: Column, threshold: Column) -> Column:
+    return (threshold > 0) & (failures >= threshold)
+
+
+def software_decode_helps(log: Column) -> Column:
+    return F.coalesce(contains_any(log, DECODER_SIGNS), F.lit(False))
+
+
+def explained(log: Column) -> Column:
+    """What a user can do about a tool's message; null where nothing is known."""
+    return F.when(F.lower(log).contains(PICTURE_SUBTITLE_SIGN), "Subtitles that are pictures don't fit an MP4 file; choose MKV as the target container or remove them. The original was not touched.")
+
+
+def setup_advice(capabilities: DataFrame, machines: DataFrame) -> DataFrame:
+    """Per machine the encoder mode to start with, whether it decodes in hardware, and the tier of visual scores.
+
+    capabilities: (machine, mode, codec, available); machines: (machine, vmaf, cuda_vmaf). A machine without rows gets CPU.
+    """
+    rank = F.create_map(*[F.lit(x) for k, m in enumerate(ENCODER_ORDER[:-1]) for x in (m, k)])
+    able = capabilities.where(F.col("available") & (F.col("codec") == "hevc") & F.col("mode").isin(*ENCODER_ORDER[:-1]))
+    best = able.groupBy("machine").agg(F.min_by("mode", F.element_at(rank, F.col("mode"))).alias("mode"))
+    mode = F.coalesce("mode", F.lit("CPU"))
+    scored = F.col("vmaf") & F.col("cuda_vmaf") & (mode == "NVIDIA NVENC")
+    reasons = F.create_map(*[F.lit(x) for pair in SETUP_REASONS.items() for x in pair])
+    return machines.join(best, "machine", "left").select(
+        "machine", mode.alias("mode"), (mode != "CPU").alias("hardware_decode"), F.when(scored, "Balanced").otherwise("Off").alias("vmaf_tier"),
+        F.element_at(reasons, mode).alias("encoder_reason"), F.when(scored, "cuda-balanced").when(F.col("vmaf"), "cpu-cost").otherwise("unavailable").alias("vmaf_reason"),
+    )
+
+
+def calibratable(is_hdr: Column, is_dolby_vision: Column, hdr_mode: Column, playback_confirmed: Column) -> Column:
+    return ~is_dolby_vision & (~is_hdr | ((hdr_mode == "Preserve") & playback_confirmed))
+
+
+def ladder(codec: Column) -> Column:
+    """The bit rates to compare for an audio codec; null for one that isn't compared."""
+    out = F.lit(None).cast("array<int>")
+    for name, steps in AUDIO_LADDERS.items():
+        out = F.when(F.lower(codec) == name, F.array(*[F.lit(s) for s in steps])).otherwise(out)
+    return out
+
+
+def effective_bitrate(kbps: Column, channels: Column, downmix: Column) -> Column:
+    """The configured rate is for two channels; a pair more costs as much again."""
+    return F.when(downmix | (channels <= 2), kbps).otherwise(kbps * F.ceil(channels / 2).cast("int"))
+
+
+def output_spec(kind: Column, relative_path: Column, rules: Column, picture_subtitles: Column, audio_not_for_mp4: Column, is_hdr: Column, work_root: str) -> Column:
+    """struct<container, output_path, tonemap>: what a transcode of a file makes, and where.
+
+    rules: struct<target_container, target_video_codec, video_audio_codec, target_audio_codec, target_image_format, hdr>. An
+    MP4 target becomes MKV where the subtitles, or sound that is only copied, don't fit; without a target the file keeps its
+    own extension.
+    """
+    by_target = F.create_map(*[F.lit(x) for pair in EXTENSION_OF.items() for x in pair])
+    path = F.regexp_replace(relative_path, r"\\", "/")
+    own = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    target = rules["target_container"]
+    mp4 = F.lower(F.ltrim(target, F.lit("."))).isin("mp4", "m4v", "mov")
+    unfit = F.coalesce(picture_subtitles | (audio_not_for_mp4 & rules["video_audio_codec"].isNull()), F.lit(False))
+    container = (
+        F.when(kind == "Image", F.try_element_at(by_target, F.lower(rules["target_image_format"])))
+        .when(kind == "Audio", F.try_element_at(by_target, F.lower(rules["target_audio_codec"])))
+        .otherwise(F.when(target.isNull(), own).when(unfit & mp4, "mkv").otherwise(F.ltrim(target, F.lit("."))))
+    )
+    stem = F.regexp_replace(path, r"\.[^./]*$", "")
+    tonemap = ~kind.isin("Image", "Audio") & is_hdr & rules["target_video_codec"].isNotNull() & (rules["hdr"] == "TonemapToSdr")
+    return F.struct(container.alias("container"), F.concat(F.lit(work_root.rstrip("/") + "/"), stem, F.lit("."), container).alias("output_path"), F.coalesce(tonemap, F.lit(False)).alias("tonemap"))
+
+
+def lapsed(rows: DataFrame, expires_at: str, now: Column) -> DataFrame:
+    """What has run out, the very moment included."""
+    return rows.where(F.col(expires_at) <= now)
+
+
+def cleanup_plan(files: DataFrame, keys: list[str], days: int, dry_run: bool = False) -> DataFrame:
+    """Per keys: files, their bytes and a token over their identities (kind, id, path, bytes), which a confirmation must match.
+
+    The token adds up parts of each identity's digest, so it needs no order, is combined before the shuffle, and no group is
+    ever put in one place.
+    """
+    identity = F.sha2(F.encode(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("kind", "id", "path", "bytes")]), "UTF-8"), 256)
+    parts = [F.sum(F.conv(F.substring(identity, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for k in range(4)]
+    head = [F.lit(str(days)), F.lit(str(dry_run).lower()), F.count("*").cast("string")]
+    token = F.sha2(F.encode(F.concat_ws(",", *head, *[F.coalesce(p, F.lit("0")) for p in parts]), "UTF-8"), 256)
+    return files.groupBy(*keys).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), token.alias("token"))
+
+
+def failed_outputs(jobs: DataFrame, root: str, now: Column, days: int) -> DataFrame:
+    """Failed jobs (id, status, path, finished_at) past their retention whose file lies below root and is held by no other job."""
+    held = jobs.where(F.col("status").isin(*HOLDING)).select("path")
+    old = jobs.where((F.col("status") == "Failed") & (F.col("finished_at") <= now - F.expr(f"INTERVAL {days} DAYS")) & F.startswith("path", F.lit(root.rstrip("/") + "/")))
+    return old.join(held, "path", "left_anti")

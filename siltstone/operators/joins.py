@@ -60,7 +60,13 @@ def without_positions(items: Column, removed: Column) -> Column:
     return F.filter(items, lambda x, i: ~F.array_contains(removed, i))
 
 
+def last_of_keys(entries: Column) -> Column:
+    """A map of array<struct<key, value>>; of entries with equal keys the last one counts."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])))
+
+
 def tags_preserved(source: Column, output: Column) -> Column:
     """Whether every tag of source is in output with an equal value; keys without regard to case."""
-    kept = F.transform_keys(output, lambda k, v: F.lower(k))
-    return F.forall(F.map_entries(F.transform_keys(source, lambda k, v: F.lower(k))), lambda e: kept[e["key"]].eqNullSafe(e["value"]))
+    low = lambda tags: last_of_keys(F.transform(F.map_entries(tags), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    kept = low(output)
+    return F.forall(F.map_entries(low(source)), lambda e: kept[e["key"]].eqNullSafe(e["value"]))

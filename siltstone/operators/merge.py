@@ -25,3 +25,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 def delete_cascade(parents: DataFrame, children: DataFrame, key: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both without the rows whose key is in gone."""
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
+
+
+def totals(actions: DataFrame) -> DataFrame:
+    """One row: how many keys were added, removed, updated and left unchanged, and how many were seen."""
+    return actions.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("added", "removed", "updated", "unchanged")], F.count("*").alias("seen"))

@@ -5,6 +5,10 @@ Each is a window over a key; rows of one key are ordered by the given columns, w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +66,26 @@ def emitted_changes(values: Column, step: float) -> Column:
     """Of a list of values, those at least step above the last one that was taken; the first counts from 0."""
     start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
     return F.aggregate(values, start, lambda s, v: F.when(v >= s["last"] + step, F.struct(v.alias("last"), F.concat(s["out"], F.array(v)).alias("out"))).otherwise(s), lambda s: s["out"])
+
+
+def emissions(rows: DataFrame, key: str, order: list[str], value: str, step: float) -> DataFrame:
+    """The rows whose value is at least a step above the last one emitted for their key, which starts at 0.
+
+    Rows are sorted within partitions of whole keys and scanned batch by batch: a key of any length needs the memory of one
+    batch. Null values are passed over.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, 0.0
+        for batch in batches:
+            keep = np.zeros(len(batch), dtype=bool)
+            for n, (k, v) in enumerate(zip(batch[key].tolist(), batch[value].tolist())):
+                if k != at:
+                    at, last = k, 0.0
+                if v is not None and v >= last + step:
+                    keep[n], last = True, v
+            yield batch[keep]
+
+    columns = list(dict.fromkeys([key, *order, value]))
+    known = rows.where(F.col(key).isNotNull()).select(*columns)
+    return known.repartition(key).sortWithinPartitions(key, *order).mapInPandas(scan, known.schema)

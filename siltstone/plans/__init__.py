@@ -1,3 +1,4 @@
 """Queries over the driver's tables, each beside its SQL."""
 
+from siltstone.plans import decision_queries as _decisions  # noqa: F401  adds to queries.QUERIES
 from siltstone.plans import more_queries as _more  # noqa: F401  adds to queries.QUERIES

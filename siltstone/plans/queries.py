@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as S
 from siltstone.operators import aggregates as A
-from siltstone.operators import filters, joins, merge, sequences
+from siltstone.operators import decisions, filters, joins, merge, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -340,14 +340,17 @@ def head_tail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderstatus, count(*) AS expired, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS token
-FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY GROUP BY o_orderstatus
+WITH x AS (SELECT o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS c, sha256(concat_ws(chr(10), 'order', CAST(o_orderkey AS VARCHAR), '', CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR))) AS h
+  FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY)
+SELECT o_orderstatus, count(*) AS expired, CAST(sum(c) AS BIGINT) AS cents, sha256(concat_ws(',', '30', 'false', CAST(count(*) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR),
+  CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS VARCHAR))) AS token
+FROM x GROUP BY o_orderstatus
 """)
 def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is past its retention, the cutoff included, with a digest of the identities that a confirmation must match."""
+    """What is past its retention, the cutoff included, with a token over the identities that a confirmation must match."""
     expired = read(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1998-01-01").cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return expired.groupBy("o_orderstatus").agg(F.count("*").alias("expired"), F.sum(cents("o_totalprice")).alias("cents"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("token"))
+    files = expired.select("o_orderstatus", F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.lit("").alias("path"), cents("o_totalprice").alias("bytes"))
+    return decisions.cleanup_plan(files, ["o_orderstatus"], 30).select("o_orderstatus", F.col("files").alias("expired"), F.col("bytes").alias("cents"), "token")
 
 
 @query("""

@@ -36,8 +36,8 @@ def test_recovery_exclusion_and_orphans(spark):
     got = {r["id"]: (r["status"], r["progress"]) for r in D.recovered(jobs, 3).collect()}
     assert got == {1: ("Queued", 0.0), 2: ("Failed", 0.0), 3: ("Completed", 1.0)}
     why = lambda names, retries, quality: one(spark, D.immediate_exclusion(F.array(*[F.lit(n) for n in names]), F.lit(True), F.lit(retries), F.lit(quality).cast("int")))
-    assert why(["Duration", "Size saving"], 0, 5) == "SizeSaving" and why(["Visual quality"], 1, 5) == "VmafAfterHigherQualityRetry"
-    assert why(["Visual quality"], 0, 0) == "VmafAtMaximumQuality" and why(["Visual quality"], 0, 5) is None and why(["Visual quality", "Duration"], 1, 5) is None
+    assert why(["Duration", "Size saving"], 0, 5) == "SizeSaving" and why([D.QUALITY], 1, 5) == "VmafAfterHigherQualityRetry"
+    assert why([D.QUALITY], 0, 0) == "VmafAtMaximumQuality" and why([D.QUALITY], 0, 5) is None and why([D.QUALITY, "Duration"], 1, 5) is None
     now = dt.datetime(2024, 2, 1)
     files = spark.createDataFrame([("a", now - dt.timedelta(days=8)), ("b", now - dt.timedelta(days=8)), ("c", now)], "path string, modified_at timestamp")
     assert [r["path"] for r in D.orphans(files, files.where("path = 'b'"), F.lit(now)).collect()] == ["a"]
@@ -84,3 +84,43 @@ def test_media_expressions(spark):
     assert x(media.marker_value(F.lit(" Tool:v1 "), "tool:")) == "v1" and x(media.marker_value(F.lit("Other"), "tool:")) is None
     assert x(media.content_type(F.lit(b"\x89PNG123"))) == "image/png" and x(media.rate_saving(F.lit(1000), F.lit(100.0), F.lit(50), F.lit(10.0))) == 50.0
     assert x(media.utc_stamp(F.lit(dt.datetime(2024, 3, 4, 5, 6, 7, 89000)))) == "20240304T050607089"
+
+
+def test_policies_and_advice(spark):
+    x = lambda c: one(spark, c)
+    yes, no, unknown = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    assert x(D.auto_replaces(F.lit("ReadyToReplace"), yes, yes, no, no)) and not x(D.auto_replaces(F.lit("ReadyToReplace"), unknown, yes, no, no))
+    assert x(D.kept_for_diagnosis(F.lit("Preview"), F.lit("Failed"))) and not x(D.kept_for_diagnosis(F.lit("Normal"), F.lit("Failed")))
+    assert x(D.streak_excludes(F.lit(3), F.lit(3))) and not x(D.streak_excludes(F.lit(3), F.lit(0)))
+    jobs = spark.createDataFrame([(1, "Completed"), (2, "Failed"), (3, "Queued"), (4, "Cancelled")], "id int, status string")
+    assert sorted(r["id"] for r in D.clearable(jobs, spark.createDataFrame([(2,), (2,)], "job_id int")).collect()) == [1, 4]
+    assert x(D.software_decode_helps(F.lit("x INIT_HW_device y"))) and not x(D.software_decode_helps(F.lit(None).cast("string")))
+    assert "MKV" in x(D.explained(F.lit("Only possible from TEXT to text or bitmap to bitmap"))) and x(D.explained(F.lit("other"))) is None
+    q = lambda names, measured, n, level: x(D.quality_retry(F.array(*[F.lit(v) for v in names]), F.lit(measured), F.lit(n), F.lit(level).cast("int")))
+    assert q([D.QUALITY], True, 0, 5) and not q([D.QUALITY], True, 1, 5) and not q([D.QUALITY], False, 0, 5) and not q([D.QUALITY], True, 0, None) and not q([D.QUALITY, "Duration"], True, 0, 5)
+    assert x(D.calibratable(yes, no, F.lit("Preserve"), yes)) and not x(D.calibratable(yes, no, F.lit("Exclude"), yes)) and not x(D.calibratable(no, yes, F.lit("Preserve"), yes))
+    assert x(D.ladder(F.lit("AAC"))) == [96, 128, 160, 192, 256] and x(D.ladder(F.lit("flac"))) is None
+    assert [x(D.effective_bitrate(F.lit(100), F.lit(n), F.lit(d))) for n, d in ((2, False), (5, False), (6, False), (6, True))] == [100, 300, 300, 100]
+
+
+def test_output_spec(spark):
+    def spec(kind, path, container, pictures=False, unfit=False, hdr=False, copies=True):
+        rules = F.struct(F.lit(container).cast("string").alias("target_container"), F.lit("hevc").alias("target_video_codec"), F.lit(None if copies else "aac").cast("string").alias("video_audio_codec"), F.lit("opus").alias("target_audio_codec"), F.lit("JPEG").alias("target_image_format"), F.lit("TonemapToSdr").alias("hdr"))
+        return tuple(one(spark, D.output_spec(F.lit(kind), F.lit(path), rules, F.lit(pictures), F.lit(unfit), F.lit(hdr), "/work/")))
+
+    assert spec("Video", "a.b/Film.one.avi", "mp4", hdr=True) == ("mp4", "/work/a.b/Film.one.mp4", True)
+    assert spec("Video", "x.avi", ".MOV", pictures=True)[0] == "mkv" and spec("Video", "x.avi", "mp4", unfit=True)[0] == "mkv" and spec("Video", "x.avi", "mp4", unfit=True, copies=False)[0] == "mp4"
+    assert spec("Video", "d\\x.avi", None) == ("avi", "/work/d/x.avi", False) and spec("Unknown", "x", "mkv", unfit=True) == ("mkv", "/work/x.mkv", False)
+    assert spec("Audio", "x.flac", "mp4", hdr=True) == ("opus", "/work/x.opus", False) and spec("Image", "x.png", None) == ("jpg", "/work/x.jpg", False)
+
+
+def test_cleanup(spark):
+    files = spark.createDataFrame([("failed", 1, "/w/a", 10), ("quarantine", 2, None, None), ("failed", 3, "/w/c", 5)], "kind string, id int, path string, bytes long")
+    plan = lambda df, **o: D.cleanup_plan(df, [], 30, **o).first()
+    first = plan(files)
+    assert (first["files"], first["bytes"], len(first["token"])) == (3, 15, 64) and plan(files.orderBy(F.desc("id")).repartition(3)) == first
+    assert len({first["token"], plan(files.where("id < 3"))["token"], plan(files, dry_run=True)["token"], plan(files.withColumn("bytes", F.lit(1).cast("long")))["token"], plan(files.limit(0))["token"]}) == 5
+    now, old = dt.datetime(2024, 2, 1), dt.datetime(2024, 1, 1)
+    jobs = spark.createDataFrame([(1, "Failed", "/w/a", old), (2, "Failed", "/w/b", old), (3, "Queued", "/w/b", None), (4, "Failed", "/w/c", now), (5, "Failed", "/work/x", old), (6, "Failed", "/w/d", None)], "id int, status string, path string, finished_at timestamp")
+    assert [r["id"] for r in D.failed_outputs(jobs, "/w/", F.lit(now), 30).collect()] == [1]
+    assert sorted(r["id"] for r in D.lapsed(jobs, "finished_at", F.lit(now)).collect()) == [1, 2, 4, 5]

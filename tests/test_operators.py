@@ -225,19 +225,59 @@ def test_probe_and_logs(spark):
 HEALTHY = {
     "id": 0, "media_kind": "Video", "decode_errors": 0, "output_probed": True, "source_duration": 3600.0, "output_duration": 3600.0, "source_audio_tracks": 2, "output_audio_tracks": 2, "removed_audio_tracks": None,
     "source_subtitle_tracks": 1, "output_subtitle_tracks": 1, "removed_subtitle_tracks": None, "source_bytes": 10**9, "output_bytes": 6 * 10**8, "output_video_codec": "hevc", "expected_video_codec": "hevc", "source_is_hdr": False,
-    "output_is_hdr": False, "source_av_offset": 0.0, "output_av_offset": 0.0, "timestamp_regressions": 0, "decoded_tail": 3600.0, "vmaf_harmonic": 94.5, "vmaf_p5": 90.0, "vmaf_min": 88.0, "source_loudness": -23.0, "output_loudness": -23.0,
-    "source_peak": -1.0, "output_peak": -1.0,
+    "output_is_hdr": False, "source_video_start": 0.0, "source_audio_start": 0.0, "output_video_start": 0.0, "output_audio_start": 0.0, "timestamp_regressions": 0, "output_timestamps_measured": True, "output_last_presentation": 3600.0,
+    "source_timestamps_measured": False, "source_last_presentation": 3600.0, "vmaf_harmonic": 94.5, "vmaf_p5": 90.0, "vmaf_min": 88.0, "least_vmaf_harmonic": 92.0, "source_loudness": -23.0, "output_loudness": -23.0, "source_peak": -1.0, "output_peak": -1.0,
+    "video_reencoded": True, "source_video_codec": "h264", "source_width": 1920, "source_height": 1080, "output_width": 1920, "output_height": 1080, "source_pixel_format": "yuv420p", "output_pixel_format": "yuv420p10le",
+    "source_video_profile": "High", "output_video_profile": "Main 10", "container_fixed": False, "source_container": "matroska", "output_container": "Matroska", "source_color_primaries": "bt709", "output_color_primaries": "BT709", "tone_mapped": False,
+    "source_audio_channels": 6, "output_audio_channels": 6, "source_sample_rate": 48000, "output_sample_rate": 48000, "downmixed": False, "audio_reencoded": False, "downscaled": False, "ssim": 0.99, "image_metadata_measured": True, "source_has_exif": True,
+    "output_has_exif": True, "source_attached_pictures": 1, "output_attached_pictures": 1, "quality_gate": True,
 }
 KINDS = {int: "long", float: "double", str: "string", bool: "boolean", type(None): "long"}
-CHANGES = [({}, None), ({"decode_errors": 3}, "Decode health"), ({"output_duration": 3500.0}, "Duration"), ({"output_audio_tracks": 1}, "Audio tracks"), ({"output_audio_tracks": 1, "removed_audio_tracks": 1}, None), ({"output_bytes": 10**9}, "Size saving"), ({"output_video_codec": "h264"}, "Video stream"), ({"source_is_hdr": True}, "HDR preserved"), ({"output_av_offset": 0.6}, "A/V sync"), ({"timestamp_regressions": 1}, "Monotonic timestamps"), ({"timestamp_regressions": None}, None), ({"decoded_tail": 3500.0}, "Tail integrity"), ({"decoded_tail": 3540.0}, None), ({"vmaf_harmonic": None}, "Visual quality"), ({"vmaf_p5": 70.0}, "Visual quality"), ({"output_loudness": -20.0}, "Loudness"), ({"output_peak": 0.5}, "Clipping")]
+IMAGE, AUDIO = {"media_kind": "Image"}, {"media_kind": "Audio"}
+CHANGES = [
+    ({}, None), ({"decode_errors": 3}, "Decode health"), ({"output_duration": 3500.0}, "Duration"), ({"output_duration": None}, "Duration"), ({"output_audio_tracks": 1}, "Audio tracks"), ({"output_audio_tracks": 1, "removed_audio_tracks": 1}, None),
+    ({"removed_audio_tracks": 1}, "Audio tracks"), ({"output_audio_tracks": 1, "removed_audio_tracks": 2}, None), ({"output_subtitle_tracks": 0}, None), ({"removed_subtitle_tracks": 1}, "Subtitle tracks"), ({"output_bytes": 10**9}, "Size saving"),
+    ({"output_bytes": 0}, "Size saving"), ({"output_video_codec": "h264"}, "Video structure"), ({"output_width": 1280}, "Video structure"), ({"source_pixel_format": None}, "Video structure"), ({"source_pixel_format": "yuv422p"}, "Video structure"),
+    ({"output_video_profile": "Main"}, "Video structure"), ({"video_reencoded": False, "source_video_codec": "hevc"}, "Video structure"), ({"source_is_hdr": True}, "HDR signal"), ({"source_is_hdr": True, "tone_mapped": True}, None),
+    ({"output_color_primaries": "bt2020"}, "Colour metadata"), ({"output_color_primaries": None}, None), ({"output_color_primaries": "bt2020", "tone_mapped": True}, "Colour metadata"), ({"output_audio_start": 0.6}, "A/V sync"),
+    ({"output_audio_start": 0.6, "source_audio_start": 0.6}, None), ({"output_audio_start": 0.6, "source_audio_start": None}, "A/V sync"), ({"timestamp_regressions": 1}, "Timestamp integrity"), ({"output_timestamps_measured": False, "timestamp_regressions": 1}, None),
+    ({"output_last_presentation": 3500.0}, "Tail integrity"), ({"output_last_presentation": 3540.0}, None), ({"source_timestamps_measured": True, "source_last_presentation": 3000.0}, "Source video timeline"), ({"vmaf_harmonic": None}, "Perceptual quality (VMAF)"),
+    ({"vmaf_p5": 70.0}, "Perceptual quality (VMAF)"), ({"vmaf_p5": None}, None), ({"vmaf_harmonic": 92.5}, None), ({"vmaf_harmonic": 92.5, "least_vmaf_harmonic": None}, "Perceptual quality (VMAF)"), ({"quality_gate": False, "vmaf_p5": 70.0}, None),
+    ({"output_loudness": -20.0}, "Audio loudness (EBU R128)"), ({"output_peak": 0.5}, "Audio clipping (true peak)"), ({"output_peak": None}, "Audio clipping (true peak)"), ({"output_audio_channels": 2}, "Audio fidelity"), ({"output_audio_channels": 2, "downmixed": True}, None),
+    ({"output_sample_rate": 44100}, "Audio fidelity"), ({"output_sample_rate": 44100, "audio_reencoded": True}, None), ({"container_fixed": True, "output_container": "mp4"}, "Container unchanged"), ({"container_fixed": True}, None),
+    (IMAGE, None), (IMAGE | {"output_video_codec": " "}, "Picture"), (IMAGE | {"output_width": 960, "output_height": 540}, "Dimensions"), (IMAGE | {"output_width": 960, "output_height": 540, "downscaled": True}, None),
+    (IMAGE | {"output_width": 960, "output_height": 600, "downscaled": True}, "Dimensions"), (IMAGE | {"source_width": None, "output_width": 1}, None), (IMAGE | {"ssim": None}, "Image quality (SSIM)"), (IMAGE | {"output_has_exif": False}, "Image metadata (EXIF/ICC)"),
+    (IMAGE | {"image_metadata_measured": False}, "Image metadata (EXIF/ICC)"), (AUDIO | {"output_attached_pictures": 0}, "Audio metadata and artwork"), (AUDIO | {"output_sample_rate": 44100}, None),
+]
 
 
 def test_verification_matrix(spark):
     types = ", ".join(f"{k} {KINDS[type(v)]}" for k, v in HEALTHY.items())
     df = rows_of(spark, [HEALTHY | c | {"id": k} for k, (c, _) in enumerate(CHANGES)], types)
-    policy = verification.Policy(quality_gate=True, loudness_tolerance=1.0)
+    df = df.withColumn("expected_audio_codecs", F.array(F.lit("eac3"))).withColumn("output_audio_codecs", F.array(F.lit("EAC3")))
+    policy = verification.Policy(loudness_tolerance=1.0, peak_ceiling=0.0)
     got = verification.verified(df, policy).select("id", "passed", checks.failed_names(F.col("checks")).alias("f")).orderBy("id").collect()
-    assert [(r["f"], r["passed"]) for r in got] == [([w] if w else [], w is None) for _, w in CHANGES]
+    assert [(CHANGES[r["id"]][0], r["f"], r["passed"]) for r in got] == [(c, [w] if w else [], w is None) for c, w in CHANGES]
+
+
+def test_verification_of_languages_codecs_and_tags(spark):
+    kind = "id int, media_kind string, expected_audio_languages array<string>, output_audio_languages array<string>, container_fixed boolean, expected_audio_codecs array<string>, output_audio_codecs array<string>, source_tags map<string,string>, output_tags map<string,string>"
+    rows = [
+        (0, "Video", ["ger", None, "en"], ["deu", "fra", "eng"], False, None, None, None, None),
+        (1, "Video", ["ger"], ["en"], False, None, None, None, None),
+        (2, "Video", ["ger"], ["de", "en"], False, None, None, None, None),
+        (3, "Video", ["ger"], None, True, ["aac", "ac3"], ["AAC", None], None, None),
+        (4, "Video", None, None, True, ["aac"], ["AAC"], None, None),
+        (5, "Audio", None, None, False, None, None, {"Title": "x", "YEAR": "1999", "encoder": "a", "blank": " "}, {"title": " x ", "date": "1999"}),
+        (6, "Audio", None, None, False, None, None, {"title": "x"}, {"title": "X"}),
+        (7, "Audio", None, None, False, None, None, {"title": "x", "TITLE": "y"}, {"Title": "x"}),
+    ]
+    watched = {"Audio languages", "Container unchanged", "Audio codecs unchanged", "Audio metadata and artwork"}
+    found = verification.verified(spark.createDataFrame(rows, kind)).select("id", "checks").collect()
+    outcomes = {r["id"]: {c["name"]: c["outcome"] == "Passed" for c in r["checks"] if c["name"] in watched} for r in found}
+    assert [outcomes[k].get("Audio languages") for k in range(5)] == [True, False, False, False, None]
+    assert outcomes[3]["Audio codecs unchanged"] is False and outcomes[4]["Audio codecs unchanged"] is True and outcomes[4]["Container unchanged"] is False
+    assert [outcomes[k]["Audio metadata and artwork"] for k in (5, 6)] == [True, False] and 7 in outcomes
 
 
 def test_scan_of_a_folder(spark, tmp_path):
@@ -262,3 +302,67 @@ def test_progress_stream(spark, tmp_path):
     seen = []
     progress.drain(progress.progress_blocks(stream), str(tmp_path / "state"), lambda df, _: seen.extend(tuple(r) for r in df.collect()))
     assert sorted(seen, key=str) == sorted([(1, 3723.5, 29.97, 1.5, False), (1, 2.5, None, None, False), (1, 3.75, None, None, True)], key=str)
+
+
+def test_emissions_equal_a_loop(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(k, n, draw.choice([None, round(draw.random(), 3)])) for k in range(5) for n in range(60)] + [(9, 0, 0.1), (None, 1, 0.9)]
+    want = []
+    for k in range(5):
+        last = 0.0
+        for key, n, v in rows:
+            if key == k and v is not None and v >= last + 0.1:
+                want.append((k, n, v))
+                last = v
+    df = spark.createDataFrame(rows, "k int, n int, v double").withColumn("other", F.lit("x"))
+    assert sorted(tuple(r) for r in sequences.emissions(df, "k", ["n"], "v", 0.1).collect() if r["k"] != 9) == want
+    assert sequences.emissions(df.limit(0), "k", ["n"], "v", 0.1).count() == 0
+
+
+def test_listings_and_devices(spark):
+    x = lambda c: one(spark, c)
+    assert x(parsers.accelerators(F.lit("note\nHardware acceleration methods:\n cuda \n\nvaapi\n"))) == ["cuda", "vaapi"] and x(parsers.accelerators(F.lit("cuda"))) == []
+    filters = F.lit(" T.. libvmaf_cuda VV->V x\nlibvmaf")
+    assert x(parsers.has_filter(filters, "libvmaf_cuda")) and not x(parsers.has_filter(filters, "libvmaf")) and not x(parsers.has_filter(F.lit(None).cast("string"), "a"))
+    listing = " V....D libx265   text\n V....D hevc_nvenc  text\n V..... hevc_qsv x\n A.. h264_qsv"
+    machines = spark.createDataFrame([("a", listing, True, False), ("b", None, True, True)], "machine string, listing string, nvidia boolean, dri boolean")
+    got = parsers.capabilities(machines, "listing", "nvidia", "dri").where("available").select("machine", "name").collect()
+    assert sorted(tuple(r) for r in got) == [("a", "hevc_nvenc"), ("a", "libx265")] and parsers.capabilities(machines, "listing", "nvidia", "dri").count() == 24
+    text = "pos: 0\ndrm-driver:\ti915\ndrm-client-id: 7\ndrm-engine-render: 100 ns\ndrm-engine-render: 150 ns\ndrm-engine-video:\t0 ns\ndrm-engine-copy: x ns"
+    assert x(parsers.drm_client(F.lit(text))).asDict() == {"client_id": 7, "driver": "i915", "engines": {"render": 150}}
+    assert x(parsers.drm_client(F.lit("drm-client-id: 7"))) is None and x(parsers.drm_client(F.lit("drm-engine-render: 1 ns"))) is None
+    assert [x(parsers.utilisation_report(F.lit(t))) for t in ("bad\n 37 %\n40", "250", "x")] == [37, 100, None] and [x(parsers.busy_percent(F.lit(t))) for t in (" 12\n", "-3", "1 2")] == [12, 0, None]
+
+
+def test_server_answers(spark):
+    x = lambda c: one(spark, c)
+    flat = {"MediaContainer": {"Metadata": [{"type": "movie", "year": 1990, "art": "/a"}, {"type": "show", "year": "x", "art": ""}], "Hub": [{"Metadata": [{"type": "show", "year": 2001, "art": "/b"}, {"type": "episode", "year": 2002, "art": "/c", "thumb": "/t"}]}, {}]}}
+    art = lambda series, year, field="art": x(parsers.search_art(F.lit(json.dumps(flat)), field, F.lit(series), F.lit(year).cast("int")))
+    assert [art(True, 2002), art(True, None), art(True, 1990), art(False, 2020), art(False, 1, "thumb")] == ["/c", "/b", "/b", "/a", "/t"] and x(parsers.search_art(F.lit("{bad"), "art", F.lit(True), F.lit(1))) is None
+    items = {"Items": [{"Id": "1", "Type": "Movie", "ProductionYear": 2000, "BackdropImageTags": ["q"], "ImageTags": {"Primary": "p"}}, {"Id": "2", "Type": "Series", "ProductionYear": 2001, "BackdropImageTags": []}]}
+    image = lambda backdrop, series: x(parsers.item_image(F.lit(json.dumps(items)), backdrop, F.lit(series), F.lit(2001)))
+    assert image(True, True) == "/Items/1/Images/Backdrop/0?tag=q" and image(False, False) == "/Items/1/Images/Primary?tag=p"
+    posters = [{"title": "The Show!", "year": 1999, "images": [{"coverType": "fanart", "remoteUrl": "f"}, {"coverType": "poster", "remoteUrl": "old"}]}, {"title": "the show", "year": 2010, "images": [{"coverType": "poster", "remoteUrl": "new"}]}]
+    poster = lambda title, year: x(parsers.remote_poster(F.lit(json.dumps(posters)), F.lit(title).cast("string"), F.lit(year).cast("int")))
+    assert [poster("The Show", 2010), poster("the.show", None), poster("other", 1999), poster(None, 1999)] == ["new", "old", None, None]
+    owned = [
+        {"name": "home", "provides": "client, Server", "accessToken": "t", "connections": [{"uri": "https://relay", "relay": True, "local": True, "protocol": "https"}, {"uri": "http://far"}, {"uri": "https://near", "local": True, "protocol": "https"}, {"uri": "http://near2", "local": True, "protocol": "http"}]},
+        {"name": "phone", "provides": "client", "connections": [{"uri": "u"}]}, {"name": "none", "provides": "server", "connections": [{"uri": " "}]},
+    ]
+    assert [(s["name"], s["uri"], s["access_token"]) for s in x(parsers.servers(F.lit(json.dumps(owned))))] == [("home", "https://near", "t")] and x(parsers.servers(F.lit("x"))) == []
+    assert x(parsers.server_info(F.lit('{"MediaContainer":{"friendlyName":"n","version":"1"}}'))).asDict() == {"name": "n", "version": "1"} and x(parsers.server_info(F.lit('{"ServerName":"j"}')))["version"] is None and x(parsers.server_info(F.lit("{}"))) is None
+    assert x(parsers.sign_in(F.lit('{"id":5,"code":"ab","authToken":""}'))).asDict() == {"pin_id": 5, "code": "ab", "secret": None, "token": None, "granted": False}
+    assert x(parsers.sign_in(F.lit('{"Authenticated":true,"AccessToken":"t","Secret":"s"}'))).asDict() == {"pin_id": None, "code": None, "secret": "s", "token": "t", "granted": True}
+
+
+def test_utilisation_stream(spark, tmp_path):
+    from siltstone.streaming import counters
+
+    for rows in ([("a", 0.0, 1.0), ("a", 2.0, 2.0), ("b", 0.0, 9.0)], [("a", 4.0, 9.0), ("a", 3.0, 2.0), ("b", 1.0, 3.0), ("b", 1.0, 4.0), ("b", None, 1.0)]):
+        spark.createDataFrame(rows, "counter string, at double, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("counter string, at double, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    progress.drain(counters.utilisation_stream(stream), str(tmp_path / "state"), lambda df, _: seen.extend(tuple(r) for r in df.collect()))
+    assert sorted(seen) == [("a", 2.0, 50.0), ("a", 3.0, 0.0), ("a", 4.0, 100.0), ("b", 1.0, 0.0)]
