@@ -39,14 +39,15 @@ def path_prefixes(path: Column, separator: str = "/") -> Column:
 def under_folders(paths: DataFrame, path: str, folders: DataFrame, folder: str, pick: Column, value: str) -> DataFrame:
     """paths with value: the picked one of the folders that hold it (equal to it or above it), null if none does.
 
-    Each path is exploded into its few prefixes, which makes an equi-join of a containment test, so neither side has to
-    be small and no nested loop is needed. ``pick`` aggregates over the folders found.
+    Each distinct path is exploded into its few prefixes, which makes an equi-join of a containment test, so neither side has
+    to be small and no nested loop is needed. What is found is joined back by the path itself, which a lost and recomputed
+    task can't change. ``pick`` aggregates over the folders found.
     """
-    rows = paths.withColumn("__row", F.monotonically_increasing_id())
-    exploded = rows.select("__row", F.explode(path_prefixes(F.col(path))).alias("__prefix"))
+    known = paths.where(F.col(path).isNotNull()).select(F.col(path).alias("__path")).distinct()
+    exploded = known.select("__path", F.explode(path_prefixes(F.col("__path"))).alias("__prefix"))
     named = folders.where(F.col(folder) != "").withColumn("__prefix", F.col(folder))
-    found = exploded.join(named, "__prefix").groupBy("__row").agg(pick.alias(value))
-    return rows.join(found, "__row", "left").drop("__row")
+    found = exploded.join(named, "__prefix").groupBy("__path").agg(pick.alias(value))
+    return paths.join(found, F.col(path) == F.col("__path"), "left").drop("__path")
 
 
 def first_difference(expected: Column, actual: Column) -> Column:
