@@ -10,7 +10,7 @@ from siltstone.llm.support import scratch_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Toxic documents and those that importance resampling rejects go."""
     return importance.keep_good(docs, table(spark, sf_dir, "labels"))
 
 

@@ -9,13 +9,19 @@ Features are words, pairs of words (with one number for a word that repeats), an
 (capitals, digits, runs of symbols), hashed to ``BUCKETS`` numbers. k is the labelled share of good documents times all
 documents; its threshold is found exactly by narrowing a histogram, without sorting rows in one place.
 
+``keep_good`` first leaves out toxic documents, whatever their quality, and then samples the labelled share of good ones
+among those labelled as not toxic. The sample alone can't do that: a few words make a text toxic, and they weigh little
+in the sum over all n-grams. A document is toxic if it holds a telling word, one for which documents labelled toxic are at
+least ``TELLING`` times as frequent as others, and more so than chance explains over the whole vocabulary. The query's
+column ``kept`` is the sample by quality alone.
+
 Raw counts are taken over all documents. Target counts are taken over at most ``MAX_TARGET`` labelled documents, chosen
 by a hash of their ids, which bounds what is broadcast.
 
 Edge cases: null or empty text has weight 0 and takes part with its noise alone; a null id draws its noise from the
 text; rows with equal keys at the threshold are all kept; rows that repeat an id are weighed each by itself; conflicting
-labels count as the worst of them; without a good label, or without documents, all are kept; other columns are ignored
-by the query and kept by ``keep_good``.
+labels count as the worst of them; without a good label, or without documents, all are kept, and without a toxic label or
+one that is not, no document is toxic; other columns are ignored by the query and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from .support import LOWER_TABLE, materialise, mix64, table
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 MAX_TARGET = 20_000
+#: Of a telling word, labelled documents that hold it are toxic this many times as often as not.
+TELLING = 4.0
 #: Counts added to either model in each bucket, in proportion to the raw model, so rare n-grams weigh little.
 PRIOR = 20.0
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
@@ -166,12 +174,70 @@ def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, **op
     return score, scored, kth_largest(scored, "key", round(scored.count() * share) if k is None else k)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and other documents hold each word; the empty word stands for the documents themselves."""
+
+    def done() -> pa.RecordBatch:
+        words = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([counts[w][k] for w in words], pa.int64()) for k in (0, 1))], names=["word", "toxic", "other"])
+
+    counts: dict[bytes, list[int]] = {}
+    for batch in batches:
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word in {b"", *TOKEN.findall((text or "").encode().translate(LOWER_TABLE))}:
+                counts.setdefault(word, [0, 0])[0 if toxic else 1] += 1
+        if len(counts) > 200_000:  # bounds a worker's memory
+            yield done()
+            counts.clear()
+    if counts:
+        yield done()
+
+
+def telling_words(documents: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, telling: float = TELLING) -> frozenset[bytes]:
+    """Words that tell toxic documents, learned from at most max_target labelled ones of either kind."""
+    judged = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    judged = materialise(judged, "toxic-labels")
+    some = [judged.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target) for kind in (True, False)]
+    all_toxic, all_of = judged.agg(F.count_if("toxic"), F.count("*")).first()
+    if not 0 < all_toxic < all_of:
+        return frozenset()
+    chosen = documents.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
+    counted = chosen.select("toxic", "text").mapInArrow(_word_counts, "word binary, toxic long, other long")
+    counted = materialise(counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxic-words")
+    held = counted.where(F.octet_length("word") == 0).first()
+    if held is None or not held["toxic"] or not held["other"]:
+        return frozenset()
+    share = held["toxic"] / (held["toxic"] + held["other"])
+    toxic, other = F.col("toxic"), F.col("other")
+    both = toxic + other
+    surprise = toxic * F.log(toxic / (both * share)) + F.when(other > 0, other * F.log(other / (both * (1 - share)))).otherwise(0.0)
+    odds = (toxic / held["toxic"] * all_toxic) / (F.greatest(other, F.lit(0.5)) / held["other"] * (all_of - all_toxic))
+    found = counted.where((F.octet_length("word") > 0) & (toxic > 0) & (odds >= telling) & (surprise >= float(np.log(counted.count()))))
+    return frozenset(bytes(r["word"]) for r in found.select("word").collect())
+
+
+def without_toxic(documents: DataFrame, words: frozenset[bytes]) -> DataFrame:
+    """The rows of documents that hold none of words."""
+    if not words:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        telling = shared.value
+        return pd.Series([telling.isdisjoint(TOKEN.findall((t or "").encode().translate(LOWER_TABLE))) for t in text])
+
+    return documents.where(clean("text"))
+
+
 def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of documents that are sampled, with all their columns."""
-    score, _, threshold = resample(documents, labels, **options)
+    """The rows of documents that are not toxic and are sampled, with all their columns."""
+    clean = without_toxic(documents, telling_words(documents, labels))
+    toxic = labels.where("toxic > 0").select("doc_id").distinct()
+    score, _, threshold = resample(clean, labels.join(toxic, "doc_id", "left_anti"), **options)
     if threshold is None:
-        return documents
-    return documents.where(score("doc_id", "text")["key"] >= threshold)
+        return clean
+    return clean.where(score("doc_id", "text")["key"] >= threshold)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,26 @@ def test_importance_separates_held_out_quality(spark):
     assert len(scored) == 1000
 
 
+def test_quality_stage_rejects_toxic_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, sf).select("doc_id").collect()}
+    labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{sf}/labels.parquet'").fetchall()
+    share = lambda q, x: np.mean([d in kept for d, quality, toxic in labels if (quality, toxic) == (q, x)])
+    assert share(1, 0) > 0.95 and share(1, 1) < 0.3 and share(0, 0) < 0.15 and share(0, 1) < 0.15
+
+
+def test_telling_words(spark):
+    """Learned from some documents, they tell others; a word that others hold as well is none."""
+    texts = [f"plain text of {k} words awful" if k % 5 == 0 else f"plain text of {k} words" for k in range(100)] + ["AWFUL!", "lawful", None]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(100)], "doc_id long, quality long, toxic long")
+    words = importance.telling_words(docs, labels)
+    assert words == {b"awful"}
+    assert {r["doc_id"] for r in importance.without_toxic(docs, words).collect()} == {*range(103)} - {*range(0, 101, 5)}
+    assert not importance.telling_words(docs, labels.where("toxic = 0")) and not importance.telling_words(docs, labels.where("toxic = 1"))
+
+
 def test_importance_weights_against_plain_counts(spark):
     texts = ["good plain words here"] * 5 + ["BAD!! BAD!! words"] * 5
     docs = frame(spark, texts)
