@@ -3,9 +3,9 @@
 A shard is a bounded run of documents inside a task. Its words are numbered by the test phrases' vocabulary; a word
 outside it can lie in no phrase, so it only separates runs, and runs shorter than the shortest phrase are left out. Over
 the rest the task builds a suffix array, the Burrows-Wheeler transform, a wavelet matrix for ranks, and a sample of
-suffix positions. All phrases are searched backwards at once; occurrences are located by walking to a sampled position,
-and their spans are merged. Documents are read once and never shuffled; the phrases go to the tasks in blocks of bounded
-size.
+suffix positions. All phrases of a block are searched backwards at once; occurrences are located by walking to a sampled
+position, and their spans are merged. Documents are read once and never shuffled; the phrases go to the tasks in blocks of
+bounded size, and each task searches a shard for one block after another.
 
 Edge cases: null or empty text has no words and is not contaminated; an item without words has no phrase; a null item_id
 counts as the item named ``null``; repeated items count once; repeated rows of documents are judged each by itself; other
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,11 +151,25 @@ class Phrases:
             self.by_length[length] = np.array(windows, dtype=np.int64), [sorted(owners[w]) for w in windows]
 
 
-def search_shard(docs: list[tuple[int | None, np.ndarray]], phrases: Phrases) -> list[tuple[int | None, int, list[tuple[int, int]], list[str]]]:
-    """For each (doc_id, word numbers, 0 where outside the vocabulary): word count, merged hit spans, items."""
-    starts = np.concatenate([[0], np.cumsum([len(ids) + 1 for _, ids in docs])])
+Spans = list[tuple[int, int]]
+
+
+def merged(spans: Spans) -> Spans:
+    """Spans that meet or overlap become one."""
+    out: Spans = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[Spans, set[str]]]:
+    """For each document's word numbers, 0 where outside the vocabulary: merged hit spans, items."""
+    starts = np.concatenate([[0], np.cumsum([len(ids) + 1 for ids in docs])])
     joined = np.zeros(int(starts[-1]), dtype=np.int64)
-    for at, (_, ids) in zip(starts, docs):
+    for at, ids in zip(starts, docs):
         joined[at : at + len(ids)] = ids
     inside = np.concatenate([[0], (joined != 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(inside))
@@ -182,86 +197,85 @@ def search_shard(docs: list[tuple[int | None, np.ndarray]], phrases: Phrases) ->
         of = np.searchsorted(starts, [f[0] for f in found], side="right") - 1
         for d, (at, length, items) in zip(of.tolist(), found):
             by_doc[d].append((at - int(starts[d]), at - int(starts[d]) + length, items))
-    out = []
-    for d, (doc_id, ids) in enumerate(docs):
-        spans: list[tuple[int, int]] = []
-        for a, b, _ in sorted(by_doc[d], key=lambda s: s[:2]) if d in by_doc else ():
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-        out.append((doc_id, len(ids), spans, sorted({i for *_, items in by_doc.get(d, ()) for i in items})))
-    return out
+    return [(merged([f[:2] for f in by_doc[d]]), {i for *_, items in by_doc[d] for i in items}) if d in by_doc else ([], set()) for d in range(len(docs))]
 
 
-def _search(phrases_of, shard_words: int):
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = phrases_of.value
+def search_blocks(texts: list[list[bytes]], blocks: list[Broadcast]) -> list[tuple[Spans, list[str]]]:
+    """For each document's words: merged hit spans and items of all blocks, of which one is in memory at a time."""
+    hits: list[tuple[Spans, set[str]]] = [([], set()) for _ in texts]
+    for block in blocks:
+        phrases = block.value
         get = phrases.vocabulary.get
-        shard: list[tuple[int | None, np.ndarray]] = []
+        found = search_shard([np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=len(words)) for words in texts], phrases)
+        hits = [(merged(spans + more), items | others) if more else (spans, items) for (spans, items), (more, others) in zip(hits, found)]
+        if len(blocks) > 1 and getattr(block, "_path", None):  # the worker's file, from which the next shard reads it again
+            block.__dict__.pop("_value", None)
+    return [(spans, sorted(items)) for spans, items in hits]
+
+
+def contaminated(n_hit: int, n_words: int) -> bool:
+    """If a twentieth of the words, and one at least, is hit."""
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def _search(blocks: list[Broadcast], shard_words: int, clean_rows: bool):
+    """With clean_rows, the rows given that are not contaminated, with all columns; else HITS."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        shard: list[list[bytes]] = []
         words = 0
 
-        def done() -> pa.RecordBatch:
-            rows = search_shard(shard, phrases)
-            return pa.RecordBatch.from_arrays(
+        def done() -> Iterator[pa.RecordBatch]:
+            hits = search_blocks(shard, blocks)
+            if clean_rows:
+                keep = pa.array([not contaminated(sum(b - a for a, b in spans), len(w)) for w, (spans, _) in zip(shard, hits)], pa.bool_())
+                at = 0
+                for part in rows:
+                    yield part.filter(keep.slice(at, part.num_rows))
+                    at += part.num_rows
+                return
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in r[2]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([r[3] for r in rows], pa.list_(pa.string())),
+                    pa.array([i for part in rows for i in part.column("doc_id").to_pylist()], pa.int64()),
+                    pa.array([len(w) for w in shard], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in hits], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([items for _, items in hits], pa.list_(pa.string())),
                 ],
                 names=["doc_id", "n_words", "hit", "items"],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                found = contract_words(text.as_py())
-                shard.append((doc_id.as_py(), np.fromiter((get(w, 0) for w in found), dtype=np.int32, count=len(found))))
-                words += len(found)
+            first = 0
+            for k, text in enumerate(batch.column("text")):
+                shard.append(contract_words(text.as_py()))
+                words += len(shard[-1])
                 if words >= shard_words:
-                    yield done()
-                    shard, words = [], 0
+                    rows.append(batch.slice(first, k + 1 - first))
+                    yield from done()
+                    rows, shard, words, first = [], [], 0, k + 1
+            rows.append(batch.slice(first))
         if shard:
-            yield done()
+            yield from done()
 
     return step
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hit spans in words, items found) for each document.
-
-    The benchmark is a stated query set: it is searched for in blocks of block_bytes at most on average, one after
-    another, and with more blocks than one their results are merged by a row number.
-    """
-    spark = documents.sparkSession
+def phrase_blocks(benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """The benchmark's phrases in blocks of block_bytes of text at most on average; the driver holds one while it is made."""
     asked = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    texts = documents.select("doc_id", "text")
-    results = []
+    made = []
     for k in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        phrases = spark.sparkContext.broadcast(Phrases([(r["item"], contract_words(r["text"])) for r in part.collect()], width))
-        results.append(texts.mapInArrow(_search(phrases, shard_words), HITS))
-    if blocks == 1:
-        return results[0]
-    return merge_blocks(results)
-
-
-def merge_blocks(results: list[DataFrame]) -> DataFrame:
-    """Documents' hits of all blocks together; rows that repeat an id and a word count have equal hits or are told apart by them."""
-    both = results[0].select("doc_id", "n_words", "hit", "items")
-    for more in results[1:]:
-        both = both.unionByName(more)
-    spans = F.array_sort(F.flatten(F.collect_list("hit")))
-    merged = both.groupBy("doc_id", "n_words").agg(spans.alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    fold = F.expr(
-        "aggregate(hit, cast(array() as array<struct<start:int,end:int>>), (done, x) -> "
-        "case when size(done) > 0 and x.start <= done[size(done) - 1].end "
-        "then concat(slice(done, 1, size(done) - 1), array(named_struct('start', done[size(done) - 1].start, 'end', greatest(done[size(done) - 1].end, x.end)))) "
-        "else concat(done, array(x)) end)"
-    )
-    return merged.select("doc_id", "n_words", fold.alias("hit"), "items")
+        made.append(benchmark.sparkSession.sparkContext.broadcast(Phrases([(r["item"], contract_words(r["text"])) for r in part.collect()], width)))
+    return made
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, hit spans in words, items found) for each row of documents."""
+    return documents.select("doc_id", "text").mapInArrow(_search(phrase_blocks(benchmark, width, block_bytes), shard_words, False), HITS)
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -129,6 +129,19 @@ def test_decontamination_against_brute_force(spark, blocks):
         assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= n)
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_decontamination_judges_each_row(spark, blocks):
+    """Rows that repeat, that share an id and a word count, or that have no id."""
+    items = [(k, f"item {k} has these few words") for k in range(12)]
+    texts = [(1, items[0][1] + " x"), (1, items[0][1] + " x"), (1, "y " + items[5][1]), (1, "all other words in this one row"), (None, items[3][1]), (None, "six words that are of none"), (None, None), (2, " ".join(t for _, t in items))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) + 16 for _, t in items)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontamination.decontaminated(docs, benchmark, shard_words=20, block_bytes=-(-size // blocks)).collect()
+    want = [(d, *brute_hits(t, items)) for d, t in texts]
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], *r["items"]) for r in got) == Counter((d, n, len(hit), *who) for d, n, hit, who in want)
+
+
 def test_decontamination_edges(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.decontaminated(tricky(spark), nothing).where("n_hit > 0").count() == 0
