@@ -278,6 +278,11 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, s
     return documents.select("doc_id", "text").mapInArrow(_search(phrase_blocks(benchmark, width, block_bytes), shard_words, False), HITS)
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents that are not contaminated, each by its own hits, with all their columns."""
+    return documents.mapInArrow(_search(phrase_blocks(benchmark, width, block_bytes), shard_words, True), documents.schema)
+
+
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """find_hits with the verdict: contaminated if a twentieth of the words, and one at least, is hit."""
     hits = find_hits(documents, benchmark, **options)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from cases import empty, frame, tricky, tricky_rows
 
+import corpus_pipeline
 from siltstone.llm import compression_bands, decontamination, line_dedup, packing, secrets, token_rollup
 from siltstone.llm.support import scratch_path
 
@@ -140,6 +141,15 @@ def test_decontamination_judges_each_row(spark, blocks):
     got = decontamination.decontaminated(docs, benchmark, shard_words=20, block_bytes=-(-size // blocks)).collect()
     want = [(d, *brute_hits(t, items)) for d, t in texts]
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], *r["items"]) for r in got) == Counter((d, n, len(hit), *who) for d, n, hit, who in want)
+    kept = decontamination.without_contaminated(docs, benchmark, shard_words=20, block_bytes=-(-size // blocks)).collect()
+    assert Counter(map(tuple, kept)) == Counter(t for t, (_, n, hit, _) in zip(texts, want) if not hit or 20 * len(hit) < n)
+
+
+def test_decontamination_stage_drops_rows_by_their_own_hits(spark):
+    item = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' WHERE length(text) > 100 ORDER BY item_id LIMIT 1").fetchall()[0][0]
+    texts = [(1, item), (1, "clean text under the same id"), (None, item), (None, "clean text without an id"), (2, "clean"), (2, "clean")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert Counter(map(tuple, corpus_pipeline.decontamination_stage(spark, docs, SF).collect())) == Counter(t for t in texts if t[1] != item)
 
 
 def test_decontamination_edges(spark):
