@@ -1,7 +1,7 @@
 """Quality rules by compression bands: zstandard ratios of whole documents and of fixed chunks.
 
 Repetitive text compresses too well and noise hardly at all. Short texts compress less, so each limit holds from a
-length in bytes up to the next. Rows stay in their partitions: there is no shuffle.
+length in bytes up to the next; text mostly outside ASCII has limits of its own. Rows stay in their partitions: there is no shuffle.
 
 Edge cases: null or empty text has no words, so the base rule rejects it; repeated rows are judged each by itself; a
 null id is returned as null; other columns are ignored.
@@ -18,10 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .support import SPACE, table
 
 #: (from this many bytes, least ratio, greatest ratio) for a whole text; below the first there is no limit.
-#: Noise of printable characters compresses to 0.82 at best and base64 to 0.76; prose to 0.6 and less from 2048 bytes on.
-WHOLE_BANDS = ((128, 0.38, 1.20), (512, 0.32, 0.95), (2048, 0.27, 0.75), (8192, 0.22, 0.70))
+#: Each greatest ratio lies between what prose in English and Spanish reaches at most where the band begins (0.74 at 512
+#: bytes, 0.64 at 1024, 0.58 at 2048, 0.52 at 4096) and what blank-separated base64 reaches at least where it ends (0.79
+#: at 511 bytes, 0.74 at 1023, 0.72 at 2047, 0.71 at 4095); noise of printable characters is above base64. Under 256
+#: bytes the two overlap. Hexadecimal digits (0.53 and more) compress as prose does.
+WHOLE_BANDS = (
+    (128, 0.38, 1.00), (256, 0.38, 0.85), (320, 0.38, 0.81), (384, 0.38, 0.785), (512, 0.32, 0.745),
+    (768, 0.32, 0.70), (1024, 0.32, 0.67), (2048, 0.27, 0.64), (4096, 0.27, 0.62), (8192, 0.22, 0.60),
+)
 #: The same for one chunk.
-CHUNK_BANDS = ((1024, 0.25, 0.85), (4096, 0.22, 0.75))
+CHUNK_BANDS = ((1024, 0.25, 0.67), (2048, 0.25, 0.64), (4096, 0.22, 0.62))
+#: Where over this share of the bytes is no ASCII, characters take several bytes and short prose compresses less:
+#: Chinese, Japanese and Korean reach 0.93 at 512 bytes, 0.80 at 1024, 0.69 at 2048, 0.61 at 4096 and 0.54 at 8192.
+WIDE_SHARE = 0.3
+WIDE_WHOLE_BANDS = ((128, 0.38, 1.20), (512, 0.32, 0.95), (1024, 0.32, 0.83), (2048, 0.27, 0.72), (4096, 0.27, 0.65), (8192, 0.22, 0.60))
+WIDE_CHUNK_BANDS = ((1024, 0.25, 0.83), (2048, 0.25, 0.72), (4096, 0.22, 0.65))
+ASCII = bytes(range(128))
 CHUNK_BYTES = 4096
 #: A text is rejected when over this share of its chunks' bytes lies outside the band.
 MOST_OUTSIDE = 0.3
@@ -63,7 +75,11 @@ def outside(ratio: float, size: int, bands: Sequence[tuple[int, float, float]])
     return band is not None and not band[1] <= ratio <= band[2]
 
 
-def score(documents: DataFrame, whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, most_outside: float = MOST_OUTSIDE, level: int = LEVEL) -> DataFrame:
+def wide(raw: bytes) -> bool:
+    return len(raw.translate(None, ASCII)) > WIDE_SHARE * len(raw)
+
+
+def score(documents: DataFrame, whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, most_outside: float = MOST_OUTSIDE, level: int = LEVEL, wide_whole_bands=WIDE_WHOLE_BANDS, wide_chunk_bands=WIDE_CHUNK_BANDS) -> DataFrame:
     """Statistics, ratios and verdict for each (doc_id, text) row."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +97,11 @@ def score(documents: DataFrame, whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS
                 judged = bad = 0
                 for at in range(0, len(raw), chunk_bytes):
                     part = raw[at : at + chunk_bytes]
-                    if len(part) >= chunk_bands[0][0]:
+                    if len(part) >= min(chunk_bands[0][0], wide_chunk_bands[0][0]):
                         judged += len(part)
-                        bad += len(part) * outside(len(compress(part)) / len(part), len(part), chunk_bands)
+                        bad += len(part) * outside(len(compress(part)) / len(part), len(part), wide_chunk_bands if wide(part) else chunk_bands)
                 share = bad / judged if judged else 0.0
-                kept = not failed and not outside(ratio, len(raw), whole_bands) and share <= most_outside
+                kept = not failed and not outside(ratio, len(raw), wide_whole_bands if wide(raw) else whole_bands) and share <= most_outside
                 out.append((doc_id, *stats, failed, kept, ratio, share))
             columns = list(zip(*out)) or [()] * 10
             types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2

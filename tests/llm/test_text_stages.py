@@ -89,6 +89,27 @@ def test_compression_bands(spark):
     assert compression_bands.score(empty(spark)).count() == 0
 
 
+def test_compression_bands_reject_noise_and_base64_of_any_length(spark):
+    import base64
+
+    rng = np.random.default_rng(2)
+    apart = lambda s, width, n: " ".join(s[i : i + width] for i in range(0, len(s), width))[:n]
+    sizes = [256, 319, 320, 383, 384, 511, 512, 767, 768, 1000, 1023, 1024, 1500, 2000, 2047, 2048, 3000, 4095, 4096, 8191, 8192, 20_000]
+    made = [(n, width, text) for n in sizes for width in (4, 9) for text in (apart("".join(map(chr, rng.integers(33, 127, n))), width, n), apart(base64.b64encode(rng.bytes(n)).decode(), width, n))]
+    for r in compression_bands.score(frame(spark, [t for *_, t in made])).collect():
+        n, width, text = made[r["doc_id"]]
+        assert len(text) == n and not r["kept"], (n, width)
+        assert compression_bands.outside(r["ratio"], n, compression_bands.WHOLE_BANDS), (n, width)
+        assert n < 1024 or r["chunks_outside"] > 0.9, (n, width)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for r in compression_bands.score(docs).where("not base_failed").join(docs.select("doc_id", "text"), "doc_id").collect():
+        limit = [b[2] for b in compression_bands.WHOLE_BANDS if len(r["text"].encode()) >= b[0]]
+        assert r["ratio"] <= min(limit, default=9)
+    # Korean prose has blanks and wide characters
+    korean = "모든 사람은 태어날 때부터 자유롭고 존엄하며 평등하다 모든 사람은 이성과 양심을 가지고 있으므로 서로에게 형제애의 정신으로 대해야 한다 누구나 인종 피부색 성 언어 종교 정치적 견해 또는 그 밖의 견해 출신 민족 재산 출생 또는 다른 지위 등에 따른 어떤 종류의 구별도 없이 이 선언에 나와 있는 모든 권리와 자유를 누릴 자격이 있다 나아가 개인이 속한 나라가 독립국이든 신탁통치 지역이든 비자치 지역이든 그 어떤 주권상의 제약을 받는 지역이든 간에"
+    assert compression_bands.score(frame(spark, [korean])).first()["kept"]
+
+
 def test_base_statistics_against_plain_code():
     for text in ["", "a b c a b c d", "x  y\n\nx  y\n \nx y", "ß # <a>|b % ", "a a a a", "a b a b a"]:
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
