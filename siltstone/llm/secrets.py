@@ -6,8 +6,10 @@ text from the same place) is not taken twice, which breaks cycles. Each characte
 original text that it came from, so findings in any layer are spans of the original. Rows stay in their partitions.
 
 Edge cases: null or empty text has no findings; repeated rows are scanned each by itself; a null id is returned as null;
-other columns are ignored. What a compressed layer unfolds to is bounded by ``MAX_UNFOLDED`` characters a document; that
-stops decompression bombs and leaves no ordinary text out.
+other columns are ignored. Base64 is decoded in all four alignments, over line ends too; what is no UTF-8 is scanned byte
+by byte without its NULs, which finds UTF-16 as well. A compressed layer is scanned to its end, over all members and frames,
+in windows that overlap: all its findings have the span of the run, so one that a window cuts is still found. A base64 run
+inside it that is longer than ``MAX_UNFOLDED`` characters is decoded by windows and not decompressed as a whole.
 """
 
 from __future__ import annotations
@@ -36,8 +38,15 @@ NAMES = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\x([0-9a-fA-F]{2})|&#x([0-9a-fA-F]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{18,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+IN_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+OPEN_RUN = re.compile(rb"[A-Za-z0-9+/_\-\s]{18}\Z")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+#: Bytes of a compressed layer that are scanned at once, and by how many the next window overlaps; a window that ends in
+#: a base64 run grows until the run ends, to MAX_UNFOLDED at most.
+WINDOW, OVERLAP = 4 << 20, 1 << 16
 MAX_UNFOLDED = 64 << 20
+STEP = 1 << 20
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 Span = tuple[int, int, int]  # start, kind, end: sorts as the contract says
@@ -104,82 +113,152 @@ def _unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
-def _unfold(raw: bytes, most: int) -> bytes | None:
-    """raw if it isn't compressed, else what is in it; None where that fails."""
-    if raw.startswith(MAGIC):
-        try:
-            if raw.startswith(b"\x1f\x8b"):
-                return zlib.decompressobj(31).decompress(raw, most)
-            if raw.startswith(b"BZh"):
-                return bz2.BZ2Decompressor().decompress(raw, most)
-            if raw.startswith(b"\xfd7zXZ\x00"):
-                return lzma.LZMADecompressor().decompress(raw, most)
-            if raw.startswith(b"\x28\xb5\x2f\xfd"):
+class _Source:
+    """Bytes to read, from pieces."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.rest = pieces, b""
+
+    def peek(self, size: int) -> bytes:
+        while len(self.rest) < size and (more := next(self.pieces, b"")):
+            self.rest += more
+        return self.rest[:size]
+
+    def read(self, size: int = STEP) -> bytes:
+        out = self.peek(1)[:0] + self.rest[:size]
+        self.rest = self.rest[size:]
+        return out
+
+
+def _members(source: _Source) -> Iterator[bytes]:
+    """What source's compressed members or frames hold, in pieces, as far as they are whole."""
+    try:
+        while (head := source.peek(6)).startswith(MAGIC):
+            if head.startswith(b"\x28\xb5\x2f\xfd"):
                 import zstandard
 
-                with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                    return reader.read(most)
-            return zlib.decompressobj().decompress(raw, most)
-        except Exception:  # noqa: BLE001  each library raises its own errors on damaged data; then this is no compressed layer
-            return None
-    return raw
+                with zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True) as reader:
+                    while out := reader.read(STEP):
+                        yield out
+                return
+            if head.startswith(b"BZh") or head.startswith(b"\xfd7zXZ\x00"):
+                unpack = bz2.BZ2Decompressor() if head.startswith(b"BZh") else lzma.LZMADecompressor()
+                while not unpack.eof:
+                    data = source.read() if unpack.needs_input else b""
+                    out = unpack.decompress(data, STEP)
+                    if out:
+                        yield out
+                    elif not data and unpack.needs_input:
+                        return
+            else:
+                unpack, data = zlib.decompressobj(31 if head.startswith(b"\x1f\x8b") else 15), b""
+                while not unpack.eof:
+                    data = data or source.read()
+                    out = unpack.decompress(data, STEP)
+                    if out:
+                        yield out
+                    elif not data:
+                        return
+                    data = unpack.unconsumed_tail
+            source.rest = unpack.unused_data + source.rest
+            while source.peek(1) == b"\0":  # padding
+                source.rest = source.rest.lstrip(b"\0")
+    except Exception:  # noqa: BLE001  each library raises its own errors on damaged data; what came before it counts
+        return
+
+
+def _windows(raw: bytes, most: int) -> Iterator[str]:
+    """All that the compressed raw unfolds to, through further compressed layers, in overlapping windows."""
+    source = _Source(iter([raw]))
+    while source.peek(6).startswith(MAGIC):
+        source = _Source(_members(source))
+    held, size = b"", min(WINDOW, most)
+    while piece := source.read():
+        held += piece.replace(b"\0", b"")
+        if len(held) >= size and (len(held) >= most or not OPEN_RUN.search(held, max(0, len(held) - 18))):
+            yield held.decode("latin-1")
+            held = held[-OVERLAP:] if OVERLAP < size else held[-(size // 2) :]
+    if held:
+        yield held.decode("latin-1")
+
+
+def _runs(text: str) -> Iterator[np.ndarray]:
+    """The places of the characters of each base64 run, in a line and over line ends."""
+    for m in BASE64.finditer(text):
+        yield np.arange(m.start(), m.start() + len(m[0].rstrip("=")))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            yield np.concatenate([np.arange(*part.span()) for part in IN_BASE64.finditer(text, *m.span())])
 
 
 def _base64(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        inner, packed = raw, False
-        while inner is not None and inner.startswith(MAGIC):
-            packed, inner = True, _unfold(inner, most)
-        if not inner:
-            continue
-        try:
-            text = inner.decode()
-        except UnicodeDecodeError:
-            continue
-        if not text.isprintable() and any(c < " " and c not in "\t\n\r\x0b\x0c" for c in text):
-            continue
-        a, b = m.span()
-        if packed:
-            first, last = layer.span(a, b)
-            yield Layer(text, np.full(len(text), first), np.full(len(text), last))
-            continue
-        sizes = np.array([len(c.encode()) for c in text])
-        stop = np.cumsum(sizes)
-        # byte k comes from the base64 characters that hold its bits
-        left, right = a + (stop - sizes) * 8 // 6, a + (stop * 8 - 1) // 6 + 1
-        begin = left if layer.begin is None else layer.begin[left]
-        end = right if layer.end is None else layer.end[right - 1]
-        yield Layer(text, begin, end)
+    for run in _runs(layer.text):
+        body = "".join(layer.text[a : b + 1] for a, b in _stretches(run))
+        starts = [m.end() for m in re.finditer("[/_-]", body)]
+        body = body.replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            part = body[shift:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            place = run[shift : shift + len(part)]
+            for at in {0, *((s - shift) // 4 * 3 for s in starts if s > shift and (s - shift) % 4 == 0)}:
+                if raw.startswith(MAGIC, at):
+                    span = layer.span(int(place[at // 3 * 4]), int(place[-1]) + 1)
+                    for text in _windows(raw[at:], most):
+                        yield Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in span))
+            try:
+                text = raw.decode()
+                if not text.isprintable() and any(c < " " and c not in "\t\n\r\x0b\x0c" for c in text):
+                    text = None
+            except UnicodeDecodeError:
+                text = None
+            if text is None:
+                first = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8))
+                text, stop = raw.replace(b"\0", b"").decode("latin-1"), first + 1
+            else:
+                sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
+                stop = np.cumsum(sizes)
+                first = stop - sizes
+            # byte k comes from the base64 characters that hold its bits
+            left, right = place[first * 8 // 6], place[(stop * 8 - 1) // 6]
+            yield Layer(text, left if layer.begin is None else layer.begin[left], right + 1 if layer.end is None else layer.end[right])
+
+
+def _stretches(places: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each stretch of neighbouring places."""
+    cuts = np.flatnonzero(np.diff(places) != 1)
+    return list(zip(places[np.concatenate([[0], cuts + 1])].tolist(), places[np.concatenate([cuts, [len(places) - 1]])].tolist()))
+
+
+def _inner(layer: Layer, most: int) -> Iterator[Layer]:
+    """What layer unwraps to by one step."""
+    if "%" in layer.text and (new := _percent(layer)):
+        yield new
+    if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode(layer)):
+        yield new
+    yield from _base64(layer, most)
 
 
 def scan(text: str, max_unfolded: int = MAX_UNFOLDED) -> tuple[list[Span], list[Span]]:
     """The spans in text itself, and all spans with those of decoded layers."""
     base = findings(text)
-    spans, seen, budget = set(base), set(), max_unfolded
-    work = [Layer(text)]
-    while work:
-        layer = work.pop()
-        if layer.begin is not None:
-            if not layer.text:
-                continue
-            key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.span(0, len(layer.text))
-            if key in seen:
-                continue
-            seen.add(key)
-            for start, kind, end in findings(layer.text):
-                a, b = layer.span(start, end)
-                spans.add((a, kind, b))
-        if "%" in layer.text and (new := _percent(layer)):
-            work.append(new)
-        if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode(layer)):
-            work.append(new)
-        for new in _base64(layer, budget):
-            budget = max(1, budget - len(new.text))
-            work.append(new)
+    spans, seen = set(base), set()
+    work = [_inner(Layer(text), max_unfolded)]
+    while work:  # depth first, so that one window of each depth is in memory
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.span(0, len(layer.text))
+        if key in seen:
+            continue
+        seen.add(key)
+        for start, kind, end in findings(layer.text):
+            a, b = layer.span(start, end)
+            spans.add((a, kind, b))
+        work.append(_inner(layer, max_unfolded))
     return base, sorted(spans)
 
 

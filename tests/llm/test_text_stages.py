@@ -231,6 +231,40 @@ def test_secret_scan_finds_what_is_wrapped(spark):
     assert next(r for r in got if r["doc_id"] == 0)["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secret_scan_decodes_base64_at_any_place():
+    import base64
+    import gzip
+
+    secret = "password=hunter2hunter2"
+    b64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+    long = base64.encodebytes(b"some words before it, so that it goes over a line: " + secret.encode() + b" and more words after it").decode()
+    noise = np.random.default_rng(1).bytes(300)
+    texts = [f"{p}{b64(secret)}" for p in ("https://x.y/a/", "https://x.y/ab/", "id_", "-", "x", "ab", "abc", "token/")]
+    texts += [long, long.replace("\n", "\r\n"), b64(secret.encode("utf-16-le")), b64(secret.encode("utf-16")), b64(secret.encode("utf-16-be")), b64(noise + secret.encode() + noise)]
+    texts += [base64.encodebytes(gzip.compress(noise + secret.encode())).decode(), f"https://x.y/a/{b64(gzip.compress(secret.encode()))}"]
+    for text in texts:
+        spans = secrets.scan(f"see {text} there")[1]
+        assert any(kind == 0 and 4 <= a < b <= len(text) + 4 for a, kind, b in spans), text
+
+
+def test_secret_scan_reads_compressed_layers_to_their_end():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    secret, filler = b" password=hunter2hunter2 ", b"plain words " * 500_000
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for raw in (pack(b"first") + pack(secret), pack(filler + secret), pack(pack(filler) + pack(secret)), pack(b"x") * 3 + pack(secret)):
+            text = base64.b64encode(raw).decode()
+            assert secrets.scan(text, max_unfolded=8 << 20)[1].count((0, 0, len(text.rstrip("=")))) == 1, (pack, len(raw))
+    many = " ".join(base64.b64encode(gzip.compress(b"%d" % k + b" words" * 200)).decode() for k in range(20))
+    packed = base64.b64encode(gzip.compress(secret)).decode()
+    assert (len(many) + 1, 0, len(many) + 1 + len(packed.rstrip("="))) in secrets.scan(f"{many} {packed}", max_unfolded=1000)[1]
+
+
 def test_secret_scan_ends_on_what_unwraps_to_itself():
     assert secrets.scan("%2525252525" + "%" * 50)[1] == []
     bomb = __import__("base64").b64encode(zlib.compress(b"z" * 5_000_000)).decode()
