@@ -67,6 +67,40 @@ def test_packing_reaches_the_least_number_of_sequences(spark):
     assert packing.pack(pieces, block_pieces=50).count() == 800
 
 
+def document_lengths():
+    """Token counts of documents' pieces that are no whole sequence."""
+    import public_tokenizers
+
+    from siltstone.llm.wordcache import CachedTokenizer
+
+    encode = CachedTokenizer.of(public_tokenizers.path("word_bpe_49k.json")).encode_bytes
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    return np.array([n for n in ((len(encode(t)) // 4 + 1) % 4096 for (t,) in texts) if n], dtype="<i4")
+
+
+def test_packing_evolves_what_its_seeds_leave_open(spark):
+    """On lengths of documents the seeds waste sequences, and accepted crossovers win them back."""
+    lengths = document_lengths()
+    blocks = spark.createDataFrame([(0, bytearray(lengths.tobytes()))], "block long, lengths binary")
+    rows = packing.evolved(blocks).collect()
+    assert len(rows) == packing.ISLANDS
+    assert all(r["seed_bins"] > r["least"] and 0 < r["accepted"] <= r["made"] for r in rows)
+    assert min(r["bins"] for r in rows) == rows[0]["least"] == -(-int(lengths.sum()) // 4096)
+    assert packing.evolved(blocks, crossovers=0).where("bins <> seed_bins or made > 0").isEmpty()
+
+
+def test_packing_fills_the_last_bins_of_blocks_together(spark):
+    lengths = document_lengths()
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    got = packing.pack(pieces, block_pieces=150).toPandas()
+    assert sorted(got.doc_id) == list(range(len(lengths)))
+    assert got.groupby("sequence_id").length.sum().max() <= 4096
+    for _, group in got.groupby("sequence_id"):
+        group = group.sort_values("offset")
+        assert (group.offset == group.length.cumsum() - group.length).all()
+    assert got.sequence_id.nunique() <= -(-int(lengths.sum()) // 4096) + 1
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 4096, 500)

@@ -32,3 +32,11 @@ def test_a_full_cache_is_emptied(monkeypatch):
     cached.encode_bytes("one two three four five")
     cached.encode_bytes("six")
     assert len(cached) == 1 and cached.encode_bytes(None) == b""
+
+
+def test_a_tokenizer_with_other_steps_is_used_plainly():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    cached = CachedTokenizer(other)
+    assert CachedTokenizer(PATH).by_words and not cached.by_words
+    for text in ("Two  words", " Two\n\nWords, don't <|endoftext|>", None, ""):
+        assert cached.encode_bytes(text) == np.array(cached.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
