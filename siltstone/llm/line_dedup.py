@@ -1,8 +1,9 @@
 """Line dedup: explode normalised lines, hash them, count documents per hash, drop lines over the threshold, reassemble.
 
-Only (document, hash) pairs are shuffled by hash, and counted on the map side first, so a line that a third of all
-documents hold is a row per task there. Which hashes a document loses comes back by its id, and its lines are put
-together again in their order. All of it is DataFrame functions.
+Lines are exploded with their positions and hashed; distinct documents are counted per hash in two steps, first by hash
+and document and then by hash, so a line that a third of all documents hold is one row per task in the second. Lines of
+repeated hashes come back to their rows as positions, and each row's other lines are put together in order of position.
+A row is known by its id and a hash of its text. All of it is DataFrame functions, and its work is linear in lines.
 
 Edge cases: null or empty text is one empty line; a row without an id keeps its lines and counts for no other document;
 rows that repeat an id are one document for counting and lose the same lines; other columns are kept by ``dedup`` and
@@ -33,31 +34,35 @@ def lines_of(text) -> F.Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dropped_hashes(documents: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, dropped): for each document that loses lines, the hashes of their keys."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), line_key), lambda k: F.char_length(k) >= min_chars))
-    rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(keys).alias("key")).select("doc", line_hash(F.col("key")).alias("h"))
-    rows = materialise(rows.select("doc", "h.a", "h.b"), "line-hashes")
-    if min_docs == 2:  # two documents at least: the smallest id is not the largest
-        counted = rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    else:
-        counted = rows.distinct().groupBy("a", "b").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    repeated = materialise(counted.select("a", "b", "first"), "repeated-lines")
-    lost = rows.join(repeated, ["a", "b"]).where(F.col("doc") > F.col("first"))
-    return lost.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("dropped"))
+def with_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """documents with __line_doc, __line_row and __line_all (null for null text) in place of text."""
+    text = F.col(text_col)
+    return documents.withColumns({"__line_doc": F.col(id_col), "__line_row": F.xxhash64(text), "__line_all": F.split(text, "\n", -1)}).drop(text_col)
+
+
+def dropped_positions(lined: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(__lost_doc, __lost_row, __line_lost): for each row of ``with_lines`` that loses lines, their positions from 0."""
+    placed = lined.where("__line_doc is not null").select(F.col("__line_doc").alias("doc"), F.col("__line_row").alias("row"), F.posexplode(F.transform("__line_all", line_key)).alias("pos", "key"))
+    placed = placed.where(F.char_length("key") >= min_chars).select("doc", "row", "pos", line_hash(F.col("key")).alias("h"))
+    placed = materialise(placed.select("doc", "row", "pos", "h.a", "h.b"), "lines")
+    counted = placed.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs)
+    repeated = materialise(counted.select("a", "b", "first"), "repeated-lines")  # a plain table, so Spark can split hot lines
+    lost = placed.join(repeated, ["a", "b"]).where(F.col("doc") > F.col("first"))
+    return lost.groupBy(F.col("doc").alias("__lost_doc"), F.col("row").alias("__lost_row")).agg(F.collect_set("pos").alias("__line_lost"))
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """documents with struct column ``line_dedup``: n_lines (before), n_dropped, kept (the text that is left)."""
-    lost = dropped_hashes(documents, id_col, text_col, min_chars, min_docs).withColumnRenamed("doc", "__line_doc").withColumnRenamed("dropped", "__line_dropped")
-    joined = documents.join(lost, F.col(id_col) == F.col("__line_doc"), "left")
-    lines = lines_of(F.col(text_col))
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("__line_dropped"), line_hash(line_key(x))) | (F.char_length(line_key(x)) < min_chars))
-    kept = F.when(F.col("__line_dropped").isNull(), lines).otherwise(stays)
-    out = joined.withColumn("__line_kept", kept)
-    n = F.size(lines).cast("long")
-    result = F.struct(n.alias("n_lines"), (n - F.size("__line_kept")).alias("n_dropped"), F.array_join("__line_kept", "\n").alias("kept"))
-    return out.withColumn("line_dedup", result).drop("__line_doc", "__line_dropped", "__line_kept")
+    lined = with_lines(documents, id_col, text_col)
+    lost = dropped_positions(lined, min_chars, min_docs)
+    joined = lined.join(lost, (F.col("__line_doc") == F.col("__lost_doc")) & (F.col("__line_row") == F.col("__lost_row")), "left")
+    lines = F.coalesce("__line_all", F.array(F.lit("")))
+    # positions that stay, in order; array_except is linear
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), F.col("__line_lost"))
+    kept = F.when(F.col("__line_lost").isNull(), lines).otherwise(F.transform(stay, lambda i: F.get("__line_all", i)))
+    n, gone = F.size(lines).cast("long"), F.when(F.col("__line_lost").isNull(), 0).otherwise(F.size("__line_lost")).cast("long")
+    result = F.struct(n.alias("n_lines"), gone.alias("n_dropped"), F.array_join(kept, "\n").alias("kept"))
+    return joined.select(*[F.array_join("__line_all", "\n").alias(c) if c == text_col else F.col(c) for c in documents.columns], result.alias("line_dedup"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ ISLANDS = 3
 POPULATION = 4
 EPOCHS = 2
 CROSSOVERS = 12
+#: Blocks or islands of a task on average, which come to it in one Arrow batch.
+TASK_ROWS = 64
 #: Shares of a packing's bins: at most that is injected into another, at most that of the emptiest is taken apart with
 #: it, and that of the emptiest is left to the next round.
 INJECTED, EMPTIEST, LEFT = 0.25, 0.3, 1 / 64
@@ -249,6 +251,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     done = [pieces.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, before = pieces.where(F.col("length") < capacity), None
     most = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = lambda rows: max(min(rows, most), math.ceil(rows / TASK_ROWS))
 
     def lengths_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,9 +266,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks))
         grouped = materialise(left.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct(*names)).alias("pieces")), "blocks")
         start = grouped.select("block", F.col("pieces.length").alias("lengths")).mapInArrow(lengths_only, "block long, lengths binary")
-        state = evolved(start, capacity, tasks=min(blocks * options.get("islands", ISLANDS), most), **options)
+        state = evolved(start, capacity, tasks=tasks(blocks * options.get("islands", ISLANDS)), **options)
         best = state.groupBy("block").agg(F.min_by(F.struct(F.col("population")[0].alias("best")), F.struct("bins", -F.col("spread"), "island")).alias("x")).select("block", "x.best")
-        packed = grouped.join(best, "block").mapInArrow(_unfold(capacity, names, number << 57, not last), PACKED)
+        dealt = grouped.repartition(tasks(blocks), "block").join(best.repartition(tasks(blocks), "block"), "block")
+        packed = dealt.select("block", "pieces", "best").mapInArrow(_unfold(capacity, names, number << 57, not last), PACKED)
         if last:
             done.append(packed)
             break

@@ -38,6 +38,32 @@ def test_line_dedup_against_brute_force(spark):
     assert sorted(r[0] for r in line_dedup.dedup(three, min_docs=3).select("line_dedup.n_dropped").collect()) == [0, 0, 0, 1, 1]
 
 
+def test_line_dedup_of_a_document_of_many_lines(spark):
+    """Its time grows with lines, not with lines times dropped lines."""
+    import time
+
+    lines = [f"line number {k} of a long list" for k in range(100_000)]
+    docs = frame(spark, ["\n".join(lines), "\n".join(x + ("" if k % 3 else " more") for k, x in enumerate(lines)), "\n".join(lines[::-1])])
+    start = time.time()
+    got = {r["doc_id"]: r["line_dedup"] for r in line_dedup.dedup(docs).collect()}
+    assert time.time() - start < 60
+    assert [got[k]["n_dropped"] for k in range(3)] == [0, 66_666, 100_000]
+    assert got[1]["kept"] == "\n".join(x + " more" for x in lines[::3]) and got[2]["kept"] == ""
+
+
+@pytest.mark.parametrize("min_docs", [1, 2, 3, 4])
+def test_line_dedup_threshold(spark, min_docs):
+    rng = np.random.default_rng(6)
+    texts = ["\n".join(f"a repeated line {rng.integers(12)}" for _ in range(rng.integers(1, 6))) for _ in range(12)]
+    holders = defaultdict(set)
+    for d, t in enumerate(texts):
+        for line in t.split("\n"):
+            holders[line].add(d)
+    want = ["\n".join(x for x in t.split("\n") if len(holders[x]) < min_docs or min(holders[x]) == d) for d, t in enumerate(texts)]
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup(frame(spark, texts), min_docs=min_docs).select("doc_id", "line_dedup.kept").collect()}
+    assert [got[d] for d in range(12)] == want
+
+
 def test_packing_is_gapless_and_whole(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
