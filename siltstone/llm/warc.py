@@ -1,15 +1,19 @@
 """WARC archives of individually compressed records with a dictionary of their own.
 
-Each archive is one partition. Its task builds a Zstandard dictionary from all records of the archive, and writes the
-dictionary in a leading skippable frame, then a frame for each record. Spark's text writer puts the frames into a file:
-its line separator is an empty skippable frame, so every file is a valid run of frames, and a lost executor's task is
-simply written again by Spark's commit protocol. Any store that Spark can write to will do.
+Each archive is one partition. Its task builds a Zstandard dictionary from the records of the archive, and writes the
+dictionary in a leading skippable frame, then a frame for each record. It learns from all records up to ``TRAIN_BYTES``,
+which is several times an archive's size, and writes the rest as they come; so its memory is bounded whatever the rows.
+Spark's text writer puts the frames into a file: its line separator is an empty skippable frame, so every file is a valid
+run of frames, and a lost executor's task is simply written again by Spark's commit protocol. Any store that Spark can
+write to will do.
 
 Equal payloads of at least ``min_bytes`` are written once, by the page with the smallest id; other pages revisit it.
+Pages and revisits are dealt to archives by id and digest, which is also how they are joined, so payloads move once.
 
 Edge cases: null html is an empty payload; a page without an id is always a response; rows that repeat a page's id and
-payload are all responses if that id is the smallest; a null url becomes an urn of the page; other columns are ignored;
-an empty table writes no record and reads none.
+payload are all responses if that id is the smallest, numbered apart in their record ids; a null url becomes an urn of
+the page; other columns are ignored; an empty table writes no record and reads none. Rows that are alike in id and
+payload are one archive's, which is then larger.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ import hashlib
 import io
 import math
 import struct
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +33,12 @@ from pyspark.sql import functions as F
 from .support import materialise, scratch_path, table
 
 MIN_BYTES = 100
-#: Payload bytes of an archive, on average, which bounds a task's memory.
+#: Bytes of an archive's records, on average.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of records that a dictionary is built from, and that a task holds, at most.
+TRAIN_BYTES = 64 << 20
+#: Bytes that a record takes besides its payload, about.
+HEAD_BYTES = 512
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -42,26 +52,33 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 def plan_records(pages: DataFrame, min_bytes: int, archive_bytes: int) -> tuple[DataFrame, int]:
     """Pages with their role, dealt out to archives, and how many archives there are."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    sized = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.length("payload").cast("long")})
+    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.length("payload").cast("long")})
     facts = materialise(sized.select("page_id", "digest", "bytes"), "page-digests")
-    total = facts.agg(F.sum("bytes")).first()[0] or 0
+    total = facts.agg(F.sum(F.col("bytes") + HEAD_BYTES)).first()[0] or 0
     archives = max(1, math.ceil(total / archive_bytes))
     large = facts.where(F.col("page_id").isNotNull() & (F.col("bytes") >= min_bytes))
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    first = materialise(first, "first-pages")  # a plain table, so Spark can split the pages of a payload with many copies
     revisits = large.join(first, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    dealt = sized.repartition(archives, "page_id")
-    return dealt.join(revisits, ["page_id", "digest"], "left"), archives
+    # both sides dealt alike by the join's keys, so the join needs no other exchange and each partition is an archive
+    by = lambda rows: rows.repartition(archives, "page_id", "digest")
+    return by(sized).join(by(revisits), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to"), archives
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str, number: int = 0) -> str:
+    """number counts rows alike in id and payload, from 0."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}{f':{number}' if number else ''}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, number: int = 0) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     name = "null" if page_id is None else str(page_id)
     target = (url or f"urn:page:{name}").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, number)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -77,29 +94,49 @@ def dictionary_of(records: list[bytes], size: int):
         return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _frames(dictionary_bytes: int, level: int):
+def _frames(dictionary_bytes: int, level: int, train_bytes: int):
+    """An archive's frames from its rows."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        records = [record(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
-        if not records:
+        seen: Counter = Counter()
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = [c[k].as_py() for c in batch.columns]
+                    alike = (row[0], row[3])
+                    yield record(*row, seen[alike])
+                    seen[alike] += 1
+
+        def frame(parts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["frame"])
+
+        rest, held, size = records(), [], 0
+        for made in rest:
+            held.append(made)
+            size += len(made)
+            if size >= train_bytes:
+                break
+        if not held:
             return
-        made = dictionary_of(records, dictionary_bytes)
-        raw = made.as_bytes()
-        frames = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw]
-        compress = zstandard.ZstdCompressor(level=level, dict_data=made, write_checksum=True).compress
-        for at in range(0, len(records), 1000):
-            frames += map(compress, records[at : at + 1000])
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-            frames = []
+        dictionary = dictionary_of(held, dictionary_bytes)
+        raw = dictionary.as_bytes()
+        yield frame([struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw])
+        compress = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True).compress
+        while held:
+            for at in range(0, len(held), 256):
+                yield frame([compress(r) for r in held[at : at + 256]])
+            held = list(islice(rest, 256))
 
     return write
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL, train_bytes: int = TRAIN_BYTES) -> None:
     """Write (page_id, url, html) rows as archives into the folder path."""
     records, _ = plan_records(pages, min_bytes, archive_bytes)
-    frames = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_frames(dictionary_bytes, level), "frame binary")
+    frames = records.mapInArrow(_frames(dictionary_bytes, level, train_bytes), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode()).text(path)
 
 
@@ -126,7 +163,7 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(urn: str) -> int | None:
-    name = urn[len("<urn:page:") : -1]
+    name = urn[len("<urn:page:") : -1].split(":")[0]
     return None if name == "null" else int(name)
 
 

@@ -154,6 +154,39 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_warc_writes_as_many_archives_as_are_wanted(spark):
+    """With and without a broadcast join; record ids are unique, and each revisit's target is a response."""
+    rng = random.Random(4)
+    rows = [(k, f"http://x/{k}", " ".join(words(rng, 200)), "", 0) for k in range(300)]
+    rows += [(1000 + k, "u", rows[k][2], "", 0) for k in range(40)] + [(7, "u", "one page", "", 0)] * 3 + [(None, "u", rows[0][2], "", 0)] * 5
+    size = sum(len(r[2]) + warc.HEAD_BYTES for r in rows)
+    for threshold in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            path = scratch_path(spark, "warc-archives")
+            warc.write_archives(pages_frame(spark, rows), path, archive_bytes=-(-size // 9))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        files = [bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+        assert len(files) == 9
+        heads = [f for content in files for f, _ in warc.parse_archive(content)]
+        ids = {f["warc-record-id"]: f["warc-type"] for f in heads}
+        assert len(heads) == len(ids) == len(rows)
+        assert [ids[f["warc-refers-to"]] for f in heads if f["warc-type"] == "revisit"] == ["response"] * 40
+        assert max(map(len, files)) < 3 * size / 9
+
+
+def test_warc_task_holds_no_more_than_it_learns_from(spark):
+    """An archive of more than that is written whole, with one dictionary."""
+    rng = random.Random(8)
+    rows = [(k, f"http://x/{k}", " ".join(words(rng, 300)), "", 0) for k in range(500)]
+    path = scratch_path(spark, "warc-long")
+    warc.write_archives(pages_frame(spark, rows), path, archive_bytes=1 << 30, train_bytes=50_000)
+    content = [bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert len(content) == 1 and len(list(warc.parse_archive(content[0]))) == 500
+    assert warc.read_archives(spark, path).where("payload_ok").count() == 500
+
+
 def test_warc_files_are_frames_with_a_dictionary(spark):
     rows = [(k, f"http://x/{k}", f"<html>{'common words of every page ' * 9}{k}</html>", "", 0) for k in range(300)]
     path = scratch_path(spark, "warc-frames")
