@@ -117,6 +117,70 @@ def test_substring_spans_against_brute_force(spark):
     assert got == want
 
 
+def plain_spans(rows, within):
+    """(doc, start, end) over (id, text) rows by plain code: byte by byte hashes, window by window minima, chunks as text."""
+    mix = (1 << 64) - 1
+    gear = []
+    for k in range(1, 257):
+        x = k * 0x9E3779B97F4A7C15 & mix
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mix
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mix
+        gear.append((x ^ (x >> 31)) >> 32)
+    chunked = []
+    for d, text in rows:
+        raw, values, h, at = (text or "").encode(), [], 0, []
+        for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw):
+            at.append(m.span())
+        ends = {e for _, e in at}
+        for k, byte in enumerate(raw):
+            h = ((h << 1) + gear[byte]) & 0xFFFFFFFF
+            if k + 1 in ends:
+                values.append(h)
+        n = len(values)
+        cut = {n} if n else set()
+        for i in range(n - 12):
+            cut.add(min(range(i, i + 13), key=lambda j: (values[j], j)) + 1)
+        edges = [0, *sorted(cut)]
+        chunked.append((d, [(a, b, raw[at[a][0] : at[b - 1][1]]) for a, b in zip(edges, edges[1:]) if n]))
+    first = {}
+    for d, chunks in chunked:
+        for *_, c in chunks:
+            first[c] = min(first.get(c, d), d)
+    out = set()
+    for d, chunks in chunked:
+        seen, spans = set(), []
+        for a, b, c in chunks:
+            if first[c] < d or (within and c in seen):
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+            seen.add(c)
+        out |= {(d, a, b) for a, b in spans if b - a >= 16}
+    return out
+
+
+def test_substring_query_against_plain_code(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    got = substring_dedup.op9_substring_dedup(spark, SF).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == plain_spans(rows, False) and len(got) > 20
+    inside = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), within=True).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in inside} == plain_spans(rows, True)
+
+
+def test_substring_dedup_within_a_text_and_among_rows_of_an_id(spark):
+    rng = random.Random(12)
+    passage, own = " ".join(words(rng, 200, 10**7)), [" ".join(words(rng, 100, 10**7)) for _ in range(6)]
+    rows = [(1, f"{own[0]} {passage} {own[1]} {passage} {own[2]}"), (2, f"{own[3]} {passage}"), (2, f"{passage} {own[4]}"), (2, f"{passage} {own[4]}"), (2, own[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(docs, within=True).collect()
+    assert Counter((r["doc_id"], r["first_doc_id"]) for r in spans) == {(1, 1): 1, (2, 1): 2}
+    kept = [r["text"] for r in substring_dedup.dedup(docs).orderBy("doc_id").collect()]
+    assert sum(len(t.split()) for t in kept) < 1 * 200 + 100 * 7 + 4 * 30
+    assert sum(passage in t for t in kept) == 1 and all(sum(o in t for t in kept) >= 1 for o in own)
+    assert [t for t in kept if t == own[5]] == [own[5]]
+
+
 def test_substring_dedup_edges(spark):
     substring_dedup.repeated_spans(tricky(spark)).collect()
     assert substring_dedup.dedup(tricky(spark)).count() == len(tricky_rows())
