@@ -346,6 +346,65 @@ def test_token_rollup_is_idempotent_and_signed(spark):
         rollup.commit("../x", token_rollup.inserts(rows))
 
 
+def rows_of_one(spark, n):
+    return spark.createDataFrame([("a", "en", "v1", n)], "source string, lang string, tokenizer_version string, n_tokens long")
+
+
+def test_token_rollup_folds_batches_into_a_snapshot(spark):
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup-folds"), fold_at=3)
+    total = lambda: [tuple(r) for r in rollup.totals().collect()]
+    for k in range(7):
+        assert rollup.commit(f"b{k}", token_rollup.inserts(rows_of_one(spark, 10**k)))
+        assert total() == [("a", "en", "v1", k + 1, int("1" * (k + 1)))]
+        assert not rollup.commit("b0", token_rollup.inserts(rows_of_one(spark, 5)))
+    assert rollup.pending() == ("2", ["b3", "b4", "b5"], ["b6"]) and rollup._names("pending") == ["b6"]
+    assert rollup._names("snapshots") == ["2"] and rollup.batches() == [f"b{k}" for k in range(7)]
+    assert rollup.fold() == 1 and rollup.fold() == 0 and total() == [("a", "en", "v1", 7, 1_111_111)]
+
+
+def test_token_rollup_survives_cut_off_commits_and_folds(spark, monkeypatch):
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup-cut"))
+    total = lambda: [tuple(r) for r in rollup.totals().collect()]
+
+    def cut(*given):
+        if method == "_mark" or given[1]:  # when clearing, once there is something to clear away
+            raise RuntimeError("cut off")
+
+    rollup.commit("one", token_rollup.inserts(rows_of_one(spark, 1)))
+    for method, attempt in (("_mark", lambda: rollup.commit("two", token_rollup.inserts(rows_of_one(spark, 2)))), ("_mark", rollup.fold), ("_clear", rollup.fold)):
+        with monkeypatch.context() as m:
+            m.setattr(rollup, method, cut)
+            with pytest.raises(RuntimeError):
+                attempt()
+        assert total() == [("a", "en", "v1", 1, 1)]
+    assert rollup.pending() == ("1", ["one"], []) and rollup._names("pending") == ["one", "two"]
+    assert not rollup.commit("one", token_rollup.inserts(rows_of_one(spark, 1))) and rollup.commit("two", token_rollup.inserts(rows_of_one(spark, 2)))
+    assert total() == [("a", "en", "v1", 2, 3)]
+    assert rollup.fold() == 1 and total() == [("a", "en", "v1", 2, 3)] and rollup.batches() == ["one", "two"]
+    assert rollup._names("pending") == []
+
+
+def test_token_rollup_on_tricky_rows(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name, docs in (("tricky", tricky(spark)), ("none", empty(spark))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+    assert token_rollup.op10_token_rollup(spark, str(tmp_path / "none")).count() == 0
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in token_rollup.op10_token_rollup(spark, str(tmp_path / "tricky")).collect()}
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(lambda: [0, 0])
+    first = {}
+    for r in tricky_rows():
+        if r[0] is not None:
+            first[r[1] or ""] = min(r[0], first.get(r[1] or "", r[0]))
+    for r in tricky_rows():
+        if r[0] is None or first[r[1] or ""] == r[0]:
+            for version, n in (("word_bpe_49k", len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)), ("words", len(decontamination.contract_words(r[1])))):
+                want[(r[3], r[2], version)][0] += 1
+                want[(r[3], r[2], version)][1] += n
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_token_rollup_query_against_recount(spark):
     got = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in token_rollup.op10_token_rollup(spark, SF).collect()}
     import public_tokenizers
