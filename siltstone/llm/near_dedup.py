@@ -8,8 +8,8 @@ of two sketches is concentrated about the similarity of the sets as strongly as
 
 Classes that agree in all rows of a band are candidates, unless their sketches agree too little to be linked. In a band's
 bucket every class is first held against the least one only, which makes clusters; then classes of one bucket but of
-different clusters are held against each other, by blocks of a bounded number of classes, which joins clusters. So all
-candidates of a class are in its cluster. The pairs that made the clusters are confirmed on the full sets, and in each
+different clusters are held against each other, by blocks of a bounded number of classes and of shingles, which joins
+clusters. So all candidates of a class are in its cluster. The pairs that made the clusters are confirmed on the full sets, and in each
 cluster that these links leave in parts, all candidates across parts are confirmed too, again by blocks. No step makes a
 row for every pair of a group.
 
@@ -20,7 +20,7 @@ and kept alike; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ COORDINATES = 128
 ROWS = 4
 #: Agreeing coordinates under which a pair isn't verified; at 0.75 their number is 96, with a deviation under 5.
 LEAST_AGREEING = 76
-#: Classes of a block, which is held against another in one step.
+#: Classes of a block, and shingles of its classes where they are needed, on average at most: two blocks are held against
+#: each other in one step.
 BLOCK = 512
+BLOCK_SHINGLES = 4 << 20
 
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -170,15 +172,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows of (unit, doc_id, part) of units with several parts, dealt into pairs of blocks (p, q) and marked mine: p or q.
+def in_blocks(rows: DataFrame, block: int, block_weight: int = BLOCK_SHINGLES) -> DataFrame:
+    """Rows of (unit, doc_id, part, weight) of units with several parts, dealt into pairs of blocks (p, q) and marked mine: p or q.
 
     A unit's largest part needs no comparison within itself: its blocks meet only the others' blocks. Every two rows of
-    different parts meet in one pair of blocks at least, and none holds over twice block rows on average.
+    different parts meet in one pair of blocks at least, and none holds over twice block rows or block_weight on average.
     """
-    counts = rows.groupBy("unit", "part").agg(F.count("*").alias("n"))
-    units = counts.groupBy("unit").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("main")).where("parts > 1")
-    units = units.select("unit", F.col("main.part").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("o"), F.ceil(F.col("main.n") / block).cast("int").alias("m"))
+    counts = rows.groupBy("unit", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    units = counts.groupBy("unit").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "part")).alias("main")).where("parts > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / block, w / block_weight)).cast("int")
+    units = units.select("unit", F.col("main.part").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("o"), blocks(F.col("main.n"), F.col("main.w")).alias("m"))
     units = materialise(units, "units")
     placed = rows.join(units, "unit").withColumn("is_main", F.col("part") == F.col("main"))
     at = F.xxhash64("doc_id")
@@ -188,48 +191,47 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return dealt.select("unit", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "part")
 
 
-def _across(member: str, least: int, percent: int, confirm: Callable[[dict, dict], bool]):
-    """Links that join the parts of each pair of blocks: pairs of different parts that agree and are confirmed.
+def _across(least: int, percent: int, exact: bool):
+    """Links that join the parts of a pair of blocks: pairs of different parts that agree and, with exact, are linked.
 
     Pairs that others have joined already are left out, so there are fewer links than rows.
     """
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_a, out_b = [], []
-            for p, q, rows in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), batch.column(member)):
-                rows = rows.as_py()
-                k = np.frombuffer(b"".join(r["agree"] for r in rows), np.uint8).reshape(len(rows), -1)
-                ids, n, mine = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("doc_id", "n_shingles", "mine"))
-                parts = np.unique([r["part"] for r in rows], return_inverse=True)[1]
-                second = np.flatnonzero(mine == q)
-                for i in np.flatnonzero(mine == p).tolist():
-                    js = second[second > i] if p == q else second
-                    js = js[(parts[js] != parts[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
-                    if not len(js):
-                        continue
-                    same = (k[js] == k[i]).sum(axis=1)
-                    order = np.argsort(-same, kind="stable")
-                    for j in js[order[same[order] >= least]].tolist():
-                        if parts[j] != parts[i] and confirm(rows[i], rows[j]):
-                            parts[parts == parts[j]] = parts[i]
-                            out_a.append(min(ids[i], ids[j]))
-                            out_b.append(max(ids[i], ids[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    def step(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        p, q = key[1].as_py(), key[2].as_py()
+        k = np.frombuffer(b"".join(rows["agree"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        ids, n, mine = (rows[c].to_numpy() for c in ("doc_id", "n_shingles", "mine"))
+        parts = np.unique(rows["part"].to_numpy(), return_inverse=True)[1]
+        if exact:
+            sets = rows["shingles"].combine_chunks()
+            begin, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        same_set = lambda i, j: not exact or linked(values[begin[i] : begin[i + 1]], values[begin[j] : begin[j + 1]], percent)
+        out_a, out_b = [], []
+        second = np.flatnonzero(mine == q)
+        for i in np.flatnonzero(mine == p).tolist():
+            js = second[second > i] if p == q else second
+            js = js[(parts[js] != parts[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+            if not len(js):
+                continue
+            same = (k[js] == k[i]).sum(axis=1)
+            order = np.argsort(-same, kind="stable")
+            for j in js[order[same[order] >= least]].tolist():
+                if parts[j] != parts[i] and same_set(i, j):
+                    parts[parts == parts[j]] = parts[i]
+                    out_a.append(min(ids[i], ids[j]))
+                    out_b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return step
 
 
 def across(dealt: DataFrame, facts: DataFrame, least: int, percent: int, exact: bool) -> DataFrame:
     """Links (a, b) that join parts of the units of ``in_blocks``; exact: confirmed on the shingles in facts."""
-    columns = ["doc_id", "n_shingles", "agree", *(["shingles"] if exact else [])]
-    full = dealt.join(facts.select(*columns), "doc_id")
-    grouped = full.groupBy("unit", "p", "q").agg(F.collect_list(F.struct("part", "mine", *columns)).alias("rows"))
-    confirm = (lambda x, y: linked(np.array(x["shingles"]), np.array(y["shingles"]), percent)) if exact else (lambda x, y: True)
-    return grouped.select("p", "q", "rows").mapInArrow(_across("rows", least, percent, confirm), "a long, b long").distinct()
+    full = dealt.join(facts.select("doc_id", "n_shingles", "agree", *(["shingles"] if exact else [])), "doc_id")
+    return full.groupBy("unit", "p", "q").applyInArrow(_across(least, percent, exact), "a long, b long").distinct()
 
 
-def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing: int = LEAST_AGREEING, block: int = BLOCK) -> DataFrame:
+def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing: int = LEAST_AGREEING, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text)."""
     texts = documents.select("doc_id", "text")
     everyone = materialise(texts.mapInArrow(_sketches, SKETCHES), "sketches")
@@ -250,7 +252,7 @@ def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing
     stars = members.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialise(agreeing(stars, light, least_agreeing, percent), "stars")
     cluster = materialise(components(stars), "star-clusters")
-    rows = with_part(members.select(F.col("bucket").alias("unit"), "doc_id"), cluster)
+    rows = with_part(members.select(F.col("bucket").alias("unit"), "doc_id", F.lit(0).cast("long").alias("weight")), cluster)
     bridges = materialise(across(in_blocks(rows, block), light, least_agreeing, percent, exact=False), "bridges")
     joined = bridges.unionByName(cluster.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
     cluster = materialise(components(joined), "clusters")
@@ -260,8 +262,9 @@ def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing
     sets = materialise(texts.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, SETS), "sets")
     links = materialise(verified(stars.unionByName(bridges), sets, percent), "links")
     part = materialise(components(links), "parts")
-    rows = with_part(cluster.select(F.col("component").alias("unit"), F.col("node").alias("doc_id")), part)
-    more = across(in_blocks(rows, block), light.join(sets, "doc_id"), least_agreeing, percent, exact=True)
+    sizes = light.groupBy("doc_id").agg(F.sum("n_shingles").alias("weight"))
+    rows = with_part(cluster.select(F.col("component").alias("unit"), F.col("node").alias("doc_id")).join(sizes, "doc_id"), part)
+    more = across(in_blocks(rows, block, block_shingles), light.join(sets, "doc_id"), least_agreeing, percent, exact=True)
 
     whole = components(part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(copies))
     found = whole.withColumnRenamed("node", "__near_node")
@@ -269,6 +272,23 @@ def near_components(documents: DataFrame, percent: int = PERCENT, least_agreeing
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """documents with one row of each group of near duplicates, that with the smallest doc_id; options as near_components.
+
+    Each row is a document of its own here, whether ids repeat or are null; of rows with one id, any one stays, and a row
+    without an id goes before one that has an id. All columns stay.
+    """
+    numbered = materialise(documents.withColumn("__near_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col("__near_row").alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    found = materialise(near_components(rows.select("doc_id", "text"), **options).select("doc_id", "component_id"), "row-components")
+    groups = found.where("doc_id <> component_id").select("component_id").distinct()
+    members = found.join(groups, "component_id", "left_semi").join(rows.select("doc_id", "id"), "doc_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first")
+    stay = members.groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("doc_id"))
+    gone = members.join(stay, "doc_id", "left_anti").select(F.col("doc_id").alias("__near_gone"))
+    return numbered.join(gone, F.col("__near_row") == F.col("__near_gone"), "left_anti").drop("__near_row")
+
+
 def with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """rows with part: the component of their doc_id, itself where it has none."""
     return rows.join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))

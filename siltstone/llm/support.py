@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,26 +39,47 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end, if there is no error, what ``materialise`` wrote inside: for jobs whose result is written there."""
+    _scopes.append([])
+    try:
+        yield
+    except BaseException:
+        _scopes.pop()
+        raise
+    for path in _scopes.pop():
+        delete(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, without lineage, and safe from lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that nothing will read any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        if "/llm/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = files[0].rsplit("/", 1)[0] if files else ""
+    if "/llm/" in path:
+        delete(df.sparkSession, path)
 
 
 def ascii_lower(col) -> F.Column:

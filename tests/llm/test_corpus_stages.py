@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import struct
@@ -67,6 +68,44 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_components(empty(spark)).count() == 0
 
 
+def test_near_dedup_of_long_texts_in_small_blocks(spark):
+    """Blocks are bounded by shingles too, and links across them are all found: near copies of near copies in a chain."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        text = words(rng, 400, 10**6)
+        for _ in range(8):
+            texts.append(" ".join(text))
+            for _ in range(9):
+                text[rng.randrange(400)] = f"n{rng.randrange(10**7)}"
+    want = brute_components(list(enumerate(texts)))
+    for block_shingles in (500, 5000):
+        got = near_dedup.near_components(frame(spark, texts), block=4, block_shingles=block_shingles).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_near_dedup_stage_judges_rows(spark):
+    base = " ".join(words(random.Random(2), 60))
+    rows = [(5, base), (5, base), (3, base + " more"), (5, "a text of its own under an id that is taken"), (None, base), (None, "no id here but text"), (None, None), (7, None), (7, "")]
+    kept = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[2], *rows[3:4], *rows[5:]])
+
+
+def test_chance_to_miss_a_pair_near_the_threshold():
+    """Thousands of pairs of sets at 0.75 to 0.76: all share a band and agree enough to be verified."""
+    rng = np.random.default_rng(17)
+    pairs = missed = 0
+    for n in (40, 150, 400):
+        for _ in range(1000):
+            other = n // 7  # 6/7 in common: 0.75
+            x = rng.integers(0, 2**63, n + other).astype(np.uint64)
+            a, b = near_dedup.sketch(np.sort(x[:n])), near_dedup.sketch(np.sort(x[other:]))
+            same = (a == b).reshape(-1, near_dedup.ROWS)
+            pairs += 1
+            missed += not same.all(axis=1).any() or same.sum() < near_dedup.LEAST_AGREEING
+    assert pairs == 3000 and missed <= 1
+
+
 def test_sketches_fill_every_coordinate_and_estimate_similarity():
     rng = np.random.default_rng(1)
     for n in (1, 2, 40, 3000):
@@ -367,6 +406,43 @@ def test_pipeline_stands_tricky_rows(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
 
 
+def test_pipeline_on_an_empty_table(spark):
+    docs = empty(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.isEmpty() and (k == 4 or out.columns == docs.columns)
+        docs = spark.createDataFrame([], out.schema)
+
+
+def test_pipeline_stages_on_tricky_rows(spark):
+    """What each stage makes of rows without id, with repeated ids, of equal rows and clashing columns."""
+    rows = tricky_rows()
+    docs = tricky(spark)
+    by = lambda frame: Counter(tuple(r) for r in frame.collect())
+    assert by(corpus_pipeline.quality(spark, docs, SF)) <= Counter(rows)
+    cut = corpus_pipeline.lines(spark, docs, SF).select(*docs.columns).collect()
+    assert Counter((r["doc_id"], r["doc"], r["first"], r["text"] is None) for r in cut) == Counter((r[0], r[5], r[6], r[1] is None) for r in rows)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut)
+    near = corpus_pipeline.near_duplicates(spark, docs, SF)
+    alone = Counter(r for r in rows if not shingle_set(r[1]))
+    assert near.columns == docs.columns and alone <= by(near) <= Counter(rows)
+    comp = brute_components([(k, r[1]) for k, r in enumerate(rows)])
+    assert near.count() == len(set(comp.values()))
+    assert by(corpus_pipeline.decontamination_stage(spark, docs, SF)) == Counter(rows)
+    pieces = corpus_pipeline.sequences(spark, docs, SF).where("piece = 0")
+    assert Counter(r[0] for r in pieces.select("doc_id").collect()) == Counter(r[0] for r in rows)
+
+
+def test_pipeline_run_leaves_nothing_but_its_result(spark):
+    from siltstone.llm.support import scratch_dir
+
+    folder = scratch_dir(spark).removeprefix("file://") + "/llm"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    assert [n.rsplit("-", 1)[0] for n in sorted(set(os.listdir(folder)) - before)] == ["pipeline-best-fit-packing"]
+
+
 def test_components_of_many_links(spark, monkeypatch):
     monkeypatch.setattr("siltstone.llm.components.LARGE", 10)
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)]
