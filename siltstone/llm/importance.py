@@ -6,17 +6,19 @@ replacement in proportion to their weights by adding Gumbel noise and taking the
 so every run draws the same sample.
 
 Features are words, pairs of words (with one number for a word that repeats), and pairs and triples of word shapes
-(capitals, digits, runs of symbols), hashed to ``BUCKETS`` numbers. k is the labelled share of good documents times all
-documents; its threshold is found exactly by narrowing a histogram, without sorting rows in one place.
+(capitals, digits, runs of symbols), hashed to ``BUCKETS`` numbers. Good is a label of quality alone, for the target as for
+k, which is the labelled share of good documents times all documents; its threshold is found exactly by narrowing a
+histogram, without sorting rows in one place.
 
-``keep_good`` first leaves out toxic documents, whatever their quality, and then samples the labelled share of good ones
-among those labelled as not toxic. The sample alone can't do that: a few words make a text toxic, and they weigh little
-in the sum over all n-grams. A document is toxic if it holds a telling word, one for which documents labelled toxic are at
-least ``TELLING`` times as frequent as others, and more so than chance explains over the whole vocabulary. The query's
-column ``kept`` is the sample by quality alone.
+A few words make a text toxic, and they weigh little in the sum over all n-grams, so the sample alone can't tell. A
+document is toxic if it holds a telling word, one for which documents labelled toxic are at least ``TELLING`` times as
+frequent as others, and more so than chance explains over the whole vocabulary. The query's column ``kept`` is the sample
+by quality, ``toxic`` says whether a telling word was found, and ``accepted`` is what is kept and not toxic. ``keep_good``
+leaves toxic documents out of the models, of labels and of k, and samples from the others alone.
 
-Raw counts are taken over all documents. Target counts are taken over at most ``MAX_TARGET`` labelled documents, chosen
-by a hash of their ids, which bounds what is broadcast.
+Texts are read twice: once for the raw counts, once for the weights, whose rows are written. Raw counts are taken over all
+documents. Target counts are taken over at most ``MAX_TARGET`` labelled documents, chosen by a hash of their ids, which
+bounds what is broadcast.
 
 Edge cases: null or empty text has weight 0 and takes part with its noise alone; a null id draws its noise from the
 text; rows with equal keys at the threshold are all kept; rows that repeat an id are weighed each by itself; conflicting
@@ -43,7 +45,7 @@ BUCKETS = 1 << BUCKET_BITS
 MAX_TARGET = 20_000
 #: Of a telling word, labelled documents that hold it are toxic this many times as often as not.
 TELLING = 4.0
-#: Counts added to either model in each bucket, in proportion to the raw model, so rare n-grams weigh little.
+#: Counts added to either model in each bucket, so rare n-grams weigh little.
 PRIOR = 20.0
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
 _ODD = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -67,14 +69,22 @@ class ShapeHash(dict):
 _SHAPES = ShapeHash()
 
 
+def tokens_of(text: str | None) -> tuple[list[bytes], list[bytes]]:
+    """Words and runs of symbols, as they are and with A-Z lower-cased."""
+    raw = (text or "").encode()
+    return TOKEN.findall(raw), TOKEN.findall(raw.translate(LOWER_TABLE))
+
+
 def features(text: str | None) -> np.ndarray:
     """The bucket of every n-gram of text."""
-    raw = (text or "").encode()
-    tokens = TOKEN.findall(raw)
+    return buckets(*tokens_of(text))
+
+
+def buckets(tokens: list[bytes], lower: list[bytes]) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.empty(0, dtype=np.int64)
-    words = np.fromiter(map(crc32, TOKEN.findall(raw.translate(LOWER_TABLE))), dtype=np.uint64, count=n)
+    words = np.fromiter(map(crc32, lower), dtype=np.uint64, count=n)
     shapes = np.fromiter(map(_SHAPES.__getitem__, tokens), dtype=np.uint64, count=n)
     pairs = np.where(words[1:] == words[:-1], np.uint64(1), words[1:] * _ODD[0] + words[:-1] * _ODD[1])
     grams = np.concatenate([words * _ODD[2], pairs * _ODD[3] + np.uint64(1), shapes[1:] * _ODD[4] + shapes[:-1] * _ODD[5], shapes[2:] * _ODD[4] + shapes[1:-1] * _ODD[6] + shapes[:-2] * _ODD[7]])
@@ -86,13 +96,17 @@ def gumbel(ids: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def _counts(target_ids):
+def _counts(target_ids, telling: frozenset[bytes]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = target_ids.value
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                found = np.bincount(f, minlength=BUCKETS) if len(f := features(text.as_py())) > BUCKETS else None
+                tokens, lower = tokens_of(text.as_py())
+                if not telling.isdisjoint(lower):
+                    continue
+                f = buckets(tokens, lower)
+                found = np.bincount(f, minlength=BUCKETS) if len(f) > BUCKETS else None
                 for counts in (raw, target) if doc_id.as_py() in targets else (raw,):
                     if found is None:
                         np.add.at(counts, f, 1)
@@ -104,18 +118,21 @@ def _counts(target_ids):
     return step
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, prior: float = PRIOR) -> tuple[np.ndarray | None, float]:
-    """(log ratio of each bucket, labelled share of good documents); no ratios without a good label."""
+def fit(documents: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, prior: float = PRIOR, telling: frozenset[bytes] = frozenset()) -> tuple[np.ndarray | None, float]:
+    """(log ratio of each bucket, labelled share of good documents); no ratios without a good label.
+
+    Documents that hold one of telling are left out.
+    """
     spark = documents.sparkSession
-    judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     judged = materialise(judged, "labels")
     good, all_of = judged.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
-    chosen = judged.where("quality = 1 and toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id")
+    chosen = judged.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id")
     ids = frozenset(r[0] for r in chosen.collect())
     if not ids:
         return None, 1.0
     targets = spark.sparkContext.broadcast(ids)
-    counted = documents.select("doc_id", "text").mapInArrow(_counts(targets), "bucket long, raw long, target long")
+    counted = documents.select("doc_id", "text").mapInArrow(_counts(targets, telling), "bucket long, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"].to_numpy()] = rows["raw"].to_numpy()
@@ -124,19 +141,21 @@ def fit(documents: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, p
     return np.log((target + prior) / (expected + prior)), good / all_of
 
 
-def scorer(documents: DataFrame, ratios: np.ndarray | None):
-    """A pandas UDF of (id, text) that returns the log weight and the key: weight plus noise."""
-    shared = documents.sparkSession.sparkContext.broadcast(None if ratios is None else ratios.astype(np.float64))
+def scorer(documents: DataFrame, ratios: np.ndarray | None, telling: frozenset[bytes] = frozenset()):
+    """A pandas UDF of (id, text) that returns the log weight, the key (weight plus noise), and if a telling word was found."""
+    shared = documents.sparkSession.sparkContext.broadcast((None if ratios is None else ratios.astype(np.float64), telling))
 
-    @F.pandas_udf("n_features long, log_weight double, key double")
+    @F.pandas_udf("n_features long, log_weight double, key double, toxic boolean")
     def score(doc_id: pd.Series, text: pd.Series) -> pd.DataFrame:
-        table_of, sizes, weights, noise = shared.value, [], [], np.empty(len(text), dtype=np.uint64)
+        (table_of, words), sizes, weights, toxic, noise = shared.value, [], [], [], np.empty(len(text), dtype=np.uint64)
         for k, (d, t) in enumerate(zip(doc_id, text)):
-            f = features(t)
+            tokens, lower = tokens_of(t)
+            f = buckets(tokens, lower)
             sizes.append(len(f))
             weights.append(float(table_of[f].sum()) if table_of is not None and len(f) else 0.0)
+            toxic.append(not words.isdisjoint(lower))
             noise[k] = crc32((t or "").encode()) + (1 << 63) if pd.isna(d) else np.uint64(int(d) & 0xFFFFFFFFFFFFFFFF)
-        return pd.DataFrame({"n_features": sizes, "log_weight": weights, "key": np.array(weights) + gumbel(noise)})
+        return pd.DataFrame({"n_features": sizes, "log_weight": weights, "key": np.array(weights) + gumbel(noise), "toxic": toxic})
 
     return score
 
@@ -164,14 +183,10 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: int
     return keys.where((value >= low) & (value <= high)).select(column).orderBy(value.desc()).limit(k).agg(F.min(column)).first()[0]
 
 
-def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, **options):
-    """(scorer, threshold): a document is kept if its key is the threshold at least. k: how many are sampled."""
-    ratios, share = fit(documents, labels, **options)
-    score = scorer(documents, ratios)
-    scored = materialise(documents.select("doc_id", score("doc_id", "text").alias("s")).select("doc_id", "s.*"), "importance")
-    if ratios is None:
-        return score, scored, None
-    return score, scored, kth_largest(scored, "key", round(scored.count() * share) if k is None else k)
+def scored(documents: DataFrame, ratios: np.ndarray | None, telling: frozenset[bytes], columns: list[str]) -> DataFrame:
+    """columns of documents with struct __quality of ``scorer``, as a table."""
+    score = scorer(documents, ratios, telling)
+    return materialise(documents.select(*columns, score("doc_id", "text").alias("__quality")), "importance")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +246,20 @@ def without_toxic(documents: DataFrame, words: frozenset[bytes]) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of documents that are not toxic and are sampled, with all their columns."""
-    clean = without_toxic(documents, telling_words(documents, labels))
+    """The rows of documents that are not toxic and are sampled, with all their columns; options as ``fit``."""
+    telling = telling_words(documents, labels)
     toxic = labels.where("toxic > 0").select("doc_id").distinct()
-    score, _, threshold = resample(clean, labels.join(toxic, "doc_id", "left_anti"), **options)
-    if threshold is None:
-        return clean
-    return clean.where(score("doc_id", "text")["key"] >= threshold)
+    ratios, share = fit(documents, labels.join(toxic, "doc_id", "left_anti"), telling=telling, **options)
+    clean = scored(documents, ratios, telling, documents.columns).where("not __quality.toxic")
+    least = None if ratios is None else kth_largest(clean.select("__quality.key"), "key", round(clean.count() * share))
+    return (clean if least is None else clean.where(F.col("__quality.key") >= least)).drop("__quality")
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scored, threshold = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = F.lit(True) if threshold is None else F.col("key") >= threshold
-    return scored.select("doc_id", "n_features", "log_weight", "key", kept.alias("kept"))
+    """A row per document: weight, key, kept (sampled by quality), toxic (a telling word), accepted (kept and not toxic)."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratios, share = fit(documents, labels)
+    rows = scored(documents, ratios, telling_words(documents, labels), ["doc_id"]).select("doc_id", "__quality.*")
+    least = None if ratios is None else kth_largest(rows, "key", round(rows.count() * share))
+    kept = F.lit(True) if least is None else F.col("key") >= least
+    return rows.withColumn("kept", kept).withColumn("accepted", kept & ~F.col("toxic"))

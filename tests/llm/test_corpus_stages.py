@@ -3,6 +3,7 @@ import os
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import duckdb
@@ -317,6 +318,66 @@ def test_quality_stage_rejects_toxic_documents(spark):
     assert share(1, 0) > 0.95 and share(1, 1) < 0.3 and share(0, 0) < 0.15 and share(0, 1) < 0.15
 
 
+def plain_sample(rows, good):
+    """Ids that are kept of (id, text) rows, where good says which labelled ids are good: by plain code, n-gram by n-gram."""
+    from math import log
+
+    whole = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & whole
+        return x ^ (x >> 31)
+
+    odd = [mix(k * 0x9E3779B97F4A7C15 & whole) | 1 for k in range(1, 9)]
+
+    def kind(t):
+        if t[0] >= 128 or t[:1].isalpha():
+            return b"A" if len(t) > 1 and t.isupper() else b"X" if t[:1].isupper() else b"x"
+        return b"9" if t[:1].isdigit() else t[:4]
+
+    def grams(text):
+        tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+", (text or "").encode())
+        w, s = [zlib.crc32(t.lower()) for t in tokens], [zlib.crc32(kind(t)) for t in tokens]
+        for i in range(len(w)):
+            yield w[i] * odd[2]
+            if i:
+                pair = 1 if w[i] == w[i - 1] else (w[i] * odd[0] + w[i - 1] * odd[1]) & whole
+                yield pair * odd[3] + 1
+                yield s[i] * odd[4] + s[i - 1] * odd[5]
+            if i > 1:
+                yield s[i] * odd[4] + s[i - 1] * odd[6] + s[i - 2] * odd[7]
+
+    counted = [(d, Counter(mix(g & whole) >> 47 for g in grams(t))) for d, t in rows]
+    raw, target = Counter(), Counter()
+    for d, c in counted:
+        raw.update(c)
+        target.update(c if good.get(d) else {})
+    share = sum(target.values()) / sum(raw.values())
+    keys = {}
+    for d, c in counted:
+        u = ((mix(d ^ 0x51ED270B4D2F1E35) >> 11) + 0.5) / 2.0**53
+        keys[d] = sum(n * log((target[b] + 20) / (raw[b] * share + 20)) for b, n in c.items()) - log(-log(u))
+    k = round(len(rows) * sum(good.values()) / len(good))
+    return set(sorted(keys, key=keys.get)[len(keys) - k :])
+
+
+def test_importance_query_against_plain_code(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    good = {d: q == 1 for d, q in duckdb.sql(f"SELECT doc_id, min(quality) FROM '{SF}/labels.parquet' GROUP BY doc_id").fetchall()}
+    got = importance.op1_importance_resampling(spark, SF).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == plain_sample(rows, good)
+    assert all(r["accepted"] == (r["kept"] and not r["toxic"]) for r in got)
+
+
+def test_importance_query_tells_toxic_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in importance.op1_importance_resampling(spark, sf).collect()}
+    labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{sf}/labels.parquet'").fetchall()
+    accepted = lambda q, x: np.mean([got[d]["accepted"] for d, quality, toxic in labels if (quality, toxic) == (q, x)])
+    assert accepted(1, 0) > 0.95 and accepted(1, 1) < 0.3 and accepted(0, 0) < 0.15
+
+
 def test_telling_words(spark):
     """Learned from some documents, they tell others; a word that others hold as well is none."""
     texts = [f"plain text of {k} words awful" if k % 5 == 0 else f"plain text of {k} words" for k in range(100)] + ["AWFUL!", "lawful", None]
