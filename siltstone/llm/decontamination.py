@@ -5,7 +5,7 @@ outside it can lie in no phrase, so it only separates runs, and runs shorter tha
 the rest the task builds a suffix array, the Burrows-Wheeler transform, a wavelet matrix for ranks, and a sample of
 suffix positions. All phrases of a block are searched backwards at once; occurrences are located by walking to a sampled
 position, and their spans are merged. Documents are read once and never shuffled; the phrases go to the tasks in blocks of
-bounded size, and each task searches a shard for one block after another.
+bounded size, as arrays of numbers, and each task searches a shard for one block after another.
 
 Edge cases: null or empty text has no words and is not contaminated; an item without words has no phrase; a null item_id
 counts as the item named ``null``; repeated items count once; repeated rows of documents are judged each by itself; other
@@ -29,8 +29,8 @@ from .support import table
 WINDOW = 13
 #: Words of a shard, at which the next begins.
 SHARD_WORDS = 2_000_000
-#: Bytes of benchmark text that are searched for at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are searched for at once, on average; the driver holds one such block while it is made.
+BLOCK_BYTES = 4 << 20
 SAMPLE_EVERY = 8
 
 #: A-Z to a-z, other ASCII that is no digit or letter to a blank; words are what is left between blanks.
@@ -139,16 +139,18 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]  # 0 ends, 1 separates
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners[tuple(ids[at : at + width])].add(item)
-        self.shortest = min(map(len, owners), default=0)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for length in sorted({len(w) for w in owners}):
-            windows = [w for w in owners if len(w) == length]
-            self.by_length[length] = np.array(windows, dtype=np.int64), [sorted(owners[w]) for w in windows]
+        self.names = [item for item, _ in items]
+        numbered = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], dtype=np.int32) for _, words in items]  # 0 ends, 1 separates
+        lengths = np.array([min(len(ids), width) for ids in numbered], dtype=np.int64)
+        self.shortest = int(lengths[lengths > 0].min(initial=width)) if (lengths > 0).any() else 0
+        #: by length: the distinct windows, and the items of window k, as places in names, from begin[k] to begin[k + 1]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({*lengths[lengths > 0].tolist()}):
+            of = np.flatnonzero(lengths == length)
+            views = [np.lib.stride_tricks.sliding_window_view(numbered[k], length) for k in of.tolist()]
+            windows, which = np.unique(np.concatenate(views), axis=0, return_inverse=True)
+            owned = np.unique(np.stack([which.reshape(-1), np.repeat(of, [len(v) for v in views])]), axis=1)
+            self.by_length[length] = windows, np.searchsorted(owned[0], np.arange(len(windows) + 1)), owned[1].astype(np.int32)
 
 
 Spans = list[tuple[int, int]]
@@ -176,28 +178,41 @@ def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[Spans,
     first, last = edges[::2], edges[1::2]
     long = (last - first) >= max(1, phrases.shortest)
     first, last = first[long], last[long]
-    found: list[tuple[int, int, list[str]]] = []
+    cover = np.zeros(len(joined) + 1, dtype=np.int64)  # how many occurrences begin less how many end
+    pairs = [np.empty((2, 0), dtype=np.int64)]  # documents and the items that occur in them
     if len(first) and phrases.shortest:
         size = last - first
         place = np.concatenate([[0], np.cumsum(size + 1)])[:-1]  # of each run in the indexed text
         text = np.ones(int((size + 1).sum()), dtype=np.int64)
-        slots = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        slots = _within(size)
         text[np.repeat(place, size) + slots] = joined[np.repeat(first, size) + slots]
         index = FMIndex(text, len(phrases.vocabulary) + 2)
-        for length, (windows, owners) in phrases.by_length.items():
+        for length, (windows, begin, owners) in phrases.by_length.items():
             low, high = index.ranges(windows)
             count = high - low
             which = np.repeat(np.arange(len(windows)), count)
-            rows = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            at = index.locate(rows)
+            at = index.locate(np.repeat(low, count) + _within(count))
             run = np.searchsorted(place, at, side="right") - 1
-            found += zip((first[run] + at - place[run]).tolist(), [length] * len(at), (owners[w] for w in which.tolist()))
-    by_doc: dict[int, list[tuple[int, int, list[str]]]] = defaultdict(list)
-    if found:
-        of = np.searchsorted(starts, [f[0] for f in found], side="right") - 1
-        for d, (at, length, items) in zip(of.tolist(), found):
-            by_doc[d].append((at - int(starts[d]), at - int(starts[d]) + length, items))
-    return [(merged([f[:2] for f in by_doc[d]]), {i for *_, items in by_doc[d] for i in items}) if d in by_doc else ([], set()) for d in range(len(docs))]
+            at = first[run] + at - place[run]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + length, -1)
+            found = np.unique(np.stack([np.searchsorted(starts, at, side="right") - 1, which]), axis=1)
+            owned = begin[found[1] + 1] - begin[found[1]]
+            pairs.append(np.unique(np.stack([np.repeat(found[0], owned), owners[np.repeat(begin[found[1]], owned) + _within(owned)]]), axis=1))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)])))
+    a, b = edges[::2], edges[1::2]
+    of = np.searchsorted(starts, a, side="right") - 1
+    hits: dict[int, tuple[Spans, set[str]]] = defaultdict(lambda: ([], set()))
+    for d, x, y in zip(of.tolist(), (a - starts[of]).tolist(), (b - starts[of]).tolist()):
+        hits[d][0].append((x, y))
+    for d, item in np.concatenate(pairs, axis=1).T.tolist():
+        hits[d][1].add(phrases.names[item])
+    return [hits[d] if d in hits else ([], set()) for d in range(len(docs))]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size less one, one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def search_blocks(texts: list[list[bytes]], blocks: list[Broadcast]) -> list[tuple[Spans, list[str]]]:
