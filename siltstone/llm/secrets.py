@@ -7,9 +7,11 @@ original text that it came from, so findings in any layer are spans of the origi
 
 Edge cases: null or empty text has no findings; repeated rows are scanned each by itself; a null id is returned as null;
 other columns are ignored. Base64 is decoded in all four alignments, over line ends too; what is no UTF-8 is scanned byte
-by byte without its NULs, which finds UTF-16 as well. A compressed layer is scanned to its end, over all members and frames,
+by byte without its NULs, which finds UTF-16 as well; so is text that holds NULs. Percent escapes may stand for compressed
+bytes, as base64 may. A compressed layer is scanned to its end, over all members and frames,
 in windows that overlap: all its findings have the span of the run, so one that a window cuts is still found. A base64 run
-inside it that is longer than ``MAX_UNFOLDED`` characters is decoded by windows and not decompressed as a whole.
+inside it that is longer than ``MAX_UNFOLDED`` characters is decoded by windows and not decompressed as a whole. A task
+holds one window of each depth, besides the text itself with some 20 bytes for each of its decoded characters.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +39,22 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+PERCENT_PACKED = re.compile(
+    r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|BZh|%[Ff][Dd]7zXZ|(?:\(|%28)%[Bb]5(?:/|%2[Ff])%[Ff][Dd])(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+"
+)
 UNICODE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\x([0-9a-fA-F]{2})|&#x([0-9a-fA-F]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}={0,2}")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{18,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: What no text has but for damage: control characters other than white space.
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
+URL_SAFE = str.maketrans("-_", "+/")
 IN_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
 OPEN_RUN = re.compile(rb"[A-Za-z0-9+/_\-\s]{18}\Z")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
 #: Bytes of a compressed layer that are scanned at once, and by how many the next window overlaps; a window that ends in
 #: a base64 run grows until the run ends, to MAX_UNFOLDED at most.
 WINDOW, OVERLAP = 4 << 20, 1 << 16
-MAX_UNFOLDED = 64 << 20
+MAX_UNFOLDED = 16 << 20
 STEP = 1 << 20
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -64,30 +73,37 @@ def findings(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and, for each of its characters, where the original's span begins and ends (None: the original itself)."""
+    """A text and where the original's span begins and ends for each of its characters.
 
-    __slots__ = ("text", "begin", "end")
+    Without begin and end it is the original itself; with fixed, all its characters come from that one span.
+    """
 
-    def __init__(self, text: str, begin: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.begin, self.end = text, begin, end
+    __slots__ = ("text", "begin", "end", "fixed")
+
+    def __init__(self, text: str, begin: np.ndarray | None = None, end: np.ndarray | None = None, fixed: tuple[int, int] | None = None):
+        self.text, self.begin, self.end, self.fixed = text, begin, end, fixed
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.fixed:
+            return self.fixed
         return (a, b) if self.begin is None else (int(self.begin[a:b].min()), int(self.end[a:b].max()))
 
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
     """layer with each (a, b, new text, the spans in layer of its characters) put in place of what is from a to b."""
     size = len(layer.text)
-    begin = np.arange(size) if layer.begin is None else layer.begin
-    end = np.arange(1, size + 1) if layer.end is None else layer.end
     texts, begins, ends, at = [], [], [], 0
+    if not layer.fixed:
+        begin = np.arange(size, dtype=np.int32) if layer.begin is None else layer.begin
+        end = np.arange(1, size + 1, dtype=np.int32) if layer.end is None else layer.end
     for a, b, new, spans in pieces:
         texts += [layer.text[at:a], new]
-        begins += [begin[at:a], np.array([begin[x:y].min() for x, y in spans], dtype=np.int64)]
-        ends += [end[at:a], np.array([end[x:y].max() for x, y in spans], dtype=np.int64)]
+        if not layer.fixed:
+            begins += [begin[at:a], np.array([begin[x:y].min() for x, y in spans], dtype=np.int32)]
+            ends += [end[at:a], np.array([end[x:y].max() for x, y in spans], dtype=np.int32)]
         at = b
-    texts.append(layer.text[at:])
-    return Layer("".join(texts), np.concatenate([*begins, begin[at:]]), np.concatenate([*ends, end[at:]]))
+    text = "".join([*texts, layer.text[at:]])
+    return Layer(text, fixed=layer.fixed) if layer.fixed else Layer(text, np.concatenate([*begins, begin[at:]]), np.concatenate([*ends, end[at:]]))
 
 
 def _percent(layer: Layer) -> Layer | None:
@@ -103,6 +119,18 @@ def _percent(layer: Layer) -> Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
+def _percent_packed(layer: Layer, most: int) -> Iterator[Layer]:
+    """What compressed bytes in percent escapes unfold to; a plus may also be a blank there."""
+    for m in PERCENT_PACKED.finditer(layer.text):
+        for escaped in {m[0], m[0].replace("+", "%20")}:
+            for text in _windows(unquote_to_bytes(escaped), most):
+                yield Layer(text, fixed=layer.span(*m.span()))
+
+
+def _without_nuls(layer: Layer) -> Layer:
+    return _replaced(layer, [(m.start(), m.end(), "", []) for m in re.finditer("\0+", layer.text)])
+
+
 def _unicode(layer: Layer) -> Layer | None:
     pieces = []
     for m in UNICODE.finditer(layer.text):
@@ -182,58 +210,69 @@ def _windows(raw: bytes, most: int) -> Iterator[str]:
         yield held.decode("latin-1")
 
 
-def _runs(text: str) -> Iterator[np.ndarray]:
-    """The places of the characters of each base64 run, in a line and over line ends."""
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Each base64 run, in a line and over line ends: its characters, and the stretches of text that they come from."""
     for m in BASE64.finditer(text):
-        yield np.arange(m.start(), m.start() + len(m[0].rstrip("=")))
+        body = m[0].rstrip("=")
+        yield body, [(m.start(), m.start() + len(body))]
     if "\n" in text:
         for m in WRAPPED.finditer(text):
-            yield np.concatenate([np.arange(*part.span()) for part in IN_BASE64.finditer(text, *m.span())])
+            parts = [part.span() for part in IN_BASE64.finditer(text, *m.span())]
+            yield "".join(text[a:b] for a, b in parts), parts
+
+
+def _read(raw: bytes) -> tuple[str, bool]:
+    """Bytes as text, and whether it is UTF-8; if not, or with control characters, byte by byte without NULs."""
+    try:
+        text = raw.decode()
+        if text.isprintable() or not CONTROL.search(text):
+            return text, True
+    except UnicodeDecodeError:
+        pass
+    return raw.replace(b"\0", b"").decode("latin-1"), False
 
 
 def _base64(layer: Layer, most: int) -> Iterator[Layer]:
-    for run in _runs(layer.text):
-        body = "".join(layer.text[a : b + 1] for a, b in _stretches(run))
-        starts = [m.end() for m in re.finditer("[/_-]", body)]
-        body = body.replace("-", "+").replace("_", "/")
+    for run, stretches in _runs(layer.text):
+        place = None if layer.fixed else np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in stretches])
+        starts = [m.end() for m in re.finditer("[/_-]", run)]
+        body = run.translate(URL_SAFE)
         for shift in range(4):
             part = body[shift:]
             part = part[: len(part) - (len(part) % 4 == 1)]
             raw = base64.b64decode(part + "=" * (-len(part) % 4))
-            place = run[shift : shift + len(part)]
             for at in {0, *((s - shift) // 4 * 3 for s in starts if s > shift and (s - shift) % 4 == 0)}:
                 if raw.startswith(MAGIC, at):
-                    span = layer.span(int(place[at // 3 * 4]), int(place[-1]) + 1)
+                    span = layer.fixed or layer.span(int(place[shift + at // 3 * 4]), int(place[shift + len(part) - 1]) + 1)
                     for text in _windows(raw[at:], most):
-                        yield Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in span))
-            try:
-                text = raw.decode()
-                if not text.isprintable() and any(c < " " and c not in "\t\n\r\x0b\x0c" for c in text):
-                    text = None
-            except UnicodeDecodeError:
-                text = None
-            if text is None:
-                first = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8))
-                text, stop = raw.replace(b"\0", b"").decode("latin-1"), first + 1
-            else:
-                sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-                stop = np.cumsum(sizes)
+                        yield Layer(text, fixed=span)
+            text, utf8 = _read(raw)
+            if layer.fixed:
+                yield Layer(text, fixed=layer.fixed)
+                continue
+            if utf8 and len(text) == len(raw):
+                first = np.arange(len(raw), dtype=np.int32)
+                stop = first + 1
+            elif utf8:
+                sizes = np.fromiter((len(c.encode()) for c in text), dtype=np.int32, count=len(text))
+                stop = np.cumsum(sizes, dtype=np.int32)
                 first = stop - sizes
-            # byte k comes from the base64 characters that hold its bits
-            left, right = place[first * 8 // 6], place[(stop * 8 - 1) // 6]
+            else:
+                first = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8)).astype(np.int32)
+                stop = first + 1
+            # byte k comes from the base64 characters that hold its bits: from k * 8 // 6 on
+            left, right = place[shift + first + first // 3], place[shift + stop - 1 + (stop - 1) // 3 + 1]
             yield Layer(text, left if layer.begin is None else layer.begin[left], right + 1 if layer.end is None else layer.end[right])
 
 
-def _stretches(places: np.ndarray) -> list[tuple[int, int]]:
-    """First and last of each stretch of neighbouring places."""
-    cuts = np.flatnonzero(np.diff(places) != 1)
-    return list(zip(places[np.concatenate([[0], cuts + 1])].tolist(), places[np.concatenate([cuts, [len(places) - 1]])].tolist()))
-
-
 def _inner(layer: Layer, most: int) -> Iterator[Layer]:
     """What layer unwraps to by one step."""
-    if "%" in layer.text and (new := _percent(layer)):
-        yield new
+    if "%" in layer.text:
+        if new := _percent(layer):
+            yield new
+        yield from _percent_packed(layer, most)
+    if "\0" in layer.text:
+        yield _without_nuls(layer)
     if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode(layer)):
         yield new
     yield from _base64(layer, most)

@@ -170,6 +170,40 @@ def test_compression_bands_reject_noise_and_base64_of_any_length(spark):
     assert compression_bands.score(frame(spark, [korean])).first()["kept"]
 
 
+def test_compression_query_against_plain_code(spark):
+    """Statistics, ratios and verdict of every row, worked out anew from the text."""
+    import zstandard
+
+    size = lambda raw: len(zstandard.compress(raw, 3)) / len(raw)
+
+    def within(raw, plain, wide):
+        bands = wide if sum(b > 127 for b in raw) > 0.3 * len(raw) else plain
+        limits = [b for b in bands if len(raw) >= b[0]]
+        return not limits or limits[-1][1] <= size(raw) <= limits[-1][2]
+
+    rng = np.random.default_rng(9)
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    assert len(texts) == compression_bands.op3_compression_bands(spark, SF).count()
+    for n in (300, 900, 3000, 9000, 30_000):  # noise, wide noise, text that says little, prose with noise after it
+        noise = " ".join("".join(map(chr, rng.integers(33, 127, 8))) for _ in range(n // 9))
+        texts += [noise, " ".join("".join(map(chr, rng.integers(0x4E00, 0x9000, 8))) for _ in range(n // 25)), "".join(f"row {k} of {k} the same words, " for k in range(n // 30)), max(texts, key=len)[:n] + noise[: n // 2]]
+    rows = dict(enumerate(texts))
+    rejected = 0
+    for r in compression_bands.score(frame(spark, texts)).collect():
+        text = rows[r["doc_id"]]
+        raw = text.encode()
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = Counter(zip(words, words[1:], words[2:]))
+        again = len({i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)})
+        failed = len(words) < 50 or 100 * again > 50 * len(words)
+        chunks = [c for c in (raw[i : i + 4096] for i in range(0, len(raw), 4096)) if len(c) >= 1024]
+        bad = sum(len(c) for c in chunks if not within(c, compression_bands.CHUNK_BANDS, compression_bands.WIDE_CHUNK_BANDS))
+        ok = within(raw, compression_bands.WHOLE_BANDS, compression_bands.WIDE_WHOLE_BANDS) and bad <= 0.3 * sum(map(len, chunks))
+        assert (r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (len(words), again, failed, not failed and ok), r["doc_id"]
+        rejected += not failed and not ok
+    assert 5 < rejected < 20
+
+
 def test_base_statistics_against_plain_code():
     for text in ["", "a b c a b c d", "x  y\n\nx  y\n \nx y", "ß # <a>|b % ", "a a a a", "a b a b a"]:
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -325,6 +359,72 @@ def test_secret_scan_reads_compressed_layers_to_their_end():
     assert (len(many) + 1, 0, len(many) + 1 + len(packed.rstrip("="))) in secrets.scan(f"{many} {packed}", max_unfolded=1000)[1]
 
 
+def test_secret_scan_maps_spans_to_the_text():
+    """Exact spans of each way to wrap a secret, and no other span."""
+    import base64
+    import bz2
+    import gzip
+    from urllib.parse import quote, quote_plus
+
+    secret = "password = hunter2hunter2"
+    n = len(secret)
+    b64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+    chars = lambda a, b: (a * 8 // 6, (b * 8 - 1) // 6 + 1)  # noqa: E731  of the base64 characters that hold bytes a to b
+    inner = b64(secret).rstrip("=")
+    packed, percented = b64(gzip.compress(secret.encode())), quote(gzip.compress(secret.encode(), mtime=0))
+    cases = {
+        f"{quote(secret)}": (0, len(quote(secret))),
+        "%70assword%3Dhunter2hunter2": (0, 27),
+        "".join(f"\\u{ord(c):04x}" for c in secret): (0, 6 * n),
+        "".join(f"&#{ord(c)};" for c in secret): (0, sum(len(f"&#{ord(c)};") for c in secret)),
+        b64(f"the {secret} end"): chars(4, 4 + n),
+        b64(f"é {secret}"): chars(3, 3 + n),
+        b64(f"x {b64(secret)} y"): chars(2, 2 + chars(0, n)[1]),
+        b64(secret.encode("utf-16-le")): chars(0, 2 * n - 1),
+        packed: (0, len(packed.rstrip("="))),
+        quote(packed, safe=""): (0, len(quote(packed.rstrip("="), safe=""))),
+        percented: (0, len(percented)),
+        quote_plus(bz2.compress(secret.encode())): (0, len(quote_plus(bz2.compress(secret.encode())))),
+        "\0".join(secret): (0, 2 * n - 1),
+        f"ab/{inner}": (3, 3 + len(inner)),
+    }
+    for text, (a, b) in cases.items():
+        base, spans = secrets.scan(f"see {text} there")
+        assert base == [] and spans == [(4 + a, 0, 4 + b)], text
+        both = secrets.scan(f"secret: abcdefgh {text}")
+        assert both[0] == [(0, 0, 16)] and both[1] == [(0, 0, 16), (17 + a, 0, 17 + b)], text
+
+
+def test_secret_scan_of_bombs_in_bounded_memory():
+    """A hundred compressed runs and one long one, in a process of its own; all found, under 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import base64, resource, zlib
+from siltstone.llm import secrets
+secret = b" password=hunter2hunter2 "
+def bomb(head, megabytes):
+    made = zlib.compressobj()
+    return base64.b64encode(made.compress(head) + b"".join(made.compress(b"z" * 1_000_000) for _ in range(megabytes)) + made.compress(secret) + made.flush()).decode()
+runs = [bomb(b"%d" % k, 1) for k in range(100)] + [bomb(b"", 40)]
+base, spans = secrets.scan(" ".join(runs))
+print(len(base), len(spans), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600).stdout
+    base, found, megabytes = map(int, out.split())
+    assert (base, found) == (0, 101) and megabytes < 1024
+
+
+def test_secret_query_against_base_patterns(spark):
+    rows = {d: t for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+    for r in secrets.op8_secret_scan(spark, SF).collect():
+        base = plain_base(rows[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+        assert set(secrets.joined(base).split(",")) - {""} <= set(r["spans"].split(","))
+
+
 def test_secret_scan_ends_on_what_unwraps_to_itself():
     assert secrets.scan("%2525252525" + "%" * 50)[1] == []
     bomb = __import__("base64").b64encode(zlib.compress(b"z" * 5_000_000)).decode()
