@@ -17,6 +17,16 @@ def conjunction(conditions: Sequence[Column | None]) -> Column:
     return out
 
 
+def member(column: str, given: str | None, allowed: Sequence[str]) -> Column | None:
+    """Equality with the allowed value that is given, without regard to case; an error that lists the allowed ones for another."""
+    if given is None:
+        return None
+    found = next((a for a in allowed if a.lower() == given.strip().lower()), None)
+    if found is None:
+        raise ValueError(f"{given!r} is none of: {', '.join(allowed)}")
+    return F.col(column) == found
+
+
 def search(column: str, term: str | None) -> Column | None:
     """Case-insensitive substring; % and _ in the term are wildcards. No condition for a blank term."""
     return F.col(column).ilike(f"%{term.strip()}%") if term and term.strip() else None
@@ -33,6 +43,20 @@ def verdict(column: Column, wanted: str) -> Column:
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
-    """Page number (from 1) of size rows; size 0 is everything. A top-k plan, so no global sort of all rows in one task."""
+    """Page number (from 1) of size rows; size 0 is everything. A top-k plan, so no global sort of all rows in one task.
+
+    A task holds the rows of all pages up to the one asked for, so deep pages are read with ``after`` instead.
+    """
     ordered = df.orderBy(*order)
     return ordered if size == 0 else ordered.offset((max(1, number) - 1) * size).limit(size)
+
+
+def after(df: DataFrame, order: Sequence[str], last: Sequence[object] | None, size: int) -> DataFrame:
+    """The next size rows in ascending order of columns without nulls, after the values of the last row seen; no row before is kept."""
+    if last is not None:
+        beyond = F.lit(False)
+        for k in range(len(order)):
+            equal = conjunction([F.col(c) == F.lit(v) for c, v in zip(order[:k], last[:k])])
+            beyond = beyond | (equal & (F.col(order[k]) > F.lit(last[k])))
+        df = df.where(beyond)
+    return df.orderBy(*order).limit(size)

@@ -21,12 +21,13 @@ RULES = (
     "profile string, target_video_codec string, target_container string, default_crf int, min_file_size_bytes long, efficiency_floor double, "
     "hdr string, video_audio_codec string, video_audio_bitrate_kbps int, downmix_to_stereo boolean, target_audio_codec string, audio_bitrate_kbps int"
 )
-# The six profiles' defaults, in the order of RULES.
+# The six profiles' defaults, in the order of RULES. The fourth is stored under a person's name elsewhere:
+# resolved_rules maps names that a store uses to these.
 PROFILES = [
     ("ConservativeHevc", "hevc", "mp4", 24, 200 * MIB, 1.0, "Exclude", "aac", 160, False, "aac", 128),
     ("CompatibilityH264", "h264", "mp4", 20, 200 * MIB, 2.0, "Exclude", "aac", 160, False, "aac", 128),
     ("ExperimentalAv1", "av1", "mkv", 30, 200 * MIB, None, "Preserve", None, 160, False, "aac", 128),
-    ("ScottsSettings", "hevc", "mp4", 24, 200 * MIB, 1.0, "Preserve", "aac", 96, True, "aac", 96),
+    ("SmallStereoHevc", "hevc", "mp4", 24, 200 * MIB, 1.0, "Preserve", "aac", 96, True, "aac", 96),
     ("RemuxCleanup", None, "mkv", None, 0, None, "Preserve", None, 160, False, "aac", 128),
     ("TrackCleanup", None, None, None, 0, None, "Preserve", None, 160, False, "aac", 128),
 ]
@@ -45,9 +46,19 @@ def profile_dimension(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(PROFILES, RULES))
 
 
-def resolved_rules(libraries: DataFrame, spark: SparkSession) -> DataFrame:
+RULE_COLUMNS = (
+    "profile", "target_video_codec", "target_container", "target_audio_codec", "hdr", "min_file_size_bytes", "audio_bitrate_kbps", "video_audio_bitrate_kbps", "downmix_to_stereo", "video_audio_codec",
+    "max_height", "reencode_same_codec_above_bytes", "optimise_dolby_vision", "reencode_lossy_audio", "reencode_lossy_images", "target_image_format", "efficiency_floor",
+)
+#: The rules of a library that overrides nothing; those that are left out are null.
+DEFAULT_RULES = dict(zip([c.split()[0] for c in RULES.split(", ")], PROFILES[0])) | {"optimise_dolby_vision": False, "reencode_lossy_audio": False, "reencode_lossy_images": False, "target_image_format": "jpeg"}
+
+
+def resolved_rules(libraries: DataFrame, spark: SparkSession, names: dict[str, str] | None = None) -> DataFrame:
     """Libraries with their rules: an override, where it isn't blank, before the profile's default.
 
+    names maps other names of profiles to those of PROFILES. A library of an unknown profile has the first profile's rules.
+
     Missing override columns count as null. Track cleanup takes no override but of paths and languages. ``copy`` as the
     audio codec of a video means none.
     """
@@ -58,7 +69,11 @@ def resolved_rules(libraries: DataFrame, spark: SparkSession) -> DataFrame:
     over = lambda c: (F.col(f"lib.{c}") if c in libraries.columns else F.lit(None)).cast(kinds[c])
     narrow = F.col("p.profile") == "TrackCleanup"
     open_ = lambda c: F.when(~narrow, c)
-    joined = libraries.withColumn("__profile", F.coalesce(F.col("rule_profile"), F.lit("ConservativeHevc"))).alias("lib").join(profile_dimension(spark).alias("p"), F.col("__profile") == F.col("p.profile"))
+    stored = F.col("rule_profile")
+    for other, name in (names or {}).items():
+        stored = F.when(F.col("rule_profile") == other, name).otherwise(stored)
+    known = F.when(stored.isin(*[p[0] for p in PROFILES]), stored).otherwise(PROFILES[0][0])
+    joined = libraries.withColumn("__profile", known).alias("lib").join(profile_dimension(spark).alias("p"), F.col("__profile") == F.col("p.profile"))
     audio = blank_to_null(over("video_audio_codec"))
     columns = {c: F.coalesce(open_(blank_to_null(over(c))), F.col(f"p.{c}")) for c in texts}
     columns |= {c: F.coalesce(open_(over(c)), F.col(f"p.{c}")) for c in numbers}
