@@ -121,7 +121,7 @@ def last_similarity(log) -> Column:
 
 def decode_errors(log) -> Column:
     """Count and first of the lines that aren't blank, without the muxer's remark on equal stamps."""
-    lines = F.filter(F.transform(F.split(F.coalesce(log, F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~F.lower(x).contains("non monotonically increasing dts"))
+    lines = F.filter(F.transform(F.split(F.coalesce(log, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).contains("non monotonically increasing dts"))
     return F.struct(F.size(lines).alias("errors"), F.get(lines, 0).alias("first"))
 
 

@@ -49,3 +49,45 @@ def clamped_counter(rows: DataFrame, key: str, order: list[str], delta: str, out
     so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__sum", F.sum(delta).over(so_far))
     return summed.withColumn(out, F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(so_far))).drop("__sum")
+
+
+def combined_windows(windows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key of quality windows (measured, error, mean, harmonic, least, p5, frames, model): all in one, or why not.
+
+    The first window that was not measured, in order, fails the whole with its error. The tail is the weakest window's: the
+    least of the least scores and of the fifth percentiles, which can't be pooled from summaries.
+    """
+    bad = ~F.coalesce(F.col("measured"), F.lit(False))
+    first_bad = F.min_by(F.struct(F.coalesce("error", F.lit("A VMAF sample produced no usable score.")).alias("error")), F.when(bad, F.col(order)))["error"]
+    scores = {"mean": weighted_mean(F.col("mean"), F.col("frames")), "harmonic": harmonic_mean(F.col("harmonic"), F.col("frames")), "least": F.min("least"), "p5": F.min("p5"), "model": common_value(F.col("model")), "frames": F.sum(F.coalesce("frames", F.lit(0)))}
+    found = windows.groupBy(key).agg(F.bool_or(bad).alias("__bad"), first_bad.alias("error"), *[c.alias(n) for n, c in scores.items()])
+    ok = ~F.col("__bad")
+    return found.select(key, ok.alias("measured"), F.when(~ok, F.col("error")).alias("error"), *[F.when(ok, F.col(n)).alias(n) for n in scores])
+
+
+def exact_percentile(rows: DataFrame, keys: list[str], value: str, share: float, out: str, bins: int = 4096) -> DataFrame:
+    """keys with the share's percentile of value, linear between neighbours as ``percentile`` has it; null values don't count.
+
+    ``percentile`` holds all distinct values of a group in one buffer. Here each group's range is cut into bins, which are
+    counted; only rows of the one or two bins that hold the ranks asked for go on, as counted values, to be ranked.
+    """
+    some = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ends = some.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    same = lambda names: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names]
+    joined = some.alias("l").join(ends.alias("r"), same(keys)).select("l.*", *[f"r.{c}" for c in ("__n", "__low", "__high")])
+    width = F.col("__high") - F.col("__low")
+    binned = joined.withColumn("__bin", F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__low")) / width * bins), F.lit(bins - 1))).otherwise(0))
+    rank = (F.col("__n") - 1) * F.lit(share)
+    low, high = F.floor(rank), F.ceil(rank)
+    counted = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__in"), F.first("__n").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__in").over(before), F.lit(0))
+    wanted = counted.withColumn("__start", start).where((F.col("__start") <= high) & (F.col("__start") + F.col("__in") > low))
+    few = binned.alias("l").join(wanted.alias("r"), same([*keys, "__bin"])).select("l.*", "r.__start")
+    values = few.groupBy(*keys, "__bin", "__start", "__n", "__v").agg(F.count("*").alias("__in"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("__start") + F.coalesce(F.sum("__in").over(inside), F.lit(0))
+    ranked = values.withColumn("__first", first)
+    at = lambda r: F.max(F.when((F.col("__first") <= r) & (F.col("__first") + F.col("__in") > r), F.col("__v")))
+    both = ranked.groupBy(*keys, "__n").agg(at(low).alias("__a"), at(high).alias("__b"))
+    return both.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * (rank - low)).alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,16 @@ def first_failure(rules: Sequence[tuple[Column, str]]) -> Column:
     for holds, message in reversed(rules):
         out = F.when(~F.coalesce(holds, F.lit(False)), message).otherwise(out)
     return out
+
+
+def outcomes(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """(name, outcome, n, keys): how often each named check of column checks had each outcome, and in how many keys.
+
+    Rows become counts by key first, two numbers a check, so distinct keys are counted without a shuffle of their own.
+    """
+    kinds = [(name, outcome) for name in names for outcome in ("Passed", "Failed")]
+    has = lambda name, outcome: F.size(F.filter("checks", lambda c: (c["name"] == name) & (c["outcome"] == outcome)))
+    per_key = rows.groupBy(key).agg(*[F.sum(has(*kind)).cast("long").alias(f"__{k}") for k, kind in enumerate(kinds)])
+    total = per_key.agg(*[c for k in range(len(kinds)) for c in (F.coalesce(F.sum(f"__{k}"), F.lit(0)).alias(f"n{k}"), F.count_if(F.col(f"__{k}") > 0).alias(f"k{k}"))])
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(outcome).alias("outcome"), F.col(f"n{k}").alias("n"), F.col(f"k{k}").alias("keys")) for k, (name, outcome) in enumerate(kinds)])
+    return total.select(F.inline(listed)).where("n > 0")

@@ -267,3 +267,8 @@ def failed_outputs(jobs: DataFrame, root: str, now: Column, days: int) -> DataFr
     held = jobs.where(F.col("status").isin(*HOLDING)).select("path")
     old = jobs.where((F.col("status") == "Failed") & (F.col("finished_at") <= now - F.expr(f"INTERVAL {days} DAYS")) & F.startswith("path", F.lit(root.rstrip("/") + "/")))
     return old.join(held, "path", "left_anti")
+
+
+def on_scale(quality: Column, best: int, worst: int) -> Column:
+    """A quality from 0 to 100 on an encoder's scale between worst and best, rounded half to even."""
+    return F.bround(F.lit(worst) + (best - worst) * (quality / 100.0), 0).cast("int")

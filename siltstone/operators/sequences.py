@@ -13,6 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_order(key: str, order: list[str]):
+    return Window.partitionBy(key).orderBy(*order)
+
+
+def places(rows: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """rows, which have their group's group_count, with the place of the group among all; groups are sorted in one task."""
+    groups = rows.groupBy(*group).agg(F.first("group_count").alias("group_count"))
+    placed = groups.select(*group, F.row_number().over(Window.orderBy(*order)).cast("long").alias(out))
+    return rows.join(placed, group)
+
+
 def _so_far(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 

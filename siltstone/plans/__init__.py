@@ -3,3 +3,4 @@
 from siltstone.plans import decision_queries as _decisions  # noqa: F401  adds to queries.QUERIES
 from siltstone.plans import media_queries as _media  # noqa: F401  adds to queries.QUERIES
 from siltstone.plans import more_queries as _more  # noqa: F401  adds to queries.QUERIES
+from siltstone.plans import parser_queries as _parsers  # noqa: F401  adds to queries.QUERIES

@@ -235,15 +235,16 @@ FROM lineitem GROUP BY l_returnflag, l_linestatus
 """)
 def window_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of windows as one: weighted and harmonic means, the least, the fifth percentile, the common value."""
-    price, frames = F.col("l_extendedprice"), F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+    price, frames, rows = F.col("l_extendedprice"), F.col("l_quantity"), read(spark, sf_dir, "lineitem")
+    low = A.exact_percentile(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.05, "p5").withColumn("p5", F.round("p5", 4))
+    scores = rows.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(A.weighted_mean(cents("l_extendedprice"), frames.cast("long")), 3).alias("mean_cents"),
         F.round(A.harmonic_mean(price, frames), 3).alias("harmonic"),
         F.min(price).alias("least"),
-        F.round(F.percentile(price, F.lit(0.05)), 4).alias("p5"),
         F.sum(frames).cast("long").alias("frames"),
         A.common_value(F.col("l_linestatus")).alias("common_status"),
     )
+    return scores.join(low, ["l_returnflag", "l_linestatus"])
 
 
 @query("""
@@ -446,7 +447,7 @@ SELECT name, outcome, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM c
 """)
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of named checks per row, those that apply, counted by outcome."""
-    from siltstone.operators.checks import check, report
+    from siltstone.operators.checks import check, outcomes, report
 
     rows = read(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -456,7 +457,7 @@ def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             check("Audio tracks", F.col("l_quantity") >= 10, F.lit(""), applies=F.col("l_returnflag") != "R"),
         ).alias("checks"),
     )
-    return rows.select("l_orderkey", F.inline("checks")).groupBy("name", "outcome").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("orders"))
+    return outcomes(rows, "l_orderkey", ["Duration", "Size saving", "Audio tracks"]).withColumnRenamed("keys", "orders")
 
 
 @query(r"""
