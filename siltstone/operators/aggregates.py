@@ -44,11 +44,24 @@ def with_samples(rows: DataFrame, group: str, order: list[Column], most: int) ->
     return ranked.join(counts, group)
 
 
-def clamped_counter(rows: DataFrame, key: str, order: list[str], delta: str, out: str) -> DataFrame:
-    """A running sum that is set to zero whenever it would be less: the sum less the least sum so far, if below zero."""
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("__sum", F.sum(delta).over(so_far))
-    return summed.withColumn(out, F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(so_far))).drop("__sum")
+def clamped_counter(rows: DataFrame, key: str, order: list[str], delta: str, out: str, piece: Column | None = None) -> DataFrame:
+    """A running sum that is set to zero whenever it would be less: the sum less the least sum so far, if below zero.
+
+    piece is as in ``sequences``: for keys that may have a large part of all rows.
+    """
+    keys = [key] if piece is None else [key, "__piece"]
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if piece is not None:
+        rows = rows.withColumn("__piece", piece)
+    summed = rows.withColumn("__sum", F.sum(delta).over(so_far)).withColumn("__least", F.min("__sum").over(so_far))
+    if piece is not None:
+        per = summed.groupBy(key, "__piece").agg(F.sum(delta).alias("__all"), F.min("__sum").alias("__low"))
+        before = Window.partitionBy(key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        start = per.withColumn("__start", F.coalesce(F.sum("__all").over(before), F.lit(0)))
+        left = start.select(F.col(key).alias("__key"), F.col("__piece").alias("__of"), "__start", F.min(F.col("__start") + F.col("__low")).over(before).alias("__before"))
+        joined = summed.join(left, F.col(key).eqNullSafe(F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__of")))
+        summed = joined.withColumn("__least", F.least(F.col("__start") + F.col("__least"), "__before")).withColumn("__sum", F.col("__start") + F.col("__sum"))
+    return summed.withColumn(out, F.col("__sum") - F.least(F.lit(0), F.col("__least"))).select(*[c for c in rows.columns if c != "__piece"], out)
 
 
 def combined_windows(windows: DataFrame, key: str, order: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Sequences: regressions, high-water marks, streaks, blocks, counter deltas, heads and tails.
 
-Each is a window over a key; rows of one key are ordered by the given columns, which must be a total order.
+Each is a window over a key; rows of one key are ordered by the given columns, which must be a total order. A window holds
+one key in one task, sorted and spilled. Where a key may have a large part of all rows, give ``piece``: a column that never
+goes back along the order, such as the day of a time. Each piece of a key is then a task's by itself, and what one piece
+leaves to the next is worked out from one row a piece. ``emissions`` has no such form: what it emits first decides all later.
 """
 
 from __future__ import annotations
@@ -28,11 +31,33 @@ def _so_far(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def regressions(rows: DataFrame, key: str, order: list[str], stamp: str, shown: str) -> DataFrame:
+def carried(rows: DataFrame, key: str, facts: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+    """rows with the carry columns of their (key, __piece): facts are aggregates of a piece, carry windows over earlier pieces.
+
+    carry is given over rows of (key, __piece, facts) and may use ``earlier``.
+    """
+    per = rows.groupBy(key, "__piece").agg(*[c.alias(n) for n, c in facts.items()])
+    found = per.select(F.col(key).alias("__key"), F.col("__piece").alias("__of"), *[c.alias(n) for n, c in carry.items()])
+    return rows.join(found, F.col(key).eqNullSafe(F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__of"))).drop("__key", "__of")
+
+
+def earlier(key: str, last: int = -1):
+    """The window of a key's pieces before one, or up to it with last=0."""
+    return Window.partitionBy(key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, last)
+
+
+def _keys(key: str, piece: Column | None) -> list[str]:
+    return [key] if piece is None else [key, "__piece"]
+
+
+def regressions(rows: DataFrame, key: str, order: list[str], stamp: str, shown: str, piece: Column | None = None) -> DataFrame:
     """Per key: rows, those with a stamp below the last one that wasn't null, the first of them, and the greatest stamp."""
-    before = F.last(stamp, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    back = F.coalesce(F.col(stamp) < F.col("__before"), F.lit(False))
-    marked = rows.withColumn("__before", before).withColumn("__back", back)
+    if piece is not None:
+        last = F.max_by(stamp, F.when(F.col(stamp).isNotNull(), F.struct(*order)))
+        rows = carried(rows.withColumn("__piece", piece), key, {"__last": last}, {"__carry": F.last("__last", ignorenulls=True).over(earlier(key))})
+    before = F.last(stamp, ignorenulls=True).over(Window.partitionBy(*_keys(key, piece)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("__before", before if piece is None else F.coalesce(before, F.col("__carry")))
+    marked = marked.withColumn("__back", F.coalesce(F.col(stamp) < F.col("__before"), F.lit(False)))
     return marked.groupBy(key).agg(
         F.count(stamp).alias("n"),
         F.count_if("__back").alias("regressions"),
@@ -41,20 +66,43 @@ def regressions(rows: DataFrame, key: str, order: list[str], stamp: str, shown:
     )
 
 
-def high_water(rows: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
-    return rows.withColumn(out, F.max(value).over(_so_far([key], order)))
+def high_water(rows: DataFrame, key: str, order: list[str], value: Column, out: str, piece: Column | None = None) -> DataFrame:
+    """The greatest value so far."""
+    local = F.max(value).over(_so_far(_keys(key, piece), order))
+    if piece is None:
+        return rows.withColumn(out, local)
+    rows = carried(rows.withColumn("__piece", piece), key, {"__max": F.max(value)}, {"__carry": F.max("__max").over(earlier(key))})
+    return rows.withColumn(out, F.greatest(local, "__carry")).drop("__piece", "__carry")
 
 
-def streaks(rows: DataFrame, key: str, order: list[str], failed: Column, reset: Column, out: str) -> DataFrame:
+def streaks(rows: DataFrame, key: str, order: list[str], failed: Column, reset: Column, out: str, piece: Column | None = None) -> DataFrame:
     """Failures in a row: up by one with each, back to zero with a reset, else as before."""
-    islands = rows.withColumn("__island", F.sum(F.when(reset, 1).otherwise(0)).over(_so_far([key], order)))
-    return islands.withColumn(out, F.sum(F.when(failed, 1).otherwise(0)).over(_so_far([key, "__island"], order))).drop("__island")
-
-
-def blocks(rows: DataFrame, key: str, order: list[str], ends: Column, out: str) -> DataFrame:
+    keys = _keys(key, piece)
+    if piece is not None:
+        rows = rows.withColumn("__piece", piece)
+    islands = rows.withColumn("__island", F.sum(F.when(reset, 1).otherwise(0)).over(_so_far(keys, order)))
+    found = islands.withColumn(out, F.sum(F.when(failed, 1).otherwise(0)).over(_so_far([*keys, "__island"], order)))
+    if piece is None:
+        return found.drop("__island")
+    # a piece leaves the streak at its end; one without a reset adds it to what it was left
+    facts = {"__end": F.max_by(out, F.struct(*order)), "__reset": F.max("__island") > 0}
+    per = found.groupBy(key, "__piece").agg(*[c.alias(n) for n, c in facts.items()])
+    run = per.withColumn("__run", F.sum(F.col("__reset").cast("int")).over(earlier(key, 0)))
+    total = run.withColumn("__total", F.sum("__end").over(Window.partitionBy(key, "__run").orderBy("__piece").rowsBetween(Window.unboundedPreceding, 0)))
+    left = total.select(F.col(key).alias("__key"), F.col("__piece").alias("__of"), F.coalesce(F.lag("__total").over(Window.partitionBy(key).orderBy("__piece")), F.lit(0)).alias("__carry"))
+    joined = found.join(left, F.col(key).eqNullSafe(F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__of")))
+    return joined.withColumn(out, F.col(out) + F.when(F.col("__island") == 0, F.col("__carry")).otherwise(0)).drop("__island", "__piece", "__key", "__of", "__carry")
+
+
+def blocks(rows: DataFrame, key: str, order: list[str], ends: Column, out: str, piece: Column | None = None) -> DataFrame:
     """Number, from 0, of the block that each row is in; a row that ends a block is its last."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before), F.lit(0)))
+    ended = F.when(ends, 1).otherwise(0)
+    before = Window.partitionBy(*_keys(key, piece)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(ended).over(before), F.lit(0))
+    if piece is None:
+        return rows.withColumn(out, local)
+    rows = carried(rows.withColumn("__piece", piece), key, {"__ends": F.sum(ended)}, {"__carry": F.coalesce(F.sum("__ends").over(earlier(key)), F.lit(0))})
+    return rows.withColumn(out, local + F.col("__carry")).drop("__piece", "__carry")
 
 
 def utilisation(rows: DataFrame, key: str, order: list[str], total: str, idle: str, out: str) -> DataFrame:

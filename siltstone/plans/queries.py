@@ -275,7 +275,7 @@ SELECT event_id, max(least(greatest(value / 1000, 0.0), 0.999)) OVER (PARTITION
 """)
 def progress_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = S.clamp(F.col("value") / 1000, 0.0, 0.999)
-    return sequences.high_water(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], value, "progress").select("event_id", "progress")
+    return sequences.high_water(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], value, "progress", F.date_trunc("week", "ts")).select("event_id", "progress")
 
 
 @query("""

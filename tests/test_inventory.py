@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import languages, parsers
-from siltstone.operators import aggregates, filters, inventory, rules
+from siltstone.operators import aggregates, filters, inventory, rules, sequences
 from siltstone.sources import config, files
 
 DAY = dt.datetime(2024, 1, 2)
@@ -132,3 +132,20 @@ def test_windows_without_a_measured_one(spark):
     assert (got[1]["measured"], got[1]["error"], got[1]["least"], got[1]["p5"], got[1]["frames"], got[1]["model"]) == (True, None, 40.0, 60.0, 10, "a")
     assert got[1]["mean"] == pytest.approx(980 / 11) and got[1]["harmonic"] == 90.0
     assert (got[2]["measured"], got[2]["error"], got[2]["mean"]) == (False, "A VMAF sample produced no usable score.", None)
+
+
+def test_pieces_of_a_key_carry_over(spark):
+    """Every sequence gives the same result in one window a key and in pieces, whatever they begin and end with."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), n, rng.choice([None, *range(9)]), rng.choice("frx"), rng.randrange(-4, 5)) for n in range(400)]
+    df = spark.createDataFrame(rows, "k int, n int, v int, e string, d int")
+    failed, reset, order = F.col("e") == "f", F.col("e") == "r", ["n"]
+    cases = [
+        lambda **o: sequences.high_water(df, "k", order, F.col("v"), "x", **o), lambda **o: sequences.streaks(df, "k", order, failed, reset, "x", **o), lambda **o: sequences.blocks(df, "k", order, reset, "x", **o),
+        lambda **o: aggregates.clamped_counter(df, "k", order, "d", "x", **o), lambda **o: sequences.regressions(df, "k", order, "v", "n", **o),
+    ]
+    for case in cases:
+        want = case()
+        for size in (1, 7, 1000):
+            got = case(piece=F.floor(F.col("n") / size))
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
