@@ -149,3 +149,20 @@ def test_pieces_of_a_key_carry_over(spark):
         for size in (1, 7, 1000):
             got = case(piece=F.floor(F.col("n") / size))
             assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_probes_are_drained_in_batches(spark, tmp_path):
+    from siltstone.streaming import probing, progress
+
+    (tmp_path / "in").mkdir()
+    good = json.dumps({"format": {"format_name": "avi"}, "streams": [{"codec_type": "video", "codec_name": "h264"}]})
+    outputs = [(good, None), ("{bad", None), (None, "no such file"), (good, " "), (good, None)]
+    for k, (output, error) in enumerate(outputs):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"path": f"/m/{k}", "output": output, "error": error}))
+    for _ in range(2):  # the second finds nothing new
+        stream = probing.read_probes(spark, str(tmp_path / "in"), 2)
+        progress.drain(stream, str(tmp_path / "state"), probing.into(str(tmp_path / "out")))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    got = {r["path"]: (r["status"], r["probe_error"], r["facts"] and r["facts"]["video_codec"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    unread = ("ProbeFailed", "The probe's output could not be read.", None)
+    assert got == {"/m/0": ("Probed", None, "h264"), "/m/1": unread, "/m/2": ("ProbeFailed", "no such file", None), "/m/3": ("Probed", None, "h264"), "/m/4": ("Probed", None, "h264")}
