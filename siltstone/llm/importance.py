@@ -33,10 +33,10 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from .support import LOWER_TABLE, materialise, mix64, table
 
@@ -141,23 +141,29 @@ def fit(documents: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, p
     return np.log((target + prior) / (expected + prior)), good / all_of
 
 
-def scorer(documents: DataFrame, ratios: np.ndarray | None, telling: frozenset[bytes] = frozenset()):
-    """A pandas UDF of (id, text) that returns the log weight, the key (weight plus noise), and if a telling word was found."""
+def scored(documents: DataFrame, ratios: np.ndarray | None, telling: frozenset[bytes], columns: list[str]) -> DataFrame:
+    """columns of documents with struct __quality, as a table: log weight, key (weight plus noise), if a telling word was found."""
     shared = documents.sparkSession.sparkContext.broadcast((None if ratios is None else ratios.astype(np.float64), telling))
 
-    @F.pandas_udf("n_features long, log_weight double, key double, toxic boolean")
-    def score(doc_id: pd.Series, text: pd.Series) -> pd.DataFrame:
-        (table_of, words), sizes, weights, toxic, noise = shared.value, [], [], [], np.empty(len(text), dtype=np.uint64)
-        for k, (d, t) in enumerate(zip(doc_id, text)):
-            tokens, lower = tokens_of(t)
-            f = buckets(tokens, lower)
-            sizes.append(len(f))
-            weights.append(float(table_of[f].sum()) if table_of is not None and len(f) else 0.0)
-            toxic.append(not words.isdisjoint(lower))
-            noise[k] = crc32((t or "").encode()) + (1 << 63) if pd.isna(d) else np.uint64(int(d) & 0xFFFFFFFFFFFFFFFF)
-        return pd.DataFrame({"n_features": sizes, "log_weight": weights, "key": np.array(weights) + gumbel(noise), "toxic": toxic})
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_of, words = shared.value
+        for batch in batches:
+            sizes, weights, toxic, noise = [], [], [], np.empty(batch.num_rows, dtype=np.uint64)
+            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id"), batch.column("text"))):
+                doc_id, text = doc_id.as_py(), text.as_py()
+                tokens, lower = tokens_of(text)
+                f = buckets(tokens, lower)
+                sizes.append(len(f))
+                weights.append(float(table_of[f].sum()) if table_of is not None and len(f) else 0.0)
+                toxic.append(not words.isdisjoint(lower))
+                noise[k] = crc32((text or "").encode()) + (1 << 63) if doc_id is None else doc_id & 0xFFFFFFFFFFFFFFFF
+            found = (pa.array(sizes, pa.int64()), pa.array(weights, pa.float64()), pa.array(np.array(weights) + gumbel(noise), pa.float64()), pa.array(toxic, pa.bool_()))
+            quality = pa.StructArray.from_arrays(found, names=["n_features", "log_weight", "key", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), quality], names=[*columns, "__quality"])
 
-    return score
+    rows = documents.select(*{c: None for c in (*columns, "doc_id", "text")})
+    schema = StructType([rows.schema[c] for c in columns]).add("__quality", DataType.fromDDL("n_features long, log_weight double, key double, toxic boolean"))
+    return materialise(rows.mapInArrow(step, schema), "importance")
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: int = 10_000) -> float | None:
@@ -183,12 +189,6 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: int
     return keys.where((value >= low) & (value <= high)).select(column).orderBy(value.desc()).limit(k).agg(F.min(column)).first()[0]
 
 
-def scored(documents: DataFrame, ratios: np.ndarray | None, telling: frozenset[bytes], columns: list[str]) -> DataFrame:
-    """columns of documents with struct __quality of ``scorer``, as a table."""
-    score = scorer(documents, ratios, telling)
-    return materialise(documents.select(*columns, score("doc_id", "text").alias("__quality")), "importance")
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other documents hold each word; the empty word stands for the documents themselves."""
 
@@ -237,12 +237,11 @@ def without_toxic(documents: DataFrame, words: frozenset[bytes]) -> DataFrame:
         return documents
     shared = documents.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        telling = shared.value
-        return pd.Series([telling.isdisjoint(TOKEN.findall((t or "").encode().translate(LOWER_TABLE))) for t in text])
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.isdisjoint(tokens_of(text.as_py())[1]) for text in batch.column("text")], pa.bool_()))
 
-    return documents.where(clean("text"))
+    return documents.mapInArrow(clean, documents.schema)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:

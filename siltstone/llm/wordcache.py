@@ -16,7 +16,7 @@ from pathlib import Path
 from .support import LOWER_TABLE
 
 #: Chunks that a worker keeps, which bounds its memory; a full cache is emptied.
-CACHED = 800_000
+CACHED = 500_000
 #: Lower-case letters of ASCII and Latin-1: a word of them is one pre-token, which normalisation leaves alone.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
