@@ -42,8 +42,9 @@ def outcomes(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     Rows become counts by key first, two numbers a check, so distinct keys are counted without a shuffle of their own.
     """
     kinds = [(name, outcome) for name in names for outcome in ("Passed", "Failed")]
-    has = lambda name, outcome: F.size(F.filter("checks", lambda c: (c["name"] == name) & (c["outcome"] == outcome)))
-    per_key = rows.groupBy(key).agg(*[F.sum(has(*kind)).cast("long").alias(f"__{k}") for k, kind in enumerate(kinds)])
+    number = F.create_map(*[F.lit(x) for k, kind in enumerate(kinds) for x in ("\0".join(kind), k)])
+    flat = rows.select(key, F.explode(F.transform("checks", lambda c: F.try_element_at(number, F.concat_ws("\0", c["name"], c["outcome"])))).alias("__k"))
+    per_key = flat.groupBy(key).agg(*[F.count_if(F.col("__k") == k).alias(f"__{k}") for k in range(len(kinds))])
     total = per_key.agg(*[c for k in range(len(kinds)) for c in (F.coalesce(F.sum(f"__{k}"), F.lit(0)).alias(f"n{k}"), F.count_if(F.col(f"__{k}") > 0).alias(f"k{k}"))])
     listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(outcome).alias("outcome"), F.col(f"n{k}").alias("n"), F.col(f"k{k}").alias("keys")) for k, (name, outcome) in enumerate(kinds)])
     return total.select(F.inline(listed)).where("n > 0")
