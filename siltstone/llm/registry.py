@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_bands, decontamination, importance, line_dedup, near_dedup, packing, secrets, substring_dedup, token_rollup, warc
+from . import bpe, compression_bands, decontamination, importance, line_dedup, near_dedup, packing, secrets, substring_dedup, token_rollup, warc
 
 QUERIES = {
     "op1_importance_resampling": importance.op1_importance_resampling,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_rollup": token_rollup.op10_token_rollup,
+    "op11_byte_bpe": bpe.op11_byte_bpe,
 }
 
 SQL = {
