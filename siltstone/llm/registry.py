@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, compression_bands, decontamination, importance, line_dedup, near_dedup, packing, secrets, substring_dedup, token_rollup, warc
+from . import bpe, compression_bands, decontamination, divergence, importance, lexical_search, line_dedup, near_dedup, packing, secrets, substring_dedup, token_rollup, warc
 
 QUERIES = {
     "op1_importance_resampling": importance.op1_importance_resampling,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_rollup": token_rollup.op10_token_rollup,
     "op11_byte_bpe": bpe.op11_byte_bpe,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
