@@ -16,7 +16,7 @@ the last blank of a run that a word follows.
 
 Edge cases: null and empty text have no ids and decode to nothing; null ids decode to nothing; null or repeated row ids
 are kept, each row by itself; other columns stay, those named like results are replaced; a null or unknown id in what is
-to be decoded is an error. A task holds one slice of texts (``SLICE`` characters, or one longer text) and up to ``KNOWN``
+to be decoded is an error. A task holds one slice of texts (``SLICE`` characters, or a longer text without a place to cut it) and up to ``KNOWN``
 remembered pieces.
 """
 
@@ -37,13 +37,13 @@ from pyspark.sql import types as T
 from .support import table
 
 #: Characters of text, or ids, that are worked on at once; the last text may go over it.
-SLICE = 1_500_000
+SLICE = 2_000_000
 #: Pieces that go into one recursive query, and pieces that a worker remembers; a full memory is emptied.
-AT_ONCE, KNOWN = 25_000, 400_000
+AT_ONCE, KNOWN = 25_000, 1_200_000
 #: Bytes from which a piece is cut and contracted by rank instead of pair by pair.
 LONG = 96
 #: What DuckDB may take in a worker, besides a slice and its results.
-MEMORY = "200MB"
+MEMORY = "500MB"
 NO_RANK = 1 << 30
 
 
@@ -113,7 +113,7 @@ WITH RECURSIVE state AS (
     WHERE p.key <> spot + least.len)
 )
 SELECT (key >> 32)::INT AS w, list(tok ORDER BY key) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY key >> 32) AS last FROM state) WHERE step = last GROUP BY 1
+FROM state JOIN (SELECT key >> 32 AS piece, max(step) AS last FROM state GROUP BY 1) ON key >> 32 = piece AND step = last GROUP BY 1
 """
 
 # The same for long pieces: all pairs of the piece's least rank at once. Where the same token stands many times in a row,
@@ -141,6 +141,18 @@ SELECT (key >> 32)::INT AS w, key & 4294967295 AS pos, tok, len, step FROM (SELE
 STEP_ROWS = 2_000_000
 
 
+def cut_text(text: str) -> list[str]:
+    """text in parts of up to SLICE characters, cut before a single blank between other characters, where a piece begins."""
+    parts, start = [], 0
+    while len(text) - start > SLICE:
+        at = next((at for at in range(start + SLICE, start + 1, -1) if text[at] in " \n" and not text[at - 1].isspace() and not text[at + 1 : at + 2].isspace()), 0)
+        if not at or at + 1 == len(text):
+            break
+        parts.append(text[start:at])
+        start = at
+    return [*parts, text[start:]]
+
+
 class Codec:
     """A vocabulary in a DuckDB database of this process, with the pieces met so far."""
 
@@ -185,7 +197,26 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text, as lists in the order of texts."""
-        texts = texts.cast(pa.string()).fill_null("")
+        return self._in_slices(texts.cast(pa.string()).fill_null(""), pa.compute.utf8_length, cut_text, self._encode, pa.list_(pa.int32()))
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The bytes that each list of ids stands for."""
+        cut = lambda x: [x[at : at + SLICE] for at in range(0, len(x), SLICE)]
+        return self._in_slices(ids, pa.compute.list_value_length, cut, self._decode, pa.binary())
+
+    @staticmethod
+    def _in_slices(values: pa.Array, measure, cut, work, kind: pa.DataType) -> pa.Array:
+        """work on values, or if they measure more than a slice one by one, on what cut makes of a longer one in turn."""
+        sizes = measure(values).fill_null(0).to_numpy(zero_copy_only=False)
+        if sizes.sum() <= SLICE:
+            return work(values)
+        out = []
+        for size, value in zip(sizes, values.to_pylist()):
+            made = [work(pa.array([part], values.type))[0].as_py() for part in (cut(value) if size > SLICE else [value])]
+            out.append(made[0] if len(made) == 1 else [x for part in made for x in part] if pa.types.is_list(kind) else b"".join(made))
+        return pa.array(out, kind)
+
+    def _encode(self, texts: pa.Array) -> pa.Array:
         mark = self._mark(texts)
         split, place = self.split.get(mark) or split_pattern(self.pattern, mark)
         self._keep("texts", pa.table({"row": pa.array(np.arange(len(texts), dtype=np.int32)), "text": texts}))
@@ -194,17 +225,24 @@ class Codec:
             SELECT row, regexp_extract_all(CASE WHEN regexp_matches(text, $2) THEN regexp_replace(text, $2, $3, 'g') ELSE text END, $1) AS ws FROM texts)""",
             [split, place, rf"\1{mark}\2"],
         )
-        if self.size > KNOWN:
-            self.db.execute("DELETE FROM known")
-            self.size = 0
-        self.db.execute("INSERT INTO known SELECT w, [v.id] FROM (SELECT DISTINCT w FROM pieces ANTI JOIN known USING (w)) JOIN vocabulary v ON v.token = encode(w)")
-        new = self.db.sql("SELECT DISTINCT w FROM pieces ANTI JOIN known USING (w)").to_arrow_table().column("w")
+        self.db.execute(
+            """CREATE OR REPLACE TEMP TABLE met AS SELECT w, CASE WHEN v.id IS NULL THEN k.ids ELSE [v.id] END AS ids
+            FROM (SELECT DISTINCT w FROM pieces) LEFT JOIN known k USING (w) LEFT JOIN vocabulary v ON v.token = encode(w)"""
+        )
+        self.db.execute("CREATE OR REPLACE TEMP TABLE learned (w VARCHAR, ids INT[])")
+        new = self.db.sql("SELECT w FROM met WHERE ids IS NULL").to_arrow_table().column("w")
         for at in range(0, len(new), AT_ONCE):
             self._learn(new.slice(at, AT_ONCE).combine_chunks())
-        self.size = self.db.sql("SELECT count(*) FROM known").fetchall()[0][0]
         found = self.db.sql(
-            "SELECT row, ids FROM texts LEFT JOIN (SELECT row, flatten(list(ids ORDER BY i)) AS ids FROM pieces JOIN known USING (w) GROUP BY row) USING (row) ORDER BY row"
+            """SELECT row, ids FROM texts LEFT JOIN (
+                SELECT row, flatten(list(ids ORDER BY i)) AS ids FROM pieces JOIN (FROM met WHERE ids IS NOT NULL UNION ALL FROM learned) USING (w) GROUP BY row
+            ) USING (row) ORDER BY row"""
         ).to_arrow_table()
+        self.size += len(new)
+        if self.size > KNOWN:
+            self.db.execute("DELETE FROM known")
+            self.size = len(new)
+        self.db.execute("INSERT INTO known FROM learned")
         lists = found.column("ids").combine_chunks()
         return lists if lists.null_count == 0 else pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
 
@@ -213,7 +251,8 @@ class Codec:
         raw = [w.encode() for w in words.to_pylist()]
         if short := [k for k, w in enumerate(raw) if len(w) <= LONG]:
             self._start([raw[k] for k in short])
-            self._remember(words, short, CONTRACT)
+            self._keep("owners", pa.table({"part": np.arange(len(short), dtype=np.int32), "word": words.take(pa.array(short))}))
+            self.db.execute(f"INSERT INTO learned SELECT word, ids FROM ({CONTRACT}) JOIN owners ON part = w")
         for k, w in enumerate(raw):
             if len(w) > LONG:
                 cuts = [0, *(i for i in range(1, len(w)) if w[i - 1 : i + 1] not in self.beside), len(w)]
@@ -225,7 +264,7 @@ class Codec:
                     self.db.execute(f"CREATE OR REPLACE TEMP TABLE later AS {query}")
                     self.db.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT w, pos, tok, len FROM later")
                     contracted = self.db.sql("SELECT max(step) FROM later").fetchall()[0][0]
-                self._remember(words, [k] * (len(cuts) - 1), "SELECT w, list(tok ORDER BY pos) AS ids FROM start GROUP BY w")
+                self.db.execute("INSERT INTO learned SELECT $1, list(tok ORDER BY w, pos) FROM start", [w.decode()])
 
     def _start(self, parts: list[bytes]) -> None:
         """Rows (w, pos, tok, len), one for each byte of parts."""
@@ -235,13 +274,7 @@ class Codec:
         tok = self.single[np.frombuffer(b"".join(parts), dtype=np.uint8)]
         self._keep("start", pa.table({"w": place, "pos": pa.array(pos.astype(np.int64)), "tok": tok, "len": np.ones(len(tok), dtype=np.int32)}))
 
-    def _remember(self, words: pa.Array, owner: list[int], query: str) -> None:
-        """Keep the ids of words, whose parts' ids query returns; owner: the word of each part."""
-        self._keep("owners", pa.table({"part": np.arange(len(owner), dtype=np.int32), "owner": pa.array(owner, pa.int32()), "word": words.take(pa.array(owner))}))
-        self.db.execute(f"INSERT INTO known SELECT any_value(word), flatten(list(ids ORDER BY part)) FROM ({query}) JOIN owners ON part = w GROUP BY owner")
-
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """The bytes that each list of ids stands for."""
+    def _decode(self, ids: pa.Array) -> pa.Array:
         self._keep("coded", pa.table({"row": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids}))
         # a character of Latin-1 stands for a byte, so bytes are put together as text
         found = self.db.sql(

@@ -76,6 +76,18 @@ def test_bpe_forgets_and_stays_right(codec, reference, monkeypatch):
         assert codec.encode(pa.array(texts)).to_pylist() == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_of_texts_longer_than_a_slice(codec, reference, monkeypatch):
+    """A long text is cut where a piece begins, or not at all if there is no such place."""
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    rng = random.Random(6)
+    parts = ["ab", "the", " ", "  ", "\n", "\n\n", "\x1c", "'s", "1", "é", "!", "\u3000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(60)] + ["x" * 120, "a b" + "x" * 80 + " c", " " * 60 + "z"]
+    assert max(len(bpe.cut_text(t)) for t in texts) > 4 and all("".join(bpe.cut_text(t)) == t for t in texts)
+    ids = codec.encode(pa.array(texts))
+    assert ids.to_pylist() == [reference.encode_ordinary(t) for t in texts]
+    assert codec.decode(ids).to_pylist() == [t.encode() for t in texts]
+
+
 def test_bpe_of_rows(spark, reference):
     rows = tricky_rows()
     got = bpe.round_trip(tricky(spark), PATH, PATTERN).collect()
