@@ -12,12 +12,11 @@ q differ by floor((p - q)^2 / (p + q)); all in integers, exact for up to 2 * 10^
 
 Edge cases: null text, language and source are read as ''; repeated rows count each; groups without a term, and languages
 without a kept one, have their pairs, with value 0 if V is 0; an empty table has no rows; other columns are ignored. A
-task holds counters and tries of up to about ``BUFFER`` entries and one document, or one merged range.
+task holds tries of up to about ``BUFFER`` leaves and one document, or one merged range.
 """
 
 from __future__ import annotations
 
-import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .support import drop_scratch, materialise, table
 
-#: Entries of counters, or leaves of a task's tries, from which they go on; leaves that one merged range has at most.
-BUFFER, RANGE = 250_000, 150_000
-#: First bytes that pieces are cut by; each round of cutting large ones deeper doubles them.
-DEPTH = 2
+#: Leaves of a task's tries from which they go on, and that the pieces of one merged range have at most.
+BUFFER, RANGE = 200_000, 150_000
+#: First bytes that are one step of a trie and that pieces are cut by; each round of cutting large ones deeper doubles them.
+DEPTH = 3
 #: Terms times sources that are computed with at once.
 CELLS = 2_000_000
 UNIT = 1_000_000_000
@@ -60,144 +59,191 @@ class Node:
     __slots__ = ("label", "children", "docs", "counts")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.docs, self.counts = label, {}, 0, None
+        self.label, self.children, self.docs, self.counts = label, None, 0, None
 
 
 class Trie:
-    """Terms with the documents that hold them and their occurrences by source."""
+    """Terms with the documents that hold them and their occurrences by source.
+
+    The first step is by the first DEPTH bytes, or by a whole shorter term; known leads to a term's leaf at once.
+    """
 
     def __init__(self):
-        self.root, self.leaves = Node(b""), 0
+        self.roots, self.known = {}, {}
 
     def leaf(self, term: bytes) -> Node:
         """The node of a term, made if it is new."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node.children.get(term[at])
+        node = self.known.get(term)
+        if node is None:
+            node = self.known[term] = self._descend(term)
+            node.counts = {}
+        return node
+
+    def _descend(self, term: bytes) -> Node:
+        at, size = DEPTH, len(term)
+        node = self.roots.get(term[:DEPTH])
+        if node is None:
+            node = self.roots[term[:DEPTH]] = Node(term[:DEPTH])
+        while at < size:
+            children = node.children
+            if children is None:
+                child = Node(term[at:])
+                node.children = {term[at]: child}
+                return child
+            child = children.get(term[at])
             if child is None:
-                child = node.children[term[at]] = Node(term[at:])
-                at = len(term)
-            elif term.startswith(child.label, at):
-                at += len(child.label)
+                child = children[term[at]] = Node(term[at:])
+                return child
+            label = child.label
+            if term.startswith(label, at):
+                at += len(label)
             else:
-                same = len(os.path.commonprefix([child.label, term[at:]]))
-                middle = node.children[term[at]] = Node(child.label[:same])
-                child.label = child.label[same:]
-                middle.children[child.label[0]] = child
+                same = _shared(label, term, at)
+                middle = children[term[at]] = Node(label[:same])
+                child.label = label[same:]
+                middle.children = {label[same]: child}
                 child, at = middle, at + same
             node = child
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
         return node
 
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        node = self.leaf(term)
-        node.docs += docs
-        for source, n in counts.items():
-            node.counts[source] = node.counts.get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """Terms and their nodes in the order of bytes."""
-        stack = [(self.root, b"")]
-        while stack:
-            node, path = stack.pop()
-            path += node.label
-            if node.counts is not None:
-                yield path, node
-            stack += [(node.children[b], path) for b in sorted(node.children, reverse=True)]
-
-    def merge(self, piece: dict) -> None:
-        """Add the leaves of a piece."""
-        for term, docs, counts in leaves(piece):
-            self.add(term, docs, counts)
-
-    def pieces(self, lang: str, depth: int, least: int = 0) -> Iterator[dict]:
-        """The trie as pieces, one for each prefix of depth bytes; only terms of at least so many documents."""
-        prefix, piece, before, number = None, None, b"", {}
-        for term, node in self.walk():
-            if node.docs < least:
-                continue
-            if prefix is None or term[:depth] != prefix:
-                if piece:
-                    yield piece | {"sources": list(number)}
-                prefix, before, number = term[:depth], b"", {}
-                piece = {"lang": lang, "prefix": prefix, "leaves": 0, "shared": [], "rest": [], "docs": [], "size": [], "source": [], "count": []}
-            same = len(os.path.commonprefix([before, term]))
-            piece["leaves"] += 1
-            piece["shared"].append(same)
-            piece["rest"].append(term[same:])
-            piece["docs"].append(node.docs)
-            piece["size"].append(len(node.counts))
-            piece["source"] += [number.setdefault(s, len(number)) for s in node.counts]
-            piece["count"] += node.counts.values()
-            before = term
-        if piece:
-            yield piece | {"sources": list(number)}
-
-
-def leaves(piece: dict) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-    """Each term of a piece with its documents and its counts by source, in the order of bytes."""
-    term, at, sources = b"", 0, piece["sources"]
-    for shared, rest, docs, size in zip(piece["shared"], piece["rest"], piece["docs"], piece["size"]):
-        term = term[:shared] + rest
-        yield term, docs, {sources[s]: n for s, n in zip(piece["source"][at : at + size], piece["count"][at : at + size])}
-        at += size
-
-
-def _rows(pieces: Iterator[dict], schema: pa.Schema = PIECE_ARROW, most: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """pieces as record batches of some leaves each."""
-    held, size = [], 0
-    for piece in pieces:
-        held.append(piece)
-        size += piece["leaves"]
-        if size >= most:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+    def walk(self) -> Iterator[tuple[bytes, Node, int]]:
+        """Terms and their nodes in the order of bytes, each with how many bytes it surely shares with the one before."""
+        for key in sorted(self.roots):
+            stack, low = [(self.roots[key], b"")], 0
+            while stack:
+                node, path = stack.pop()
+                if len(path) < low:
+                    low = len(path)
+                path += node.label
+                if node.counts is not None:
+                    yield path, node, low
+                    low = len(path)
+                if node.children:
+                    stack += [(node.children[b], path) for b in sorted(node.children, reverse=True)]
+
+    def merge(self, batch: pa.RecordBatch) -> None:
+        """Add the leaves of pieces."""
+        shared, rest, docs, size, source, count = (batch.column(c).flatten().to_pylist() for c in ("shared", "rest", "docs", "size", "source", "count"))
+        known, leaf, k, at = self.known, self.leaf, 0, 0
+        for n, sources in zip(batch.column("leaves").to_pylist(), batch.column("sources").to_pylist()):
+            term = b""
+            for k in range(k, k + n):
+                term = term[: shared[k]] + rest[k]
+                node = known.get(term) or leaf(term)
+                node.docs += docs[k]
+                held = node.counts
+                for at in range(at, at + size[k]):
+                    s = sources[source[at]]
+                    held[s] = held.get(s, 0) + count[at]
+                at += 1
+            k += 1
+
+    def cut(self, lang: str, depth: int, least: int = 0) -> Iterator[tuple]:
+        """(lang, prefix, shared, rest, docs, counts) of each leaf of at least so many documents, for pieces of depth bytes."""
+        before, skipped = None, 0
+        for term, node, shared in self.walk():
+            if shared < skipped:
+                skipped = shared
+            if node.docs >= least:
+                shared = skipped if term[:depth] == before else 0
+                before, skipped = term[:depth], len(term)
+                yield lang, before, shared, term[shared:], node.docs, node.counts.items()
+
+
+def _shared(label: bytes, term: bytes, at: int) -> int:
+    """How many bytes label and term from a place on have in common at their beginning."""
+    same = 0
+    while same < min(len(label), len(term) - at) and label[same] == term[at + same]:
+        same += 1
+    return same
+
+
+def leaves(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, list[tuple[str, int]]]]:
+    """Each term of pieces with its row, documents and counts by source; in the order of bytes in each piece."""
+    flat = {c: batch.column(c).flatten().to_pylist() for c in ("shared", "rest", "docs", "size", "source", "count")}
+    entries, at = zip(flat["shared"], flat["rest"], flat["docs"], flat["size"]), 0
+    for row, (n, sources) in enumerate(zip(batch.column("leaves").to_pylist(), batch.column("sources").to_pylist())):
+        term = b""
+        for _ in range(n):
+            shared, rest, docs, size = next(entries)
+            term = term[:shared] + rest
+            yield row, term, docs, [(sources[s], c) for s, c in zip(flat["source"][at : at + size], flat["count"][at : at + size])]
+            at += size
+
+
+def _rows(cut: Iterator[tuple], most: int = 50_000, totals: bool = False) -> Iterator[pa.RecordBatch]:
+    """Leaves that follow each other, as pieces, in record batches of some leaves each; with the sums by source if wanted."""
+    pieces, ends, number = [], [0], {}
+    flat: dict[str, list] = {c: [] for c in ("shared", "rest", "docs", "size", "source", "count")}
+    heads: dict[str, list] = {"sources": [], "totals": []}
+
+    def closed() -> None:
+        if len(flat["shared"]) > ends[-1]:
+            ends.append(len(flat["shared"]))
+            heads["sources"].append(list(number))
+            if totals:
+                sums = np.zeros(len(number), dtype=np.int64)
+                np.add.at(sums, flat["source"][starts[-1] :], flat["count"][starts[-1] :])
+                heads["totals"].append(sums.tolist())
+            number.clear()
+            starts.append(len(flat["source"]))
+
+    def batch() -> pa.RecordBatch:
+        lists = lambda c, kind, of: pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(flat[c], kind))
+        columns = [
+            pa.array([p[0] for p in pieces], pa.string()),
+            pa.array([p[1] for p in pieces], pa.binary()),
+            pa.array(np.diff(ends), pa.int32()),
+            pa.array(heads["sources"], pa.list_(pa.string())),
+            *(lists(c, PIECE_ARROW.field(c).type.value_type, ends) for c in ("shared", "rest", "docs", "size")),
+            *(lists(c, PIECE_ARROW.field(c).type.value_type, starts) for c in ("source", "count")),
+        ]
+        names = PIECE_ARROW.names
+        if totals:
+            columns, names = [*columns, pa.array(heads["totals"], pa.list_(pa.int64()))], [*names, "totals"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    starts = [0]
+    add_shared, add_rest, add_docs, add_size, add_source, add_count = (held.append for held in flat.values())
+    for lang, prefix, shared, rest, docs, counts in cut:
+        if not pieces or pieces[-1] != (lang, prefix):
+            closed()
+            if len(flat["shared"]) >= most:
+                yield batch()
+                pieces, ends, starts = [], [0], [0]
+                for held in (*flat.values(), *heads.values()):
+                    held.clear()
+            pieces.append((lang, prefix))
+        add_shared(shared)
+        add_rest(rest)
+        add_docs(docs)
+        add_size(len(counts))
+        for source, n in counts:
+            add_source(number.setdefault(source, len(number)))
+            add_count(n)
+    closed()
+    if pieces:
+        yield batch()
 
 
 def counted(documents: DataFrame) -> DataFrame:
     """The tries of each partition of (text, lang, source), as pieces."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = defaultdict(Trie)
-        docs: dict[str, Counter] = defaultdict(Counter)
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def settle() -> None:
-            """Counters go into the tries' leaves."""
-            for (lang, source), found in counts.items():
-                leaf = tries[lang].leaf
-                for term, n in found.items():
-                    held = leaf(term).counts
-                    held[source] = held.get(source, 0) + n
-            for lang, found in docs.items():
-                leaf = tries[lang].leaf
-                for term, n in found.items():
-                    leaf(term).docs += n
-            counts.clear()
-            docs.clear()
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for lang, trie in tries.items():
-                yield from _rows(trie.pieces(lang, DEPTH))
-            tries.clear()
-
+        tries: dict[str, Trie] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                for text, lang, source in zip(*(c.to_pylist() for c in part.columns)):
-                    terms = text.encode().translate(TERM_TABLE).split()
-                    counts[lang, source].update(terms)
-                    docs[lang].update(set(terms))
-                if sum(map(len, counts.values())) >= BUFFER:
-                    settle()
-                    if sum(t.leaves for t in tries.values()) >= BUFFER:
-                        yield from sent()
-        settle()
-        yield from sent()
+            for row, (text, lang, source) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                trie = tries.get(lang) or tries.setdefault(lang, Trie())
+                known, leaf = trie.known, trie.leaf
+                for term, n in Counter(text.encode().translate(TERM_TABLE).split()).items():
+                    node = known.get(term) or leaf(term)
+                    node.docs += 1
+                    held = node.counts
+                    held[source] = held.get(source, 0) + n
+                if row % 200 == 0 and sum(len(t.known) for t in tries.values()) >= BUFFER:
+                    yield from _rows(x for of, t in tries.items() for x in t.cut(of, DEPTH))
+                    tries.clear()
+        yield from _rows(x for of, t in tries.items() for x in t.cut(of, DEPTH))
 
     return documents.select("text", "lang", "source").mapInArrow(step, PIECE)
 
@@ -205,12 +251,17 @@ def counted(documents: DataFrame) -> DataFrame:
 def _deeper(pieces: DataFrame, depth: int) -> DataFrame:
     """pieces cut by longer prefixes."""
 
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple]:
+        langs, before, last = batch.column("lang").to_pylist(), None, b""
+        for row, term, docs, counts in leaves(batch):
+            shared = _shared(last, term, 0) if (row, term[:depth]) == before else 0
+            before, last = (row, term[:depth]), term
+            yield langs[row], term[:depth], shared, term[shared:], docs, counts
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in batch.to_pylist():
-                trie = Trie()
-                trie.merge(piece)
-                yield from _rows(trie.pieces(piece["lang"], depth))
+            for row in range(batch.num_rows):
+                yield from _rows(cut(batch.slice(row, 1)))
 
     return pieces.mapInArrow(step, PIECE)
 
@@ -231,21 +282,12 @@ def in_ranges(pieces: DataFrame) -> DataFrame:
 
 def merged(pieces: DataFrame, least_docs: int) -> DataFrame:
     """The merged trie of each language and prefix, of terms in at least so many documents, with its sums by source."""
-    schema = PIECE_ARROW.append(pa.field("totals", pa.list_(pa.int64())))
-
     def step(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, lang, prefix = Trie(), None, b""
         for batch in group:
-            for k in range(batch.num_rows):
-                piece = batch.slice(k, 1).to_pylist()[0]
-                lang, prefix = piece["lang"], piece["prefix"]
-                trie.merge(piece)
-        done = []
-        for piece in trie.pieces(lang, max(1, len(prefix)), least_docs):
-            totals = np.zeros(len(piece["sources"]), dtype=np.int64)
-            np.add.at(totals, piece["source"], piece["count"])
-            done.append(piece | {"totals": totals.tolist()})
-        yield from _rows(iter(done), schema)
+            lang, prefix = batch.column("lang")[0].as_py(), batch.column("prefix")[0].as_py()
+            trie.merge(batch)
+        yield from _rows(trie.cut(lang, len(prefix), least_docs), totals=True)
 
     return pieces.groupBy("lang", "prefix").applyInArrow(step, PIECE + ", totals array<long>")
 
@@ -297,7 +339,8 @@ def compared(tries: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             for k_row in range(batch.num_rows):
-                row = batch.slice(k_row, 1).to_pylist()[0]
+                piece = batch.slice(k_row, 1)
+                row = piece.select(["lang", "leaves", "all_sources", "all_totals", "vocabulary"]).to_pylist()[0]
                 lang, names[row["lang"]] = row["lang"], row["all_sources"]
                 if lang not in sums:
                     if len(sums) >= 50:
@@ -307,8 +350,8 @@ def compared(tries: DataFrame, k: int) -> DataFrame:
                 number = {s: g for g, s in enumerate(row["all_sources"])}
                 terms, most = [], max(1, CELLS // len(number))
                 count = np.zeros((min(most, row["leaves"]), len(number)), dtype=np.int64)
-                for term, _, counts in leaves(row):
-                    for s, n in counts.items():
+                for _, term, _, counts in leaves(piece):
+                    for s, n in counts:
                         count[len(terms), number[s]] = n
                     terms.append(term)
                     if len(terms) == most:
