@@ -3,18 +3,16 @@
 Each is a window over a key; rows of one key are ordered by the given columns, which must be a total order. A window holds
 one key in one task, sorted and spilled. Where a key may have a large part of all rows, give ``piece``: a column that never
 goes back along the order, such as the day of a time. Each piece of a key is then a task's by itself, and what one piece
-leaves to the next is worked out from one row a piece. ``emissions`` has no such form: what it emits first decides all later.
+leaves to the next is worked out from one row a piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import checkpointed
+
 
 def in_order(key: str, order: list[str]):
     return Window.partitionBy(key).orderBy(*order)
@@ -127,24 +125,53 @@ def emitted_changes(values: Column, step: float) -> Column:
     return F.aggregate(values, start, lambda s, v: F.when(v >= s["last"] + step, F.struct(v.alias("last"), F.concat(s["out"], F.array(v)).alias("out"))).otherwise(s), lambda s: s["out"])
 
 
-def emissions(rows: DataFrame, key: str, order: list[str], value: str, step: float) -> DataFrame:
-    """The rows whose value is at least a step above the last one emitted for their key, which starts at 0.
+def records(rows: DataFrame, key: str, order: list[str], value: str, piece: Column | None = None) -> DataFrame:
+    """The rows whose value is above all values before; those without a key or a finite value are passed over."""
+    known = rows.where(F.col(key).isNotNull() & (F.abs(value) < float("inf")))  # a NaN is above all numbers
+    before = F.max(value).over(Window.partitionBy(*_keys(key, piece)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    if piece is not None:
+        known = carried(known.withColumn("__piece", piece), key, {"__max": F.max(value)}, {"__carry": F.max("__max").over(earlier(key))})
+        before = F.greatest(before, "__carry")
+    return known.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(value) > F.col("__before"))).drop("__before", "__piece", "__carry")
 
-    Rows are sorted within partitions of whole keys and scanned batch by batch: a key of any length needs the memory of one
-    batch. Null values are passed over.
-    """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, 0.0
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for n, (k, v) in enumerate(zip(batch[key].tolist(), batch[value].tolist())):
-                if k != at:
-                    at, last = k, 0.0
-                if v is not None and v >= last + step:
-                    keep[n], last = True, v
-            yield batch[keep]
+def next_jumps(values: DataFrame, step: float) -> DataFrame:
+    """(key, value, next): for each (key, value) of a key's growing values the first that is at least value + step, or null.
 
+    Values are dealt to buckets a step wide: the next one is in the bucket of value + step, or else the least of the next
+    bucket that has any. So what is sorted together is one bucket of a key, and one row for each of a key's buckets.
+    """
+    bucket = lambda x: F.floor(x / step)
+    at = values.select("key", bucket(F.col("value")).alias("bucket"), F.col("value").alias("x"), F.col("value").alias("there"), F.lit(None).cast("double").alias("value"))
+    asked = values.select("key", bucket(F.col("value") + step).alias("bucket"), (F.col("value") + step).alias("x"), F.lit(None).cast("double").alias("there"), "value")
+    within = Window.partitionBy("key", "bucket").orderBy("x", F.col("there").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = at.unionByName(asked).withColumn("near", F.min("there").over(within)).where(F.col("there").isNull())
+    # the least value of each bucket, and of the next that has any, for the buckets that are asked for
+    least = at.groupBy("key", "bucket").agg(F.min("there").alias("least")).unionByName(asked.select("key", "bucket", F.lit(None).cast("double").alias("least"))).groupBy("key", "bucket").agg(F.min("least").alias("least"))
+    later = least.select("key", "bucket", F.min("least").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    return found.join(later, ["key", "bucket"]).select("key", "value", F.coalesce("near", "later").alias("next"))
+
+
+def emissions(rows: DataFrame, key: str, order: list[str], value: str, step: float, piece: Column | None = None, eager: bool = False) -> DataFrame:
+    """The rows whose value is at least a step above the last one emitted for their key, which starts at 0.
+
+    With eager, the first one only has to be above 0. A row that is emitted is above all before it, so the question is put
+    to those rows alone. Each points to the next that is a step above it; from the start, the places that 1, 2, 4, ...
+    jumps lead to are joined until no jump is left. Each doubling is a shuffle by key and value, cut off by a checkpoint;
+    there are as many as the logarithm of the most rows emitted for one key. With ``piece`` (see above) a key with a large
+    part of all rows is split everywhere. Rows without a key or a finite value are passed over. step is above 0.
+    """
     columns = list(dict.fromkeys([key, *order, value]))
-    known = rows.where(F.col(key).isNotNull()).select(*columns)
-    return known.repartition(key).sortWithinPartitions(key, *order).mapInPandas(scan, known.schema)
+    above = records(rows.select(*columns), key, order, value, piece).where(F.col(value) > 0 if eager else F.col(value) >= step)
+    above = checkpointed(above.withColumn("__value", F.col(value).cast("double")))
+    values = above.select(F.col(key).alias("key"), F.col("__value").alias("value"))
+    jumps = checkpointed(next_jumps(values, step).where("next is not null"))
+    reached = values.groupBy("key").agg(F.min("value").alias("value"))
+    while True:
+        # what is reached by up to 2^k jumps, and by one more leap of 2^k from there
+        reached = checkpointed(reached.unionByName(reached.join(jumps, ["key", "value"]).select("key", F.col("next").alias("value"))))
+        jumps = checkpointed(jumps.join(jumps.select("key", F.col("value").alias("next"), F.col("next").alias("__next")), ["key", "next"]).select("key", "value", F.col("__next").alias("next")))
+        if jumps.isEmpty():
+            break
+    reached = reached.select(F.col("key").alias("__key"), F.col("value").alias("__reached"))
+    return above.join(reached, (F.col(key) == F.col("__key")) & (F.col("__value") == F.col("__reached")), "left_semi").select(*columns)

@@ -149,7 +149,7 @@ SELECT user_id, count(*) FILTER (emitted) AS emissions, max(last) AS last_value
 def emit_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a value was written that is a step above the last one written."""
     rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") / 100).alias("v"))
-    found = sequences.emissions(rows, "user_id", ["ts", "event_id"], "v", 0.4).groupBy("user_id").agg(F.count("*").alias("emissions"), F.max("v").alias("last_value"))
+    found = sequences.emissions(rows, "user_id", ["ts", "event_id"], "v", 0.4, F.to_date("ts")).groupBy("user_id").agg(F.count("*").alias("emissions"), F.max("v").alias("last_value"))
     return rows.select("user_id").distinct().join(found, "user_id", "left").select("user_id", F.coalesce("emissions", F.lit(0)).alias("emissions"), F.coalesce("last_value", F.lit(0.0)).alias("last_value"))
 
 
