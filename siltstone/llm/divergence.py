@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .support import drop_scratch, materialise, table
 
 #: Leaves of a task's tries from which they go on, and that the pieces of one merged range have at most.
-BUFFER, RANGE = 200_000, 150_000
+BUFFER, RANGE = 300_000, 500_000
 #: First bytes that are one step of a trie and that pieces are cut by; each round of cutting large ones deeper doubles them.
 DEPTH = 3
 #: Terms times sources that are computed with at once.
@@ -121,23 +122,6 @@ class Trie:
                 if node.children:
                     stack += [(node.children[b], path) for b in sorted(node.children, reverse=True)]
 
-    def merge(self, batch: pa.RecordBatch) -> None:
-        """Add the leaves of pieces."""
-        shared, rest, docs, size, source, count = (batch.column(c).flatten().to_pylist() for c in ("shared", "rest", "docs", "size", "source", "count"))
-        known, leaf, k, at = self.known, self.leaf, 0, 0
-        for n, sources in zip(batch.column("leaves").to_pylist(), batch.column("sources").to_pylist()):
-            term = b""
-            for k in range(k, k + n):
-                term = term[: shared[k]] + rest[k]
-                node = known.get(term) or leaf(term)
-                node.docs += docs[k]
-                held = node.counts
-                for at in range(at, at + size[k]):
-                    s = sources[source[at]]
-                    held[s] = held.get(s, 0) + count[at]
-                at += 1
-            k += 1
-
     def cut(self, lang: str, depth: int, least: int = 0) -> Iterator[tuple]:
         """(lang, prefix, shared, rest, docs, counts) of each leaf of at least so many documents, for pieces of depth bytes."""
         before, skipped = None, 0
@@ -147,7 +131,44 @@ class Trie:
             if node.docs >= least:
                 shared = skipped if term[:depth] == before else 0
                 before, skipped = term[:depth], len(term)
-                yield lang, before, shared, term[shared:], node.docs, node.counts.items()
+                yield lang, before, shared, term[shared:] if shared else term, node.docs, node.counts.items()
+
+
+class Merger:
+    """Adds up the leaves of many pieces of one prefix; what is in enough documents becomes their merged trie."""
+
+    def __init__(self):
+        self.terms, self.sources = {}, {}
+        self.leaf, self.docs, self.owner, self.source, self.count = ([] for _ in range(5))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        term, terms, leaf = b"", self.terms, []
+        for shared, rest in zip(batch.column("shared").flatten().to_pylist(), batch.column("rest").flatten().to_pylist()):
+            term = term[:shared] + rest
+            leaf.append(terms.setdefault(term, len(terms)))
+        leaf = np.array(leaf, dtype=np.int64)
+        lists = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        names = np.array([self.sources.setdefault(s, len(self.sources)) for s in batch.column("sources").flatten().to_pylist()], dtype=np.int64)
+        widths = pa.compute.list_value_length(batch.column("sources")).to_numpy()
+        first = np.repeat(np.cumsum(widths) - widths, pa.compute.list_value_length(batch.column("source")).to_numpy())
+        for held, new in ((self.leaf, leaf), (self.docs, lists("docs")), (self.owner, np.repeat(leaf, lists("size"))), (self.source, names[first + lists("source")]), (self.count, lists("count"))):
+            held.append(new)
+
+    def trie(self, least: int) -> Trie:
+        trie, n = Trie(), len(self.sources)
+        docs = np.zeros(len(self.terms), dtype=np.int64)
+        np.add.at(docs, np.concatenate(self.leaf), np.concatenate(self.docs))
+        owner = np.concatenate(self.owner)
+        kept = docs[owner] >= least
+        cells, cell = np.unique(owner[kept] * n + np.concatenate(self.source)[kept], return_inverse=True)
+        counts = np.zeros(len(cells), dtype=np.int64)
+        np.add.at(counts, cell, np.concatenate(self.count)[kept])
+        terms, sources = list(self.terms), list(self.sources)
+        for at, count in zip(cells.tolist(), counts.tolist()):
+            trie.leaf(terms[at // n]).counts[sources[at % n]] = count
+        for term, leaf in trie.known.items():
+            leaf.docs = int(docs[self.terms[term]])
+        return trie
 
 
 def _shared(label: bytes, term: bytes, at: int) -> int:
@@ -283,11 +304,11 @@ def in_ranges(pieces: DataFrame) -> DataFrame:
 def merged(pieces: DataFrame, least_docs: int) -> DataFrame:
     """The merged trie of each language and prefix, of terms in at least so many documents, with its sums by source."""
     def step(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, lang, prefix = Trie(), None, b""
+        merger, lang, prefix = Merger(), None, b""
         for batch in group:
             lang, prefix = batch.column("lang")[0].as_py(), batch.column("prefix")[0].as_py()
-            trie.merge(batch)
-        yield from _rows(trie.cut(lang, len(prefix), least_docs), totals=True)
+            merger.add(batch)
+        yield from _rows(merger.trie(least_docs).cut(lang, len(prefix), least_docs), totals=True)
 
     return pieces.groupBy("lang", "prefix").applyInArrow(step, PIECE + ", totals array<long>")
 

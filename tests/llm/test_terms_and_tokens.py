@@ -222,14 +222,15 @@ def test_divergence_with_small_tries_and_ranges(spark, monkeypatch):
 def test_tries_merge_and_walk_in_the_order_of_bytes():
     rng = random.Random(8)
     terms = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 6))).encode(): rng.randint(1, 9) for _ in range(300)}
-    one, two, both = divergence.Trie(), divergence.Trie(), divergence.Trie()
+    one, two, merger = divergence.Trie(), divergence.Trie(), divergence.Merger()
     for t, n in terms.items():
         for trie, docs, counts in ((one, 1, {"s": n}), (two, 2, {"t": 1, "s": 1})):
             leaf = trie.leaf(t)
             leaf.docs, leaf.counts = docs, counts
     for trie in (one, two):
         for batch in divergence._rows(trie.cut("en", 3), most=20):
-            both.merge(batch)
+            merger.add(batch)
+    both = merger.trie(1)
     assert [(t, x.docs, x.counts) for t, x, _ in both.walk()] == [(t, 3, {"s": terms[t] + 1, "t": 1}) for t in sorted(terms)]
     assert all(shared <= divergence._shared(b, t, 0) for b, (t, _, shared) in zip([b"", *sorted(terms)], both.walk()))
     assert len(both.known) == len(terms)
