@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -45,7 +45,7 @@ def verdict(column: Column, wanted: str) -> Column:
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """Page number (from 1) of size rows; size 0 is everything. A top-k plan, so no global sort of all rows in one task.
 
-    A task holds the rows of all pages up to the one asked for, so deep pages are read with ``after`` instead.
+    A task holds the rows of all pages up to the one asked for, so deep pages are read with ``after`` or ``deep_page`` instead.
     """
     ordered = df.orderBy(*order)
     return ordered if size == 0 else ordered.offset((max(1, number) - 1) * size).limit(size)
@@ -60,3 +60,51 @@ def after(df: DataFrame, order: Sequence[str], last: Sequence[object] | None, si
             beyond = beyond | (equal & (F.col(order[k]) > F.lit(last[k])))
         df = df.where(beyond)
     return df.orderBy(*order).limit(size)
+
+
+def _before(order: Sequence[tuple[str, bool]], row: Row, or_equal: bool) -> Column:
+    """If a row comes before another one in an order of (column, ascending); nulls come first upwards and last downwards."""
+    earlier, equal = F.lit(False), F.lit(True)
+    for name, up in order:
+        column, value = F.col(name), row[name]
+        if value is None:
+            less = F.lit(False) if up else column.isNotNull()
+        else:
+            less = F.coalesce(column < F.lit(value), F.lit(True)) if up else F.coalesce(column > F.lit(value), F.lit(False))
+        earlier, equal = earlier | (equal & less), equal & column.eqNullSafe(F.lit(value))
+    return earlier | equal if or_equal else earlier
+
+
+def ranges(df: DataFrame, order: Sequence[tuple[str, bool]], parts: int) -> list[Row]:
+    """(first, last, n) of each of about so many ranges that df's rows fall into by order, in order; a row a range on the driver."""
+    by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    entry = F.struct(*[c for c, _ in order])
+    sorted_parts = df.select(*[c for c, _ in order]).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    per = sorted_parts.groupBy(F.spark_partition_id().alias("part")).agg(F.first(entry).alias("first"), F.last(entry).alias("last"), F.count("*").alias("n"))
+    return per.orderBy("part").collect()
+
+
+def deep_page(df: DataFrame, order: Sequence[tuple[str, bool]], number: int, size: int, parts: int = 200) -> DataFrame:
+    """Page number (from 1) of size rows, however deep; size 0 is everything. order: (column, ascending), a total order.
+
+    The order's columns are dealt to ranges, and the ranges counted; prefix sums of the counts tell which ranges hold the
+    page, and only their rows are read again, by a filter that reaches the scan, and sorted. So no task holds the pages
+    before. Size 0 is sorted by ranges, without one task that sees all. An empty or too deep page has no rows.
+    """
+    by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    if size == 0:
+        return df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    start, seen, held = (max(1, number) - 1) * size, 0, []
+    for row in ranges(df, order, parts):
+        if seen < start + size and seen + row["n"] > start:
+            held.append((seen, row))
+        seen += row["n"]
+    if not held:
+        return df.limit(0)
+    inside = ~_before(order, held[0][1]["first"], False) & _before(order, held[-1][1]["last"], True)
+    # the leading column by itself, which a scan can skip blocks by
+    (name, up), bounds = order[0], [held[0][1]["first"][order[0][0]], held[-1][1]["last"][order[0][0]]]
+    if None not in bounds:
+        low, high = bounds if up else bounds[::-1]
+        inside = inside & F.col(name).between(F.lit(low), F.lit(high))
+    return df.where(inside).orderBy(*by).offset(start - held[0][0]).limit(size)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import filters
 from siltstone.operators import progress as blocks
 from siltstone.plans.queries import query, read
-from siltstone.sources.shared import checkpointed, shared_folder
-from siltstone.streaming import progress
+from siltstone.sources.captures import numbered_lines
+from siltstone.sources.samples import read_samples
+from siltstone.sources.services import file_transport, read_services
+from siltstone.sources.shared import shared_folder
+from siltstone.streaming import counters, outbox, progress
 
 PROGRESS_SQL = """
 WITH RECURSIVE e AS (
@@ -58,3 +66,108 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         progress.drain(progress.live_progress(spark.readStream.schema(lines.schema).parquet(delivered)), state, progress.into(out))
     found = spark.read.parquet(out)
     return found.select("job_id", F.floor(F.col("line_no") / 4).alias("event_id"), "progress", "fps", "speed", "remaining", "kept")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25 OFFSET (SELECT CAST(floor(count(*) / 50) * 25 AS BIGINT) FROM lineitem)
+""")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of all lines by price; no task holds the pages before."""
+    lines = read(spark, sf_dir, "lineitem")
+    order = [("l_extendedprice", False), ("l_orderkey", True), ("l_linenumber", True), ("l_partkey", True)]
+    return filters.deep_page(lines, order, lines.count() // 50 + 1, 25).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(r"""
+WITH l AS (SELECT coalesce(lang, '') AS grp, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)
+SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY doc_id, k) AS BIGINT) AS line_no, md5(regexp_replace(line, '\r$', '')) AS line FROM l
+""".replace("\\\\", "\\"))
+def captured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of captured files with their numbers; a file a language, read in as many splits as it takes."""
+    folder = shared_folder(spark, "captures")
+    texts = read(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("grp"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "value").write.partitionBy("grp").text(folder)
+    found = numbered_lines(spark, folder, "part-*")
+    return found.select(F.regexp_extract("path", "grp=([^/]*)/", 1).alias("grp"), "line_no", F.md5("line").alias("line"))
+
+
+@query("""
+SELECT n_name AS connection, CASE WHEN n_nationkey % 6 = 5 THEN 1 ELSE greatest(1, CAST(ceil(count(c_custkey) / 200.0) AS INTEGER)) END AS pages, CASE WHEN n_nationkey % 6 = 5 THEN 0 ELSE count(c_custkey) END AS records,
+  CASE WHEN n_nationkey % 6 <> 5 THEN coalesce(sum(CASE WHEN c_acctbal > 0 THEN 1 END), 0) ELSE 0 END AS importing, n_nationkey % 6 = 5 AS failed
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 3) GROUP BY n_name, n_nationkey
+""")
+def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues of services, a connection a nation, pulled in pages of 200; some do not answer, which takes nothing from others."""
+    folder, nation = shared_folder(spark, "answers"), read(spark, sf_dir, "nation")
+    known = nation.where("n_nationkey % 6 <> 5").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("connection"))
+    customer = read(spark, sf_dir, "customer").join(known, "c_nationkey")
+    place = F.row_number().over(Window.partitionBy("connection").orderBy("c_custkey"))
+    record = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_acctbal") > 0, "importing").otherwise("queued").alias("trackedDownloadState"))
+    paged = customer.withColumn("page", F.floor((place - 1) / 200) + 1).groupBy("connection", "page").agg(F.sort_array(F.collect_list(record)).alias("records"))
+    totals = customer.groupBy("connection").agg(F.count("*").alias("totalRecords"))
+    empty = known.join(totals, "connection", "left_anti").select("connection", F.lit(1).cast("long").alias("page"), F.lit('{"totalRecords":0,"records":[]}').alias("value"))
+    answers = paged.join(totals, "connection").select("connection", "page", F.to_json(F.struct("page", "totalRecords", "records")).alias("value"))
+    answers.unionByName(empty).repartition("connection", "page").write.partitionBy("connection", "page").text(folder)
+    names = [r[0] for r in nation.where("n_regionkey in (1, 3)").select("n_name").collect()]
+    body = F.from_json("body", "totalRecords long, records array<struct<id: long, title: string, trackedDownloadState: string>>")
+    pulled = read_services(spark, file_transport(folder), names).withColumn("records", body["records"])
+    busy = F.size(F.filter("records", lambda r: r["trackedDownloadState"] == "importing"))
+    return pulled.groupBy("connection").agg(
+        F.count("*").cast("int").alias("pages"), F.sum(F.when(F.col("records").isNotNull(), F.size("records")).otherwise(0)).alias("records"), F.sum(F.when(F.col("records").isNotNull(), busy).otherwise(0)).alias("importing"), F.max(F.col("error").isNotNull()).alias("failed")
+    )
+
+
+@query("""
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS counter, CAST(event_id AS DOUBLE) AS at, CASE WHEN event_id % 97 = 0 THEN 0.0 ELSE floor(event_id * 0.37::DOUBLE) END AS value FROM events),
+d AS (SELECT counter, at, value - lag(value) OVER w AS dv, at - lag(at) OVER w AS dt FROM s WINDOW w AS (PARTITION BY counter ORDER BY at))
+SELECT counter, at, CAST(least(100.0, greatest(0.0, dv / dt * 100)) AS DOUBLE) AS percent FROM d WHERE dt IS NOT NULL
+""")
+def sampled_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utilisation from a source of samples: six ticks in three deliveries, the stream started anew for each."""
+    events = read(spark, sf_dir, "events")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    event = F.col("event_id")
+    sample = F.struct(F.col("user_id").cast("string").alias("counter"), event.cast("double").alias("at"), F.when(event % 97 == 0, 0.0).otherwise(F.floor(event * F.lit(0.37)).cast("double")).alias("value"))
+    ticks = events.select(F.floor(event * 6 / (most + 1)).alias("tick"), F.to_json(sample).alias("line"))
+    captured, state, out = (shared_folder(spark, f"samples-{x}") for x in ("captured", "state", "found"))
+    for k in range(3):
+        ticks.where(F.floor(F.col("tick") / 2) == k).write.mode("append").partitionBy("tick").text(captured)
+        progress.drain(counters.utilisation_stream(read_samples(spark, captured)), state, progress.into(out))
+    return spark.read.parquet(out).select("counter", "at", "percent")
+
+
+def _written(folder: str):
+    """A recipient that writes what it takes, and takes nothing the first time that it is asked for some of the statuses."""
+
+    def send(messages: list[dict]) -> None:
+        base = Path(folder.removeprefix("file://"))
+        base.mkdir(parents=True, exist_ok=True)
+        refused = base / "refused"
+        if any(m["o_orderstatus"] == "P" for m in messages) and not refused.exists():
+            refused.touch()
+            raise ConnectionError("busy")
+        (base / f"{uuid.uuid4().hex}.json").write_text("".join(json.dumps(m) + "\n" for m in messages))
+
+    return send
+
+
+@query("""
+SELECT o_orderstatus, count(*) AS taken, count(*) AS changes FROM orders GROUP BY o_orderstatus
+""")
+def pushed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of jobs pushed by a stream whose recipient fails once, so that its batch is repeated; each is taken once."""
+    changes, state, taken, known = (shared_folder(spark, f"push-{x}") for x in ("changes", "state", "taken", "known"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for k in range(2):  # the second delivery repeats a part of the first
+        rows.where(F.col("o_orderkey") % 3 >= k).write.mode("append").parquet(changes)
+        if k == 0:
+            rows.where(F.col("o_orderkey") % 3 == 0).write.mode("append").parquet(changes)
+        stream = spark.readStream.schema(rows.schema).parquet(changes)
+        try:
+            progress.drain(stream, state, outbox.outbox(known, _written(taken), 50))
+        except Exception as failure:  # noqa: BLE001  the recipient was busy: the same batch again
+            if "were not taken" not in str(failure):
+                raise
+            progress.drain(stream, state, outbox.outbox(known, _written(taken), 50))
+    got = spark.read.schema("key string, o_orderkey long, o_orderstatus string").option("pathGlobFilter", "*.json").json(taken)
+    return got.groupBy("o_orderstatus").agg(F.count("*").alias("taken"), F.count_distinct("key").alias("changes"))
