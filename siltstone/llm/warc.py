@@ -12,8 +12,8 @@ Pages and revisits are dealt to archives by id and digest, which is also how the
 
 Edge cases: null html is an empty payload; a page without an id is always a response; rows that repeat a page's id and
 payload are all responses if that id is the smallest, numbered apart in their record ids; a null url becomes an urn of
-the page; other columns are ignored; an empty table writes no record and reads none. Rows that are alike in id and
-payload are one archive's, which is then larger.
+the page; other columns are ignored; an empty table writes no record and reads none. Where many rows are alike in id and
+payload, they are dealt to archives in parts, and numbered apart in each.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ TRAIN_BYTES = 64 << 20
 HEAD_BYTES = 512
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Rows alike in id and payload that go to one archive together; more are dealt out.
+ALIKE = 256
 DATE = "2024-01-01T00:00:00Z"
 #: The magic number of a frame that holds a dictionary, and of the empty frame between records.
 DICTIONARY_MAGIC, EMPTY_MAGIC = 0x184D2A5D, 0x184D2A50
@@ -49,8 +51,11 @@ EMPTY_FRAME = struct.pack("<II", EMPTY_MAGIC, 0)
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean"
 
 
-def plan_records(pages: DataFrame, min_bytes: int, archive_bytes: int) -> tuple[DataFrame, int]:
-    """Pages with their role, dealt out to archives, and how many archives there are."""
+def plan_records(pages: DataFrame, min_bytes: int, archive_bytes: int, alike: int = ALIKE) -> tuple[DataFrame, int]:
+    """Pages with their role, dealt out to archives, and how many archives there are.
+
+    Rows are dealt by id and digest; of those that more than some rows share, by a part too, so they spread.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.length("payload").cast("long")})
     facts = materialise(sized.select("page_id", "digest", "bytes"), "page-digests")
@@ -60,23 +65,34 @@ def plan_records(pages: DataFrame, min_bytes: int, archive_bytes: int) -> tuple[
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     first = materialise(first, "first-pages")  # a plain table, so Spark can split the pages of a payload with many copies
     revisits = large.join(first, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    copies = facts.groupBy("page_id", "digest").agg(F.count("*").alias("n")).where(F.col("n") > alike)
+    many = materialise(copies.select(F.col("page_id").alias("of_id"), F.col("digest").alias("of_digest"), F.ceil(F.col("n") / alike).alias("parts")), "alike-pages")
+    keys = ["page_id", "digest"]
+    if not many.isEmpty():
+        keys.append("part")
+        of = lambda x: x.join(many, F.col("page_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
+        part = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts"), F.lit(0)).cast("int")
+        sized = of(sized).withColumn("part", part).drop("of_id", "of_digest", "parts")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("int")))
+        revisits = of(revisits).select("page_id", "digest", "refers_to", every.alias("part"))
     # both sides dealt alike by the join's keys, so the join needs no other exchange and each partition is an archive
-    by = lambda rows: rows.repartition(archives, "page_id", "digest")
-    return by(sized).join(by(revisits), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to"), archives
+    by = lambda rows: rows.repartition(archives, *keys)
+    dealt = by(sized).join(by(revisits), keys, "left")
+    return dealt.select("page_id", "url", "payload", "digest", "refers_to", F.col("part") if "part" in keys else F.lit(0).alias("part")), archives
 
 
-def record_id(page_id: int | None, digest: str, number: int = 0) -> str:
-    """number counts rows alike in id and payload, from 0."""
-    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}{f':{number}' if number else ''}>"
+def record_id(page_id: int | None, digest: str, number: int = 0, part: int = 0) -> str:
+    """number counts rows alike in id and payload, from 0, in each of the parts that they are dealt out in."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}{f':{number}' if number or part else ''}{f':{part}' if part else ''}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, number: int = 0) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, part: int = 0, number: int = 0) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     name = "null" if page_id is None else str(page_id)
     target = (url or f"urn:page:{name}").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, number)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, number, part)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -106,7 +122,7 @@ def _frames(dictionary_bytes: int, level: int, train_bytes: int):
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = [c[k].as_py() for c in batch.columns]
-                    alike = (row[0], row[3])
+                    alike = (row[0], row[3], row[5])
                     yield record(*row, seen[alike])
                     seen[alike] += 1
 

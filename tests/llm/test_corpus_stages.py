@@ -291,6 +291,22 @@ def test_warc_task_holds_no_more_than_it_learns_from(spark):
     assert warc.read_archives(spark, path).where("payload_ok").count() == 500
 
 
+def test_warc_spreads_rows_alike(spark):
+    """A hundred thousand rows alike, most without an id: archives of like size, record ids that differ, revisits that lead to one."""
+    rows = [(None, "u", None)] * 60_000 + [(7, "u", "x" * 120)] * 2_000 + [(9, "u", "x" * 120)] * 38_000 + [(k, "u", f"page {k}") for k in range(100, 200)]
+    path = scratch_path(spark, "warc-alike")
+    size = sum(len(r[2] or "") + warc.HEAD_BYTES for r in rows)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, archive_bytes=-(-size // 10))
+    files = [bytes(r[0]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()]
+    heads = [[f for f, _ in warc.parse_archive(content)] for content in files if content]
+    sizes = [len(h) for h in heads]
+    ids = Counter(f["warc-record-id"] for h in heads for f in h)
+    assert len(sizes) == 10 and max(sizes) < 2 * sum(sizes) / 10 and sum(sizes) == len(rows) == len(ids)
+    assert {f["warc-refers-to"] for h in heads for f in h if f["warc-type"] == "revisit"} <= set(ids)
+    got = Counter(tuple(r) for r in warc.read_archives(spark, path).select("page_id", "record_type", "refers_to").collect())
+    assert {k: v for k, v in got.items() if v > 1} == {(None, "response", None): 60_000, (7, "response", None): 2_000, (9, "revisit", 7): 38_000}
+
+
 def test_warc_files_are_frames_with_a_dictionary(spark):
     rows = [(k, f"http://x/{k}", f"<html>{'common words of every page ' * 9}{k}</html>", "", 0) for k in range(300)]
     path = scratch_path(spark, "warc-frames")
