@@ -64,17 +64,24 @@ def clamped_counter(rows: DataFrame, key: str, order: list[str], delta: str, out
     return summed.withColumn(out, F.col("__sum") - F.least(F.lit(0), F.col("__least"))).select(*[c for c in rows.columns if c != "__piece"], out)
 
 
-def combined_windows(windows: DataFrame, key: str, order: str) -> DataFrame:
+def combined_windows(windows: DataFrame, key: str, order: str, keys: DataFrame | None = None, sampling: Column | None = None) -> DataFrame:
     """One row per key of quality windows (measured, error, mean, harmonic, least, p5, frames, model): all in one, or why not.
 
     The first window that was not measured, in order, fails the whole with its error. The tail is the weakest window's: the
-    least of the least scores and of the fifth percentiles, which can't be pooled from summaries.
+    least of the least scores and of the fifth percentiles, which can't be pooled from summaries. With keys, a table with
+    key, those without a window are rows that failed. With sampling, the text that says how windows were chosen, windows
+    have (psnr, ssim, preprocessing) too: their means, and what they have in common before that text.
     """
     bad = ~F.coalesce(F.col("measured"), F.lit(False))
     first_bad = F.min_by(F.struct(F.coalesce("error", F.lit("A VMAF sample produced no usable score.")).alias("error")), F.when(bad, F.col(order)))["error"]
     scores = {"mean": weighted_mean(F.col("mean"), F.col("frames")), "harmonic": harmonic_mean(F.col("harmonic"), F.col("frames")), "least": F.min("least"), "p5": F.min("p5"), "model": common_value(F.col("model")), "frames": F.sum(F.coalesce("frames", F.lit(0)))}
+    if sampling is not None:
+        scores |= {n: weighted_mean(F.col(n), F.col("frames")) for n in ("psnr", "ssim")}
+        scores["preprocessing"] = F.concat_ws("; ", common_value(F.col("preprocessing")), F.max(sampling))
     found = windows.groupBy(key).agg(F.bool_or(bad).alias("__bad"), first_bad.alias("error"), *[c.alias(n) for n, c in scores.items()])
-    ok = ~F.col("__bad")
+    if keys is not None:
+        found = keys.select(key).distinct().join(found, key, "left").withColumn("error", F.when(F.col("__bad").isNull(), "No VMAF samples were measured.").otherwise(F.col("error")))
+    ok = ~F.coalesce("__bad", F.lit(True))
     return found.select(key, ok.alias("measured"), F.when(~ok, F.col("error")).alias("error"), *[F.when(ok, F.col(n)).alias(n) for n in scores])
 
 

@@ -208,6 +208,21 @@ def calibratable(is_hdr: Column, is_dolby_vision: Column, hdr_mode: Column, play
     return ~is_dolby_vision & (~is_hdr | ((hdr_mode == "Preserve") & playback_confirmed))
 
 
+# Seconds of a sample that a calibration takes.
+SAMPLE_SECONDS, AUDIO_SAMPLE_SECONDS = 12, 15
+
+
+def calibration_sources(files: DataFrame, library_id: int, most: int = 25) -> DataFrame:
+    """The largest probed files of a library that a calibration can take samples from: what is enough depends on their kind.
+
+    Films need four samples' length and no Dolby Vision, music four of its own, pictures a single frame. What isn't known
+    is not long enough; an unknown number of frames is one. Files of equal size come by id.
+    """
+    kind, seconds = F.col("media_kind"), F.col("duration_seconds")
+    fit = (kind == "Video") & ~F.col("is_dolby_vision") & (seconds >= 4 * SAMPLE_SECONDS) | (kind == "Audio") & (seconds >= 4 * AUDIO_SAMPLE_SECONDS) | (kind == "Image") & (F.coalesce("frame_count", F.lit(1)) <= 1)
+    return files.where((F.col("library_id") == library_id) & (F.col("status") == "Probed") & fit).orderBy(F.col("size_bytes").desc(), "id").limit(most)
+
+
 def ladder(codec: Column) -> Column:
     """The bit rates to compare for an audio codec; null for one that isn't compared."""
     out = F.lit(None).cast("array<int>")

@@ -167,6 +167,24 @@ def meets_gate(c: Facts, policy: Policy) -> Column:
     return (c("vmaf_harmonic") >= own("least_vmaf_harmonic", policy.vmaf_harmonic)) & (low >= own("least_vmaf_p5", policy.vmaf_p5)) & (c("vmaf_min") >= own("least_vmaf_min", policy.vmaf_min))
 
 
+#: Of so many frames at most one is scored.
+MOST_FRAMES = 10
+
+
+def resolved_policy(policy: Policy = Policy(), clip_gate: bool = False, frame_interval: int = 1) -> dict[str, Column]:
+    """The policy of a row with its own overrides (null: as the policy says): bounds within 0 and 100, intervals within 1 and MOST_FRAMES."""
+    own = lambda name, default: F.coalesce(F.when(F.col(name).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(name)))), F.lit(float(default)))
+    interval = F.when(F.col("frame_interval").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(MOST_FRAMES), F.col("frame_interval"))))
+    return {
+        "quality_gate": F.coalesce("quality_gate", F.lit(policy.quality_gate)),
+        "least_vmaf_harmonic": own("least_vmaf_harmonic", policy.vmaf_harmonic),
+        "least_vmaf_p5": own("least_vmaf_p5", policy.vmaf_p5),
+        "least_vmaf_min": own("least_vmaf_min", policy.vmaf_min),
+        "clip_gate": F.coalesce("clip_gate", F.lit(clip_gate)),
+        "frame_interval": F.coalesce(interval, F.lit(frame_interval)),
+    }
+
+
 def verified(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """rows with checks: array<struct<name, outcome, detail>> in a fixed order, and passed."""
     c = facts_of(rows)

@@ -249,14 +249,14 @@ def window_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_suppkey, count(*) AS samples,
-  round(CASE WHEN bool_and(l_discount > 0) THEN CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE)
-    ELSE CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) END, 3) AS mean_cents
+  round_even(CASE WHEN bool_and(l_discount > 0) THEN CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE)
+    ELSE CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) END, 2) AS mean_cents
 FROM lineitem GROUP BY l_suppkey
 """)
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weighted mean only where every sample has a weight, else a plain one."""
     mean = A.guarded_mean(cents("l_extendedprice"), cents("l_discount"))
-    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("samples"), F.round(mean, 3).alias("mean_cents"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("samples"), F.bround(mean, 2).alias("mean_cents"))
 
 
 @query("""
