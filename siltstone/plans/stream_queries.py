@@ -16,7 +16,7 @@ from siltstone.sources.captures import numbered_lines
 from siltstone.sources.samples import read_samples
 from siltstone.sources.services import file_transport, read_services
 from siltstone.sources.shared import shared_folder
-from siltstone.streaming import counters, outbox, progress
+from siltstone.streaming import counters, due, outbox, progress
 
 PROGRESS_SQL = """
 WITH RECURSIVE e AS (
@@ -171,3 +171,21 @@ def pushed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             progress.drain(stream, state, outbox.outbox(known, _written(taken), 50))
     got = spark.read.schema("key string, o_orderkey long, o_orderstatus string").option("pathGlobFilter", "*.json").json(taken)
     return got.groupBy("o_orderstatus").agg(F.count("*").alias("taken"), F.count_distinct("key").alias("changes"))
+
+
+@query("""
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, (event_id + 1000) * 1000 AS seen, (event_id + 1000 + event_id % 40 * 20) * 1000 + 500 AS due FROM events),
+n AS (SELECT *, coalesce(lead(seen) OVER (PARTITION BY session_id ORDER BY seen), max(seen) OVER ()) AS until FROM s)
+SELECT session_id, due AS expired_ms FROM n WHERE due <= until
+""")
+def expired_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that end by themselves unless they are renewed in time; the rows drive the clock, in three deliveries."""
+    events = read(spark, sf_dir, "events")
+    most, event = events.agg(F.max("event_id")).first()[0] or 0, F.col("event_id")
+    sessions = events.select(F.col("user_id").cast("string").alias("session_id"), F.timestamp_seconds(event + 1000).alias("seen_at"), F.timestamp_millis((event + 1000 + event % 40 * 20) * 1000 + 500).alias("expires_at"))
+    told, state, out = (shared_folder(spark, f"sessions-{x}") for x in ("told", "state", "found"))
+    for k in range(3):
+        part = (F.unix_seconds("seen_at") - 1000) * 3 / (most + 1)
+        sessions.where((part >= k) & (part < k + 1)).write.mode("append").parquet(told)
+        progress.drain(due.expired_sessions(spark.readStream.schema(sessions.schema).parquet(told)), state, progress.into(out))
+    return spark.read.parquet(out).select("session_id", F.unix_millis("expires_at").alias("expired_ms"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import filters, sequences
 from siltstone.operators import progress as batch_progress
 from siltstone.sources import captures, samples, services
-from siltstone.streaming import counters, outbox, progress
+from siltstone.streaming import counters, due, outbox, progress
 
 
 def emitted(rows, step, eager=False):
@@ -209,3 +209,23 @@ def test_outbox_sends_each_change_once(spark, tmp_path):
     sent = [json.loads(line) for p in taken.glob("*.json") for line in p.read_text().splitlines()]
     assert sorted(m["id"] for m in sent) == list(range(20)) and len({m["key"] for m in sent}) == 20
     assert all(m["status"] == (None if m["id"] % 5 else "x") for m in sent) and outbox.acknowledged(spark, known).count() == 20
+
+
+def test_files_are_held_until_they_have_settled(spark, tmp_path):
+    """Files go on when they are two minutes old by the listings' clock; a newer change waits anew; no state at the end."""
+    from datetime import datetime, timezone
+
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    scans = [
+        [("/a", 1, at(0), at(10)), ("/b", 2, at(5), at(10)), ("/old", 3, at(-500), at(10)), ("/none", 4, None, at(10))],
+        [("/a", 9, at(60), at(100)), ("/b", 2, at(5), at(100))],
+        [("/c", 5, at(125), at(130))],
+        [("/a", 9, at(60), at(400))],
+    ]
+    seen = []
+    for scan in scans:
+        spark.createDataFrame(scan, "path string, size_bytes long, modified_at timestamp, listed_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("path string, size_bytes long, modified_at timestamp, listed_at timestamp").parquet(str(tmp_path / "in"))
+        query = progress.drain(due.settled_files(stream), str(tmp_path / "state"), lambda df, _: seen.extend((r["path"], r["size_bytes"]) for r in df.collect()))
+    assert Counter(seen) == Counter({("/old", 3): 1, ("/b", 2): 1, ("/a", 9): 2, ("/c", 5): 1})  # /a waited, and was listed again
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
