@@ -16,6 +16,7 @@ from siltstone.sources.captures import numbered_lines
 from siltstone.sources.samples import read_samples
 from siltstone.sources.services import file_transport, read_services
 from siltstone.sources.shared import shared_folder
+from siltstone.sources.walk import local_listing, walk
 from siltstone.streaming import counters, due, outbox, progress
 
 PROGRESS_SQL = """
@@ -189,3 +190,25 @@ def expired_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         sessions.where((part >= k) & (part < k + 1)).write.mode("append").parquet(told)
         progress.drain(due.expired_sessions(spark.readStream.schema(sessions.schema).parquet(told)), state, progress.into(out))
     return spark.read.parquet(out).select("session_id", F.unix_millis("expires_at").alias("expired_ms"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT o_orderstatus AS a, o_custkey % 7 AS b FROM orders)
+SELECT 0 AS level, count(DISTINCT a) AS folders, 0 AS files, 0 AS failed FROM d
+UNION ALL SELECT 1, count(*), 0, 0 FROM d
+UNION ALL SELECT 2, 0, count(*) FILTER (b <> 3), count(*) FILTER (b = 3) FROM d
+""")
+def walked_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk over folders of which some can't be listed; what it found on each level."""
+    folder = shared_folder(spark, "walked").removeprefix("file://")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("a"), (F.col("o_custkey") % 7).alias("b"), F.col("o_orderkey").cast("string").alias("value"))
+    rows.repartition("a", "b").write.partitionBy("a", "b").text(f"file://{folder}")
+
+    def listing(path: str):
+        if path.endswith("b=3"):
+            raise PermissionError(path)
+        return [entry for entry in local_listing(path) if not entry[0].startswith((".", "_"))]
+
+    found = walk(spark, folder, listing)
+    is_folder, failed = F.col("is_folder"), F.col("error").isNotNull()
+    return found.groupBy("level").agg(F.count_if(is_folder & ~failed).alias("folders"), F.count_if(~is_folder).alias("files"), F.count_if(failed).alias("failed"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import filters, sequences
 from siltstone.operators import progress as batch_progress
-from siltstone.sources import captures, samples, services
+from siltstone.sources import captures, samples, services, walk
 from siltstone.streaming import counters, due, outbox, progress
 
 
@@ -229,3 +229,23 @@ def test_files_are_held_until_they_have_settled(spark, tmp_path):
         query = progress.drain(due.settled_files(stream), str(tmp_path / "state"), lambda df, _: seen.extend((r["path"], r["size_bytes"]) for r in df.collect()))
     assert Counter(seen) == Counter({("/old", 3): 1, ("/b", 2): 1, ("/a", 9): 2, ("/c", 5): 1})  # /a waited, and was listed again
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_walk_goes_on_after_failures(spark, tmp_path):
+    for name in ("a.mkv", "x/b.MP4", "x/y/c.txt", "x/y/z/d.avi", "shut/e.mkv", "é/f.mkv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1234")
+    (tmp_path / "x" / "loop").symlink_to(tmp_path)
+    (tmp_path / "empty").mkdir()
+
+    def listing(folder):
+        if folder.endswith("/shut"):
+            raise PermissionError("not yours")
+        return walk.local_listing(folder)
+
+    found = walk.walk(spark, f"{tmp_path}/", listing, 2)
+    assert [tuple(r) for r in walk.walk_counts(found, "Video").collect()] == [(4, 1, 6, 1)]
+    media = {r["relative_path"]: (r["size_bytes"], r["settled"]) for r in walk.walked(found, str(tmp_path), "Video", (tmp_path / "a.mkv").stat().st_mtime + 60).collect()}
+    assert media == {n: (4, False) for n in ("a.mkv", "x/b.MP4", "x/y/z/d.avi", "é/f.mkv")}
+    assert [r["path"] for r in found.where("error is not null").collect()] == [f"{tmp_path}/shut"]
+    assert walk.walk_counts(walk.walk(spark, f"{tmp_path}/nowhere"), "Video").first()["failed"] == 1
