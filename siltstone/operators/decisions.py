@@ -47,6 +47,7 @@ def chosen_encoders(wanted: DataFrame, capabilities: DataFrame) -> DataFrame:
     """
     order = F.create_map(*[F.lit(x) for k, m in enumerate(ENCODER_ORDER) for x in (m.lower(), k)])
     caps = capabilities.where("available").select(F.lower("codec").alias("__codec"), F.lower("mode").alias("__mode"), "name", "place").withColumn("__rank", F.try_element_at(order, F.col("__mode")))
+    caps = caps.groupBy("__codec", "__mode", "__rank").agg(F.min_by("name", "place").alias("name"), F.min("place").alias("place"))  # the rest never win
     asked = wanted.withColumn("__codec", encoder_codec(F.col("codec")))
     deep = (F.col("__codec") == "h264") & (F.col("bit_depth") > 8)
     none = F.coalesce(deep & ((F.col("bit_depth") > 10) | ~F.lower("mode").isin("auto", "cpu")), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import aggregates, decisions, joins, verification
+from siltstone.operators import aggregates, decisions, joins, transcode, verification
 from siltstone.plans.queries import query, read
 from siltstone.sources.shared import shared_folder
 from siltstone.streaming import probing, progress
@@ -93,3 +93,34 @@ def probed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         progress.drain(probing.read_probes(spark, captured), state, probing.into(out))
     found = spark.read.parquet(out)
     return found.select(F.substring("path", 8, 20).cast("long").alias("p_partkey"), "status", F.coalesce("probe_error", F.lit("")).alias("error"), F.coalesce("facts.duration_seconds", F.lit(-1.0)).alias("seconds"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE p_partkey % 3 WHEN 0 THEN 'Image' WHEN 1 THEN 'Audio' ELSE 'Video' END AS kind FROM part),
+e AS (SELECT *, CASE WHEN kind = 'Audio' THEN 'libopus' WHEN kind = 'Video' AND k % 4 = 0 THEN 'aac' END AS encoder, CASE WHEN kind = 'Audio' THEN 96 ELSE 128 END AS rate, s % 9 AS channels, k % 7 = 0 AS mixed FROM p)
+SELECT k AS p_partkey, '/work/dir/' || CAST(k AS VARCHAR) || '.' || CASE kind WHEN 'Image' THEN CASE WHEN k % 2 = 0 THEN 'webp' ELSE 'jpg' END WHEN 'Audio' THEN 'opus' ELSE CASE WHEN s > 40 OR s % 2 = 0 AND k % 4 <> 0 THEN 'mkv' ELSE 'mp4' END END AS output_path,
+  CASE WHEN kind = 'Image' THEN CASE WHEN k % 2 = 0 THEN 'libwebp' ELSE 'mjpeg' END ELSE '' END AS image_encoder, CASE WHEN kind = 'Image' THEN 82 ELSE -1 END AS image_quality, kind = 'Image' AND k % 2 = 0 AND s > 25 AS image_lossless,
+  coalesce(encoder, '') AS audio_encoder, CASE WHEN encoder IS NULL THEN -1 WHEN mixed OR channels <= 2 THEN rate ELSE rate * CAST(ceil(channels / 2.0) AS INTEGER) END AS audio_kbps, encoder IS NOT NULL AND mixed AS downmix,
+  CASE WHEN kind <> 'Video' THEN '' WHEN s % 3 = 0 THEN '1' ELSE '' END AS removed_audio, CASE WHEN kind = 'Video' AND s % 5 = 0 THEN '0,2' ELSE '' END AS removed_subtitles
+FROM e
+""")
+def transcode_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is decided for a transcode from the rules and the file's facts."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(k % 3 == 0, "Image").when(k % 3 == 1, "Audio").otherwise("Video")
+    rules = F.struct(
+        F.lit(".mp4").alias("target_container"), F.lit("hevc").alias("target_video_codec"), F.when(k % 4 == 0, "AAC").alias("video_audio_codec"), F.lit("opus").alias("target_audio_codec"), F.when(k % 2 == 0, "webp").otherwise("jpeg").alias("target_image_format"),
+        F.lit("TonemapToSdr").alias("hdr"), F.lit(82).alias("image_quality"), F.lit(96).alias("audio_kbps"), F.lit(128).alias("video_audio_kbps"), (k % 7 == 0).alias("downmix"),
+    )
+    audio = F.when(s % 3 == 0, F.array(F.lit("ger"), F.lit("fr"))).when(s % 3 == 1, F.array(F.lit("fr"), F.lit("es")))  # none is kept: none goes
+    facts = F.struct(
+        (s > 40).alias("picture_subtitles"), (s % 2 == 0).alias("audio_not_for_mp4"), F.lit(False).alias("is_hdr"), F.when(s > 25, "PNG").otherwise("jpeg").alias("image_codec"), (s % 9).cast("int").alias("channels"), F.lit(True).alias("variable_frame_rate"),
+        audio.alias("audio_languages"), F.when(s % 5 == 0, F.array(F.lit("fr"), F.lit("und"), F.lit("spa"), F.lit("de"))).alias("subtitle_languages"),
+    )
+    spec = transcode.transcode_spec(kind, F.concat(F.lit("dir\\"), k.cast("string"), F.lit(".avi")), rules, facts, "/work/", ["deu"], ["deu"])
+    x = read(spark, sf_dir, "part").select(k, spec.alias("x"))
+    text = lambda name: F.coalesce(F.array_join(F.col("x")[name].cast("array<string>"), ","), F.lit(""))
+    return x.select(
+        k, F.col("x.output_path").alias("output_path"), F.coalesce("x.image_encoder", F.lit("")).alias("image_encoder"), F.coalesce("x.image_quality", F.lit(-1)).alias("image_quality"), F.col("x.image_lossless").alias("image_lossless"), F.coalesce("x.audio_encoder", F.lit("")).alias("audio_encoder"),
+        F.coalesce("x.audio_kbps", F.lit(-1)).alias("audio_kbps"), F.col("x.downmix").alias("downmix"), text("removed_audio").alias("removed_audio"), text("removed_subtitles").alias("removed_subtitles"),
+    )
