@@ -124,14 +124,27 @@ class Trie:
 
     def cut(self, lang: str, depth: int, least: int = 0) -> Iterator[tuple]:
         """(lang, prefix, shared, rest, docs, counts) of each leaf of at least so many documents, for pieces of depth bytes."""
-        before, skipped = None, 0
-        for term, node, shared in self.walk():
-            if shared < skipped:
-                skipped = shared
-            if node.docs >= least:
-                shared = skipped if term[:depth] == before else 0
-                before, skipped = term[:depth], len(term)
-                yield lang, before, shared, term[shared:] if shared else term, node.docs, node.counts.items()
+        for key in sorted(self.roots):
+            stack, low, before = [(self.roots[key], b"")], 0, None
+            while stack:
+                node, path = stack.pop()
+                if len(path) < low:
+                    low = len(path)
+                path += node.label
+                if node.counts is not None and node.docs >= least:
+                    prefix = path[:depth]
+                    if prefix != before or not low:
+                        before = prefix
+                        yield lang, prefix, 0, path, node.docs, node.counts
+                    else:
+                        yield lang, prefix, low, path[low:], node.docs, node.counts
+                    low = len(path)
+                children = node.children
+                if children:
+                    if len(children) == 1:
+                        stack.append((*children.values(), path))
+                    else:
+                        stack += [(children[b], path) for b in sorted(children, reverse=True)]
 
 
 class Merger:
@@ -239,7 +252,7 @@ def _rows(cut: Iterator[tuple], most: int = 50_000, totals: bool = False) -> Ite
         add_rest(rest)
         add_docs(docs)
         add_size(len(counts))
-        for source, n in counts:
+        for source, n in counts.items():
             add_source(number.setdefault(source, len(number)))
             add_count(n)
     closed()
@@ -277,7 +290,7 @@ def _deeper(pieces: DataFrame, depth: int) -> DataFrame:
         for row, term, docs, counts in leaves(batch):
             shared = _shared(last, term, 0) if (row, term[:depth]) == before else 0
             before, last = (row, term[:depth]), term
-            yield langs[row], term[:depth], shared, term[shared:], docs, counts
+            yield langs[row], term[:depth], shared, term[shared:], docs, dict(counts)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,6 +33,8 @@ from .support import materialise, table
 
 #: Postings of a segment, bytes of a block of queries, and parts that each query's results are ranked in first.
 SEGMENT, BLOCK, PARTS = 1_500_000, 2 << 20, 64
+#: Documents that are split into terms at once.
+AT_ONCE = 1000
 #: Entries that the first round reads of each list; each round reads twice as many.
 FIRST = 8
 #: Upper to lower case, and blanks for all that parts terms, in UTF-8 bytes.
@@ -48,26 +50,28 @@ def forward_index(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, sizes, ends, terms, counts = [], [], [0], [], []
-            for row, content in enumerate(batch.column("text").to_pylist()):
-                found = Counter(terms_of(content))
-                if found:
-                    kept.append(row)
-                    sizes.append(found.total())
-                    terms += found.keys()
-                    counts += found.values()
-                    ends.append(len(terms))
-            offsets = pa.array(ends, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key").take(pa.array(kept, pa.int64())),
-                    pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary()).cast(pa.string())),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
-                ],
-                names=["key", "n", "terms", "counts"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(start, AT_ONCE)
+                kept, sizes, ends, terms, counts = [], [], [0], [], []
+                for row, content in enumerate(batch.column("text").to_pylist()):
+                    found = Counter(terms_of(content))
+                    if found:
+                        kept.append(row)
+                        sizes.append(found.total())
+                        terms += found.keys()
+                        counts += found.values()
+                        ends.append(len(terms))
+                offsets = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("key").take(pa.array(kept, pa.int64())),
+                        pa.array(sizes, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary()).cast(pa.string())),
+                        pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+                    ],
+                    names=["key", "n", "terms", "counts"],
+                )
 
     return rows.mapInArrow(step, f"key {rows.schema['key'].dataType.simpleString()}, n long, terms array<string>, counts array<long>")
 
