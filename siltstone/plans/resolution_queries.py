@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import aggregates, decisions, joins, transcode, verification
+from siltstone.operators.rules import PROFILES
 from siltstone.plans.queries import query, read
+from siltstone.sources import requests
 from siltstone.sources.shared import shared_folder
 from siltstone.streaming import probing, progress
 
@@ -124,3 +126,28 @@ def transcode_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         k, F.col("x.output_path").alias("output_path"), F.coalesce("x.image_encoder", F.lit("")).alias("image_encoder"), F.coalesce("x.image_quality", F.lit(-1)).alias("image_quality"), F.col("x.image_lossless").alias("image_lossless"), F.coalesce("x.audio_encoder", F.lit("")).alias("audio_encoder"),
         F.coalesce("x.audio_kbps", F.lit(-1)).alias("audio_kbps"), F.col("x.downmix").alias("downmix"), text("removed_audio").alias("removed_audio"), text("removed_subtitles").alias("removed_subtitles"),
     )
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS k, p_size AS s FROM part),
+e AS (SELECT k, s, CASE WHEN k % 11 = 0 THEN 'A library name is required.' WHEN k % 7 = 0 THEN 'Directory does not exist: /media/' || k WHEN k % 5 = 0 THEN 'Unknown media type: video. Expected one of Film, Tv, Music, Other, Photo.'
+  WHEN k % 3 = 0 AND k % 5 = 1 THEN 'Track cleanup applies only to Film, TV, or mixed libraries that can contain video files.' WHEN s % 10 = 9 THEN 'Minimum file size cannot be negative.' WHEN s > 43 THEN 'Quality (CRF) must be between 0 and 63.'
+  WHEN k % 2 = 0 AND s > 33 THEN 'VMAF overrides must be between 0 and 100.' WHEN k % 4 = 0 AND s < 30 THEN 'VMAF floors must be ordered: catastrophic frame ' || chr(8804) || ' fifth percentile ' || chr(8804) || ' harmonic mean.'
+  WHEN k % 2 = 1 AND (s < 3 OR s > 42) THEN 'Audio bitrate must be between 32 and 512 kbps.' WHEN s % 6 = 5 THEN 'Audio languages must be comma-separated, registered individual ISO 639 codes and at most 256 characters (e.g. "eng, jpn").'
+  WHEN k % 13 = 0 THEN 'Auto-enqueue window start must use HH:mm format.' WHEN k % 17 = 0 THEN 'A target folder is required when ''move output on complete'' is enabled.' END AS error FROM r)
+SELECT k AS p_partkey, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN 'Library ' || k ELSE '' END AS name, CASE WHEN error IS NOT NULL THEN '' WHEN k % 5 = 1 THEN 'Music' ELSE 'Film' END AS media_type,
+  CASE WHEN error IS NULL AND s % 6 < 3 THEN 'deu, jpn' ELSE '' END AS languages, error IS NULL AND k % 2 = 0 AS enabled FROM e
+""")
+def library_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to create libraries: the first error of each, or what is stored."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    given = {
+        "name": F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit(" Library "), k.cast("string"))), "path": F.concat(F.lit("/media/"), k.cast("string")), "path_exists": k % 7 != 0,
+        "media_type": F.when(k % 5 == 0, "video").when(k % 5 == 1, "MUSIC").otherwise("film"), "rule_profile": F.when(k % 3 == 0, "trackcleanup").otherwise(PROFILES[0][0]), "min_file_size_bytes": F.when(s % 10 == 9, -1), "quality_crf": s + 20,
+        "vmaf_harmonic": F.when(k % 2 == 0, s * 3.0), "vmaf_p5": F.when(k % 4 == 0, 90.0), "audio_bitrate_kbps": F.when(k % 2 == 1, s * 12), "keep_audio_languages": F.when(s % 6 == 5, "eng, xyzzy").when(s % 6 < 3, "GER,jpn, deu"),
+        "window_start": F.when(k % 13 == 0, "25:00").otherwise("07:30"), "move_on_complete": k % 17 == 0, "enabled": k % 2 == 0,
+    }
+    fields = [f.split() for f in requests.REQUEST.split(", ")]
+    rows = read(spark, sf_dir, "part").select(k, *[given.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in fields])
+    found = requests.parsed(rows)
+    return found.select(k, *[F.coalesce(c, F.lit("")).alias(n) for c, n in (("error", "error"), ("name", "name"), ("media_type", "media_type"), ("keep_audio_languages", "languages"))], F.coalesce("enabled", F.lit(False)).alias("enabled"))
