@@ -94,7 +94,7 @@ def captured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT n_name AS connection, CASE WHEN n_nationkey % 6 = 5 THEN 1 ELSE greatest(1, CAST(ceil(count(c_custkey) / 200.0) AS INTEGER)) END AS pages, CASE WHEN n_nationkey % 6 = 5 THEN 0 ELSE count(c_custkey) END AS records,
-  CASE WHEN n_nationkey % 6 <> 5 THEN coalesce(sum(CASE WHEN c_acctbal > 0 THEN 1 END), 0) ELSE 0 END AS importing, n_nationkey % 6 = 5 AS failed
+  CASE WHEN n_nationkey % 6 <> 5 THEN count(*) FILTER (c_acctbal > 0) ELSE 0 END AS importing, n_nationkey % 6 = 5 AS failed
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 3) GROUP BY n_name, n_nationkey
 """)
 def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +119,9 @@ def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT CAST(user_id AS VARCHAR) AS counter, CAST(event_id AS DOUBLE) AS at, CASE WHEN event_id % 97 = 0 THEN 0.0 ELSE floor(event_id * 0.37::DOUBLE) END AS value FROM events),
-d AS (SELECT counter, at, value - lag(value) OVER w AS dv, at - lag(at) OVER w AS dt FROM s WINDOW w AS (PARTITION BY counter ORDER BY at))
-SELECT counter, at, CAST(least(100.0, greatest(0.0, dv / dt * 100)) AS DOUBLE) AS percent FROM d WHERE dt IS NOT NULL
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS counter, CAST(event_id AS DOUBLE) AS "at", CASE WHEN event_id % 97 = 0 THEN 0.0 ELSE floor(event_id * 0.37::DOUBLE) END AS value FROM events),
+d AS (SELECT counter, "at", value - lag(value) OVER w AS dv, "at" - lag("at") OVER w AS dt FROM s WINDOW w AS (PARTITION BY counter ORDER BY "at"))
+SELECT counter, "at", CAST(least(100.0, greatest(0.0, dv / dt * 100)) AS DOUBLE) AS percent FROM d WHERE dt IS NOT NULL
 """)
 def sampled_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utilisation from a source of samples: six ticks in three deliveries, the stream started anew for each."""
