@@ -267,7 +267,7 @@ FROM b GROUP BY user_id
 """)
 def timestamp_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("dts", F.when(F.col("event_type") != "signup", F.col("value")))
-    return sequences.regressions(e, "user_id", ["ts", "event_id"], "dts", "event_id")
+    return sequences.regressions(e, "user_id", ["ts", "event_id"], "dts", "event_id", F.to_date("ts"))
 
 
 @query("""
@@ -285,7 +285,7 @@ SELECT event_id, CAST(streak AS BIGINT) AS streak, streak >= 3 AS excluded FROM
 """)
 def failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    found = sequences.streaks(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], kind == "error", kind == "purchase", "streak")
+    found = sequences.streaks(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], kind == "error", kind == "purchase", "streak", F.to_date("ts"))
     return found.select("event_id", "streak", (F.col("streak") >= 3).alias("excluded"))
 
 
@@ -298,7 +298,7 @@ FROM b GROUP BY user_id, block
 def progress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys gathered until a line ends the block; the last value of each key counts."""
     kind = F.col("event_type")
-    b = sequences.blocks(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], kind == "purchase", "block")
+    b = sequences.blocks(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], kind == "purchase", "block", F.to_date("ts"))
     last = lambda v: F.max_by("value", F.when(kind == v, F.struct("ts", "event_id")))
     return b.groupBy("user_id", "block").agg(F.count("*").alias("lines"), last("click").alias("last_click"), last("view").alias("last_view"), F.bool_or(kind == "purchase").alias("complete"))
 
@@ -311,7 +311,7 @@ SELECT event_id, CAST(total - least(0, min(total) OVER (PARTITION BY user_id ORD
 def clamped_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", -2).otherwise(0)
     rows = read(spark, sf_dir, "events").withColumn("delta", delta)
-    return A.clamped_counter(rows, "user_id", ["ts", "event_id"], "delta", "counter").select("event_id", "counter")
+    return A.clamped_counter(rows, "user_id", ["ts", "event_id"], "delta", "counter", F.to_date("ts")).select("event_id", "counter")
 
 
 @query("""
