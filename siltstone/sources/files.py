@@ -28,13 +28,17 @@ def extensions_for(media_type: str) -> tuple[str, ...]:
 
 
 def listed(files: DataFrame, root: str, media_type: str, now: Column, settling_seconds: int = 120) -> DataFrame:
-    """(path, relative_path, size_bytes, modified_at, settled) of (path, length, modificationTime) rows below root."""
+    """(path, relative_path, size_bytes, modified_at, settled) of (path, length, modificationTime) rows below root.
+
+    A row a file, also where paths repeat; further columns stay, after these.
+    """
     base = root.rstrip("/").removeprefix("file://")
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     relative = F.substring(F.col("path"), F.locate(base, F.col("path")) + F.lit(len(base) + 1), F.length("path"))
     settled = now - F.col("modificationTime") >= F.expr(f"INTERVAL {settling_seconds} SECONDS")
     named = files.where(extension.isin(*extensions_for(media_type)))
-    return named.select("path", relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), settled.alias("settled"))
+    further = [c for c in files.columns if c not in ("path", "length", "modificationTime")]
+    return named.select("path", relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), settled.alias("settled"), *further)
 
 
 def scan_counts(found: DataFrame) -> DataFrame:
