@@ -34,6 +34,9 @@ r AS (
 SELECT user_id AS job_id, event_id, high AS progress, fps, speed, CASE WHEN speed > 0 THEN (120.0 - high * 120.0) / speed END AS remaining, kept FROM r WHERE share IS NOT NULL
 """
 
+#: Text that a task writes to a capture, on average.
+CAPTURED_BYTES = 64 << 20
+
 
 def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as a transcode writes them, a block an event: elapsed time (not in every block), rate, speed, progress."""
@@ -84,12 +87,14 @@ WITH l AS (SELECT coalesce(lang, '') AS grp, doc_id, unnest(string_split(coalesc
 SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY doc_id, k) AS BIGINT) AS line_no, md5(regexp_replace(line, '\r$', '')) AS line FROM l
 """.replace("\\\\", "\\"))
 def captured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of captured files with their numbers; a file a language, read in as many splits as it takes."""
+    """Lines of captures with their numbers; a capture a language, rolled over as it grows, read in as many splits as it takes."""
     folder = shared_folder(spark, "captures")
-    texts = read(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("grp"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    texts.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "value").write.partitionBy("grp").text(folder)
-    found = numbered_lines(spark, folder, "part-*")
-    return found.select(F.regexp_extract("path", "grp=([^/]*)/", 1).alias("grp"), "line_no", F.md5("line").alias("line"))
+    grp, text = F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))
+    texts = read(spark, sf_dir, "documents").select(F.concat(F.lit("x"), F.hex(grp)).alias("grp"), "doc_id", text.alias("value"))  # hex: any name is a folder's
+    parts = (texts.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0) // CAPTURED_BYTES + 1
+    texts.repartitionByRange(parts, "grp", "doc_id").sortWithinPartitions("grp", "doc_id").select("grp", "value").write.partitionBy("grp").text(folder)
+    found = numbered_lines(spark, folder, "part-*", rolled=True)
+    return found.select(F.unhex(F.regexp_extract("path", "grp=x([^/]*)/", 1)).cast("string").alias("grp"), "line_no", F.md5("line").alias("line"))
 
 
 @query("""
