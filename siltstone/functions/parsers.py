@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.scalars import alnum_key, rational
+from siltstone.functions.scalars import alnum_key, bound, rational
 
 STREAM = (
     "struct<codec_type:string,codec_name:string,codec_tag_string:string,profile:string,width:string,height:string,bit_rate:string,nb_frames:string,pix_fmt:string,bits_per_raw_sample:string,"
@@ -28,7 +28,9 @@ def json_of(text, schema: str) -> Column:
 
 def lower_keys(tags: Column) -> Column:
     """Keys in lower case; of keys that are then equal the last one stays."""
-    return F.aggregate(F.map_entries(tags), F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != F.lower(e["key"])), F.create_map(F.lower(e["key"]), e["value"])))
+    entries = F.transform(F.map_entries(tags), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
+    return bound(entries, lambda found: F.map_from_entries(last(found)))
 
 
 def clock_seconds(text: Column) -> Column:
@@ -40,20 +42,27 @@ def clock_seconds(text: Column) -> Column:
 
 def probed(text) -> Column:
     """Facts of a file from its probe JSON: the first real video stream counts; attached pictures are counted apart."""
-    p = json_of(text, PROBE)
-    streams = F.coalesce(p["streams"], F.array().cast(f"array<{STREAM}>"))
-    picture = lambda s: F.coalesce(s["disposition"]["attached_pic"] == "1", F.lit(False))
-    of = lambda kind: F.filter(streams, lambda s: s["codec_type"] == kind)
-    video, audio, subtitles = F.filter(of("video"), lambda s: ~picture(s)), of("audio"), of("subtitle")
-    v = F.get(video, 0)
+    streams_of = lambda p: F.coalesce(p["streams"], F.array().cast(f"array<{STREAM}>"))
+    of = lambda streams, kind: F.filter(streams, lambda s: s["codec_type"] == kind)
+    parts = lambda p: F.struct(p["format"].alias("format"), *[of(streams_of(p), k).alias(k) for k in ("video", "audio", "subtitle")])
+    return bound(bound(json_of(text, PROBE), parts), lambda x: bound(F.get(F.filter(x["video"], lambda s: ~_picture(s)), 0), lambda v: _facts(x, v)))
+
+
+def _picture(stream: Column) -> Column:
+    return F.coalesce(stream["disposition"]["attached_pic"] == "1", F.lit(False))
+
+
+def _facts(x: Column, v: Column) -> Column:
+    """Of a struct of a probe's format and its streams by type, and the video stream that counts."""
     language = lambda s: F.coalesce(F.nullif(F.trim(s["tags"]["language"]), F.lit("")), F.lit("und"))
     tag_clock = clock_seconds(F.try_element_at(lower_keys(v["tags"]), F.lit("duration")))
-    duration = F.coalesce(p["format"]["duration"].try_cast("double"), v["duration"].try_cast("double"), v["duration_ts"].try_cast("double") * rational(v["time_base"]), tag_clock)
-    nominal, average = rational(v["r_frame_rate"]), rational(v["avg_frame_rate"])
-    usable = (nominal > 0) & (average > 0) & (nominal <= 1000) & (average <= 1000)
+    duration = F.coalesce(x["format"]["duration"].try_cast("double"), v["duration"].try_cast("double"), v["duration_ts"].try_cast("double") * rational(v["time_base"]), tag_clock)
+    usable = lambda r: (r["nominal"] > 0) & (r["average"] > 0) & (r["nominal"] <= 1000) & (r["average"] <= 1000)
+    rates = F.struct(rational(v["r_frame_rate"]).alias("nominal"), rational(v["avg_frame_rate"]).alias("average"))
+    variable = bound(rates, lambda r: F.when(usable(r), F.abs(r["nominal"] - r["average"]) / r["average"] > 0.001))
     vision = F.coalesce(F.exists(v["side_data_list"], lambda d: d["side_data_type"].contains("DOVI")), F.lit(False)) | F.coalesce(F.lower(v["codec_tag_string"]).rlike("^(dvh|dav)"), F.lit(False))
     return F.struct(
-        p["format"]["format_name"].alias("container"),
+        x["format"]["format_name"].alias("container"),
         duration.alias("duration_seconds"),
         v["codec_name"].alias("video_codec"),
         v["width"].try_cast("int").alias("width"),
@@ -61,16 +70,16 @@ def probed(text) -> Column:
         v["nb_frames"].try_cast("int").alias("frame_count"),
         v["pix_fmt"].alias("pixel_format"),
         v["bits_per_raw_sample"].try_cast("int").alias("bits_per_raw_sample"),
-        F.when(usable, F.abs(nominal - average) / average > 0.001).alias("variable_frame_rate"),
-        F.size(F.filter(of("video"), picture)).alias("attached_picture_count"),
-        F.transform(audio, lambda s: s["codec_name"]).alias("audio_codecs"),
-        F.transform(audio, language).alias("audio_languages"),
-        F.coalesce(F.array_max(F.transform(audio, lambda s: s["channels"].try_cast("int"))), F.lit(0)).alias("max_audio_channels"),
-        F.size(subtitles).alias("subtitle_track_count"),
-        F.transform(subtitles, language).alias("subtitle_languages"),
+        variable.alias("variable_frame_rate"),
+        F.size(F.filter(x["video"], _picture)).alias("attached_picture_count"),
+        F.transform(x["audio"], lambda s: s["codec_name"]).alias("audio_codecs"),
+        F.transform(x["audio"], language).alias("audio_languages"),
+        F.coalesce(F.array_max(F.transform(x["audio"], lambda s: s["channels"].try_cast("int"))), F.lit(0)).alias("max_audio_channels"),
+        F.size(x["subtitle"]).alias("subtitle_track_count"),
+        F.transform(x["subtitle"], language).alias("subtitle_languages"),
         (F.coalesce(F.lower(v["color_transfer"]).isin("smpte2084", "arib-std-b67"), F.lit(False)) | vision).alias("is_hdr"),
         vision.alias("is_dolby_vision"),
-        lower_keys(F.coalesce(p["format"]["tags"], F.get(audio, 0)["tags"])).alias("format_tags"),
+        lower_keys(F.coalesce(x["format"]["tags"], F.get(x["audio"], 0)["tags"])).alias("format_tags"),
     )
 
 
@@ -174,10 +183,9 @@ def second_words(text, least_first: int = 1) -> Column:
 
 def accelerators(text) -> Column:
     """The lines after the heading."""
-    lines = text_lines(text)
-    at = F.array_position(F.transform(lines, F.lower), F.lit(ACCELERATOR_HEADING)).cast("int")
-    later = F.slice(lines, at + 1, F.size(lines))
-    return F.when(at > 0, F.filter(later, lambda x: F.lower(x) != ACCELERATOR_HEADING)).otherwise(F.array().cast("array<string>"))
+    at = lambda lines: F.array_position(F.transform(lines, F.lower), F.lit(ACCELERATOR_HEADING)).cast("int")
+    later = lambda lines: F.slice(lines, at(lines) + 1, F.size(lines))
+    return bound(text_lines(text), lambda lines: F.when(at(lines) > 0, F.filter(later(lines), lambda x: F.lower(x) != ACCELERATOR_HEADING)).otherwise(F.array().cast("array<string>")))
 
 
 def has_filter(text, name: str) -> Column:
@@ -194,14 +202,26 @@ def capabilities(machines: DataFrame, listing: str, nvidia: str, render_device:
 
 def drm_client(text) -> Column:
     """struct<client_id, driver, engines: map<engine, nanoseconds>>; null without an id or a busy engine."""
-    lines = text_lines(text)
-    after = lambda key: F.filter(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(key))), lambda x: F.regexp_replace(F.substr(x, F.lit(len(key) + 1)), r"^\s+|\s+$", "")), lambda v: v.isNotNull())
-    client = F.try_element_at(F.filter(F.transform(after("drm-client-id:"), lambda v: v.try_cast("long")), lambda v: v.isNotNull()), F.lit(-1))
+    return bound(text_lines(text), lambda lines: bound(F.struct(_last_id(lines).alias("id"), _engines(lines).alias("engines")), lambda c: F.when(c["id"].isNotNull() & (F.size(c["engines"]) > 0), _client(lines, c))))
+
+
+def _after(lines: Column, key: str) -> Column:
+    return F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(key))), lambda x: F.regexp_replace(F.substr(x, F.lit(len(key) + 1)), r"^\s+|\s+$", ""))
+
+
+def _last_id(lines: Column) -> Column:
+    return F.try_element_at(F.filter(F.transform(_after(lines, "drm-client-id:"), lambda v: v.try_cast("long")), lambda v: v.isNotNull()), F.lit(-1))
+
+
+def _engines(lines: Column) -> Column:
+    """Those that were busy."""
     entry = lambda x: F.struct(F.regexp_extract(x, "^drm-engine-([^:]+):", 1).alias("key"), F.regexp_extract(x, r":\s*([0-9]+)(?:\s|$)", 1).try_cast("long").alias("value"))
-    entries = F.filter(F.transform(F.filter(lines, lambda x: x.rlike("^drm-engine-[^:]+:")), entry), lambda e: e["value"] > 0)
-    unique = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    found = F.struct(client.alias("client_id"), F.coalesce(F.try_element_at(after("drm-driver:"), F.lit(-1)), F.lit("")).alias("driver"), F.map_from_entries(unique).alias("engines"))
-    return F.when(client.isNotNull() & (F.size(entries) > 0), found)
+    return F.filter(F.transform(F.filter(lines, lambda x: x.rlike("^drm-engine-[^:]+:")), entry), lambda e: e["value"] > 0)
+
+
+def _client(lines: Column, c: Column) -> Column:
+    unique = F.filter(c["engines"], lambda e, i: ~F.exists(F.slice(c["engines"], i + 2, F.size(c["engines"])), lambda later: later["key"] == e["key"]))
+    return F.struct(c["id"].alias("client_id"), F.coalesce(F.try_element_at(_after(lines, "drm-driver:"), F.lit(-1)), F.lit("")).alias("driver"), F.map_from_entries(unique).alias("engines"))
 
 
 def _percent(number: Column) -> Column:

@@ -1,13 +1,18 @@
-"""Scalar expressions of the inventory domain. All are built-in functions, so they stay in generated code."""
+"""Scalar expressions of the inventory domain. All are built-in functions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once a row; a column that is used several times in lambdas is worked out for each use."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def path_stem(path) -> Column:
     """The path without its last extension; a lone trailing dot stays."""
     return F.regexp_replace(path, r"\.[^./\\]+$", "")

@@ -32,6 +32,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task whose expressions cost far more than their bytes.
+SPREAD = 20_000
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``read`` for costly expressions: rows are dealt to tasks by their number, as a scan deals few bytes to one task."""
+    rows = read(spark, sf_dir, name)
+    return rows.repartition(rows.count() // SPREAD + 1)  # the count is in the files' footers
+
+
 def cents(column: str) -> F.Column:
     """Exact sums need whole numbers."""
     return F.round(F.col(column) * 100).cast("long")

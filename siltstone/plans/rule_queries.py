@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import media, parsers
 from siltstone.functions import scalars as S
 from siltstone.operators import decisions, merge
-from siltstone.plans.queries import query, read
+from siltstone.plans.queries import query, read, spread
 
 
 @query("""
@@ -132,7 +132,7 @@ def server_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = F.when(k % 3 == 0, '{"id":5,"authToken":"t1","Authenticated":true}').when(k % 3 == 1, '{"AccessToken":"t2"}').otherwise('{"authToken":""}')
     year, blank = F.lit(2001), lambda c: F.coalesce(c, F.lit(""))
     named, given = parsers.server_info(info), parsers.sign_in(signed)
-    return read(spark, sf_dir, "supplier").select(
+    return spread(spark, sf_dir, "supplier").select(
         "s_suppkey", blank(parsers.search_art(search, "art", F.lit(False), year)).alias("art"), blank(parsers.item_image(items, False, F.lit(True), year)).alias("image"), blank(parsers.remote_poster(posters, F.lit("The Film"), year)).alias("poster"),
         blank(F.get(parsers.servers(resources), 0)["uri"]).alias("uri"), blank(F.concat_ws(" ", named["name"], named["version"])).alias("server"), F.concat(blank(given["token"]), F.lit(" "), given["granted"].cast("string")).alias("sign_in"),
     )
@@ -149,6 +149,6 @@ def device_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = F.concat(F.when(k % 3 == 0, "drm-driver: i915\n").otherwise("pos: 0\n"), F.when(k % 4 == 0, "drm-client-id: none\n").otherwise(F.concat(F.lit("drm-client-id: "), (k % 50).cast("string"), F.lit("\n"))), F.lit("drm-engine-render: "), (k * 10).cast("string"), F.lit(" ns\ndrm-engine-copy: 0 ns\ndrm-engine-capacity-x: many\n"))
     report = F.when(k % 5 == 0, "utilization.gpu [%]\nN/A").otherwise(F.concat(F.lit("utilization.gpu [%]\n"), (k % 130).cast("string"), F.lit(" %")))
     busy = F.when(k % 6 == 0, F.concat(text, F.lit(" x"))).otherwise(F.concat(F.lit(" "), (k % 101).cast("string"), F.lit("\n")))
-    found = read(spark, sf_dir, "customer").select("c_custkey", parsers.drm_client(client).alias("d"), parsers.utilisation_report(report).alias("u"), parsers.busy_percent(busy).alias("b"))
+    found = spread(spark, sf_dir, "customer").select("c_custkey", parsers.drm_client(client).alias("d"), parsers.utilisation_report(report).alias("u"), parsers.busy_percent(busy).alias("b"))
     known = lambda c, other=-1: F.coalesce(c, F.lit(other))
     return found.select("c_custkey", known(F.col("d.client_id")).alias("client"), known(F.col("d.driver"), "").alias("driver"), known(F.try_element_at("d.engines", F.lit("render"))).alias("render"), known(F.col("u")).alias("utilisation"), known(F.col("b")).alias("busy"))
