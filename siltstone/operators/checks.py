@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: name, passed, detail, and whether it applies (None: always)
+Check = tuple[str, Column, Column, Column | None]
+
+
 def check(name: str, passed: Column, detail: Column, applies: Column | None = None) -> Column:
     """A struct, or null where the check doesn't apply. An unknown condition fails."""
     outcome = F.when(F.coalesce(passed, F.lit(False)), "Passed").otherwise("Failed")
@@ -28,6 +32,12 @@ def failed_names(checks: Column) -> Column:
     return F.transform(F.filter(checks, lambda c: c["outcome"] == "Failed"), lambda c: c["name"])
 
 
+def failed_text(checks: Sequence[Check], separator: str = ", ") -> Column:
+    """``failed_names`` of a report as one text, without the report: no detail is worked out, and the code is generated."""
+    failed = lambda name, passed: F.when(~F.coalesce(passed, F.lit(False)), name)
+    return F.concat_ws(separator, *[failed(name, passed) if applies is None else F.when(F.coalesce(applies, F.lit(False)), failed(name, passed)) for name, passed, _, applies in checks])
+
+
 def first_failure(rules: Sequence[tuple[Column, str]]) -> Column:
     """The message of the first rule that doesn't hold, or is unknown; null if all hold."""
     out = F.lit(None).cast("string")

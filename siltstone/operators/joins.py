@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.scalars import bound
+
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join; columns of the dimension that stay null get their default. Spark broadcasts the dimension if its size allows."""
@@ -63,11 +65,12 @@ def without_positions(items: Column, removed: Column) -> Column:
 
 def last_of_keys(entries: Column) -> Column:
     """A map of array<struct<key, value>>; of entries with equal keys the last one counts."""
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
+    return bound(entries, lambda all_: F.map_from_entries(last(all_)))
 
 
 def tags_preserved(source: Column, output: Column) -> Column:
     """Whether every tag of source is in output with an equal value; keys without regard to case."""
     low = lambda tags: last_of_keys(F.transform(F.map_entries(tags), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     kept = low(output)
-    return F.forall(F.map_entries(low(source)), lambda e: kept[e["key"]].eqNullSafe(e["value"]))
+    return bound(kept, lambda k: F.forall(F.map_entries(low(source)), lambda e: k[e["key"]].eqNullSafe(e["value"])))

@@ -15,8 +15,9 @@ from pyspark.sql.types import DataType
 
 from siltstone.functions.languages import canonical
 from siltstone.functions.media import pixel_format
+from siltstone.functions.scalars import bound
 
-from .checks import all_passed, check, first_failure, report
+from .checks import Check, all_passed, check, failed_text, first_failure, report
 from .joins import last_of_keys
 
 SIDE = (
@@ -185,9 +186,10 @@ def resolved_policy(policy: Policy = Policy(), clip_gate: bool = False, frame_in
     }
 
 
-def verified(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """rows with checks: array<struct<name, outcome, detail>> in a fixed order, and passed."""
+def named_checks(rows: DataFrame, policy: Policy) -> list[Check]:
+    """All checks in a fixed order."""
     c = facts_of(rows)
+    named = lambda name, passed, detail, applies=None: (name, passed, detail, applies)
     video, image, audio = (flag(c("media_kind") == k) for k in ("Video", "Image", "Audio"))
     moving, none = ~image, F.lit("")
     of = lambda name: F.concat_ws(" to ", c(f"source_{name}").cast("string"), c(f"output_{name}").cast("string"))
@@ -205,38 +207,48 @@ def verified(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     gated = F.coalesce(c("quality_gate"), F.lit(policy.quality_gate)) & video & flag(c("video_reencoded"))
     codec = F.trim(c("output_video_codec")) != ""
     checks = [
-        check("Decode health", c("decode_errors") == 0, c("decode_errors")),
-        check("Output readable", c("output_probed"), none),
-        check("Duration", drift <= policy.duration_tolerance_percent, F.format_string("%.2f%%", drift), moving),
-        check("Audio tracks", kept_tracks(c, "audio", 1, policy.require_audio), of("audio_tracks"), moving),
-        check("Subtitle tracks", kept_tracks(c, "subtitle", 0, policy.require_subtitles), of("subtitle_tracks"), moving),
-        *[check(f"{kind.title()} languages", same_languages(c(f"expected_{kind}_languages"), c(f"output_{kind}_languages")), none, moving & c(f"expected_{kind}_languages").isNotNull()) for kind in ("audio", "subtitle")],
-        check("Container unchanged", F.lower(c("source_container")) == F.lower(c("output_container")), of("container"), moving & c("container_fixed")),
-        check("Audio codecs unchanged", same_codecs(c("expected_audio_codecs"), c("output_audio_codecs")), none, moving & c("container_fixed")),
-        check("Audio metadata and artwork", pictures & F.forall(F.map_entries(tags), lambda e: kept[e["key"]].eqNullSafe(e["value"])), of("attached_pictures"), audio),
-        check(SIZE_SAVING, smaller, of("bytes")),
-        check("Picture", codec, c("output_video_codec"), image),
-        check("Dimensions", dimensions_kept(c), F.concat(of("width"), F.lit(" x "), of("height")), image),
+        named("Decode health", c("decode_errors") == 0, c("decode_errors")),
+        named("Output readable", c("output_probed"), none),
+        named("Duration", drift <= policy.duration_tolerance_percent, F.format_string("%.2f%%", drift), moving),
+        named("Audio tracks", kept_tracks(c, "audio", 1, policy.require_audio), of("audio_tracks"), moving),
+        named("Subtitle tracks", kept_tracks(c, "subtitle", 0, policy.require_subtitles), of("subtitle_tracks"), moving),
+        *[named(f"{kind.title()} languages", same_languages(c(f"expected_{kind}_languages"), c(f"output_{kind}_languages")), none, moving & c(f"expected_{kind}_languages").isNotNull()) for kind in ("audio", "subtitle")],
+        named("Container unchanged", F.lower(c("source_container")) == F.lower(c("output_container")), of("container"), moving & c("container_fixed")),
+        named("Audio codecs unchanged", same_codecs(c("expected_audio_codecs"), c("output_audio_codecs")), none, moving & c("container_fixed")),
+        named("Audio metadata and artwork", pictures & bound(kept, lambda k: F.forall(F.map_entries(tags), lambda e: k[e["key"]].eqNullSafe(e["value"]))), of("attached_pictures"), audio),
+        named(SIZE_SAVING, smaller, of("bytes")),
+        named("Picture", codec, c("output_video_codec"), image),
+        named("Dimensions", dimensions_kept(c), F.concat(of("width"), F.lit(" x "), of("height")), image),
     ]
     if policy.least_ssim is not None:
-        checks.append(check("Image quality (SSIM)", c("ssim") >= policy.least_ssim, c("ssim"), image))
+        checks.append(named("Image quality (SSIM)", c("ssim") >= policy.least_ssim, c("ssim"), image))
     if policy.image_metadata:
-        checks.append(check("Image metadata (EXIF/ICC)", c("image_metadata_measured") & removed("has_icc") & removed("has_exif"), none, image))
+        checks.append(named("Image metadata (EXIF/ICC)", c("image_metadata_measured") & removed("has_icc") & removed("has_exif"), none, image))
     checks += [
-        check("Video stream", codec, c("output_video_codec"), video),
-        check("Video structure", first_failure(structure).isNull(), F.coalesce(first_failure(structure), none), video),
-        check("HDR signal", flag(c("tone_mapped")) | c("output_is_hdr"), none, video & c("source_is_hdr")),
-        check("Audio fidelity", fidelity(c), of("audio_channels"), F.lit(policy.require_audio) & (c("source_audio_channels") > 0)),
-        check("Colour metadata", colours_kept(c), none, video & coloured),
-        check("A/V sync", sync <= SYNC_SECONDS, F.format_string("%.3f s", sync), video & offset.isNotNull()),
-        check("Timestamp integrity", F.coalesce(c("timestamp_regressions"), F.lit(0)) == 0, c("timestamp_regressions"), video & output_measured),
-        check("Source video timeline", complete(c("source_duration"), span(c)), F.format_string("%.2f s", c("source_duration") - span(c)), video & source_measured & c("source_last_presentation").isNotNull() & (c("source_duration") > 0)),
-        check("Tail integrity", complete(span(c), shown), F.format_string("%.2f s", span(c) - shown), video & output_measured & c("output_last_presentation").isNotNull() & (span(c) > 0)),
-        check(QUALITY, meets_gate(c, policy), F.format_string("%.2f", c("vmaf_harmonic")), gated),
+        named("Video stream", codec, c("output_video_codec"), video),
+        named("Video structure", first_failure(structure).isNull(), F.coalesce(first_failure(structure), none), video),
+        named("HDR signal", flag(c("tone_mapped")) | c("output_is_hdr"), none, video & c("source_is_hdr")),
+        named("Audio fidelity", fidelity(c), of("audio_channels"), F.lit(policy.require_audio) & (c("source_audio_channels") > 0)),
+        named("Colour metadata", colours_kept(c), none, video & coloured),
+        named("A/V sync", sync <= SYNC_SECONDS, F.format_string("%.3f s", sync), video & offset.isNotNull()),
+        named("Timestamp integrity", F.coalesce(c("timestamp_regressions"), F.lit(0)) == 0, c("timestamp_regressions"), video & output_measured),
+        named("Source video timeline", complete(c("source_duration"), span(c)), F.format_string("%.2f s", c("source_duration") - span(c)), video & source_measured & c("source_last_presentation").isNotNull() & (c("source_duration") > 0)),
+        named("Tail integrity", complete(span(c), shown), F.format_string("%.2f s", span(c) - shown), video & output_measured & c("output_last_presentation").isNotNull() & (span(c) > 0)),
+        named(QUALITY, meets_gate(c, policy), F.format_string("%.2f", c("vmaf_harmonic")), gated),
     ]
     if policy.loudness_tolerance is not None:
-        checks.append(check("Audio loudness (EBU R128)", F.abs(c("output_loudness") - c("source_loudness")) <= policy.loudness_tolerance, of("loudness"), moving))
+        checks.append(named("Audio loudness (EBU R128)", F.abs(c("output_loudness") - c("source_loudness")) <= policy.loudness_tolerance, of("loudness"), moving))
     if policy.peak_ceiling is not None:
         clipped = (c("output_peak") > policy.peak_ceiling) & (c("output_peak") > c("source_peak") + PEAK_MARGIN)
-        checks.append(check("Audio clipping (true peak)", c("source_peak").isNotNull() & c("output_peak").isNotNull() & ~clipped, of("peak"), moving))
-    return rows.withColumn("checks", report(*checks)).withColumn("passed", all_passed(F.col("checks")))
+        checks.append(named("Audio clipping (true peak)", c("source_peak").isNotNull() & c("output_peak").isNotNull() & ~clipped, of("peak"), moving))
+    return checks
+
+
+def verified(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """rows with checks: array<struct<name, outcome, detail>> in a fixed order, and passed."""
+    return rows.withColumn("checks", report(*[check(*c) for c in named_checks(rows, policy)])).withColumn("passed", all_passed(F.col("checks")))
+
+
+def failures(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """rows with failed: the names of the checks of ``verified`` that fail, as one text, for counting many rows."""
+    return rows.withColumn("failed", failed_text(named_checks(rows, policy)))
