@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,15 +22,22 @@ def utilisation_stream(samples: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, rows = (state.get if state.exists else None), []
-        for at, value in pd.concat(list(frames)).dropna(subset=["at", "value"]).sort_values(["at", "value"])[["at", "value"]].itertuples(index=False):
+        # plain arrays: a counter has a few rows of a batch, for which the steps of a data frame cost more than the rows
+        at, value = np.concatenate([frame[["at", "value"]].to_numpy() for frame in frames]).T
+        known = ~(np.isnan(at) | np.isnan(value))
+        at, value = at[known], value[known]
+        order = np.lexsort((value, at))
+        last, times, percents = (state.get if state.exists else None), [], []
+        for t, v in zip(at[order].tolist(), value[order].tolist()):
             if last is not None:
-                if at <= last[0]:
+                if t <= last[0]:
                     continue
-                rows.append((key[0], at, min(100.0, max(0.0, (value - last[1]) / (at - last[0]) * 100))))
-            last = (at, value)
+                times.append(t)
+                percents.append(min(100.0, max(0.0, (v - last[1]) / (t - last[0]) * 100)))
+            last = (t, v)
         if last is not None:
             state.update(last)
-        yield pd.DataFrame(rows, columns=["counter", "at", "percent"])
+        if times:
+            yield pd.DataFrame({"counter": [key[0]] * len(times), "at": times, "percent": percents})
 
     return samples.groupBy("counter").applyInPandasWithState(step, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
