@@ -143,16 +143,23 @@ def sampled_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(folder: str):
-    """A recipient that writes what it takes, and takes nothing the first time that it is asked for some of the statuses."""
+    """A recipient that writes what it takes, and takes nothing the first time that it is asked for some of the statuses.
+
+    Each task has a copy of it, which adds what it takes to a file of its own.
+    """
+    own = None
 
     def send(messages: list[dict]) -> None:
+        nonlocal own
         base = Path(folder.removeprefix("file://"))
         base.mkdir(parents=True, exist_ok=True)
         refused = base / "refused"
         if any(m["o_orderstatus"] == "P" for m in messages) and not refused.exists():
             refused.touch()
             raise ConnectionError("busy")
-        (base / f"{uuid.uuid4().hex}.json").write_text("".join(json.dumps(m) + "\n" for m in messages))
+        own = own or base / f"{uuid.uuid4().hex}.json"
+        with own.open("a") as file:
+            file.write("".join(json.dumps(m) + "\n" for m in messages))
 
     return send
 
