@@ -34,6 +34,9 @@ r AS (
 SELECT user_id AS job_id, event_id, high AS progress, fps, speed, CASE WHEN speed > 0 THEN (120.0 - high * 120.0) / speed END AS remaining, kept FROM r WHERE share IS NOT NULL
 """
 
+#: Numbers of lines by which a job is split: what one task holds of a job at most, far more than most jobs have of a stretch,
+#: as each piece of a job is a row that is grouped, carried and joined back.
+STRETCH = 1 << 20
 #: Text that a task writes to a capture, on average.
 CAPTURED_BYTES = 64 << 20
 
@@ -54,7 +57,7 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PROGRESS_SQL)
 def progress_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress of jobs from their lines, as a batch; a job is split by stretches of its lines."""
-    piece = F.floor(F.col("line_no") / 4096)
+    piece = F.floor(F.col("line_no") / STRETCH)
     found = blocks.live(blocks.blocks(progress_lines(spark, sf_dir), piece), piece)
     return found.select("job_id", F.floor(F.col("line_no") / 4).alias("event_id"), "progress", "fps", "speed", "remaining", "kept")
 
